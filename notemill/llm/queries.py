@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from notemill.llm import sharding
+from notemill.llm import line_dedup, quality, sharding
 
-QUERIES = {"op1_sharding": sharding.op1_sharding}
-ORACLES = {"op1_sharding": sharding.OP1_SQL}
+QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
+    "op8_quality_rules": quality.op8_quality_rules,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
+}
+ORACLES = {"op1_sharding": sharding.OP1_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
