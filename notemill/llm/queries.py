@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from notemill.llm import line_dedup, quality, sharding
+from notemill.llm import line_dedup, packing, quality, sharding, simhash_dedup
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
+    "op4_packing": packing.op4_packing,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
