@@ -1,10 +1,11 @@
 """Packing into sequences of fixed length by cutting-stock column generation.
 
-Documents are tokenised and cut: whole sequences first, then one remainder. Only the histogram of piece lengths (1 to
-CAPACITY, so a bounded table) reaches the driver. There a linear program over patterns (multisets of lengths that fit a
-sequence) covers the histogram; its columns are priced by a knapsack dynamic program over the dual values. Multiplicities
-are rounded down, and what is left is filled greedily. Pieces of one length are then ranked, in hash buckets, and each
-rank falls into a pattern's copy and slot by a broadcast table of patterns (bounded by CAPACITY, not by the corpus).
+Documents are tokenised and cut: whole sequences first, then one remainder. Sizes are lengths rounded up to UNIT tokens,
+and only the histogram of sizes (at most CAPACITY / UNIT rows) reaches the driver. There a linear program over patterns
+(multisets of sizes that fit a sequence) covers the histogram; its columns are priced by a knapsack dynamic program over
+the dual values. Multiplicities are rounded down, and what is left is filled greedily. Pieces of one size are then ranked,
+in hash buckets, and each rank falls into a pattern's copy and slot by a broadcast table of patterns (bounded by the
+number of sizes, not by the corpus). Within a sequence pieces close up, so rounding costs padding at the end alone.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from notemill.llm.common import bucket_starts, checkpoint, table
 
 CAPACITY = 1024
+#: Tokens of a unit of size.
+UNIT = 16
 BUCKETS = 4096
 #: Texts of these characters alone go by the quicker encoder of the same vocabulary.
 _PLAIN = r"[^\x00-ɏ‐-‧]"
@@ -128,7 +131,7 @@ def price(duals: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), counts
 
 
-def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 3000, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows: count of each length) and their fractional use in a near-optimal linear program.
 
     A revised simplex: the basis starts with one pattern for each length, the dual values price a new pattern, and the
@@ -139,10 +142,7 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ro
     patterns = np.diag(capacity // lengths).astype(np.int64)
     inverse = np.diag(1.0 / np.diag(patterns))  # of the matrix with patterns as columns
     use = inverse @ demand
-    for k in range(rounds):
-        if k % 500 == 499:
-            inverse = np.linalg.inv(patterns.T.astype(float))
-            use = np.maximum(inverse @ demand, 0)
+    for _ in range(rounds):
         value, pattern = price(inverse.sum(0), lengths, capacity)
         if value <= 1 + gap:
             break
@@ -194,7 +194,7 @@ def plan(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY) -> l
 
 
 def slots(patterns: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
-    """For each length and range of ranks [low, high): the first sequence, its copies, the first offset."""
+    """For each size and range of ranks [low, high): the first sequence, its copies, the first place."""
     rows, taken, sequence = [], {}, 0
     for counts, times in patterns:
         offset = 0
@@ -204,12 +204,13 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
             rows.append((size, low, taken[size], sequence, times, offset))
             offset += size * counts[size]
         sequence += times
-    return pd.DataFrame(rows, columns=["length", "low", "high", "sequence", "times", "at"]).astype("int64")
+    return pd.DataFrame(rows, columns=["size", "low", "high", "sequence_id", "times", "at"]).astype("int64")
 
 
 def pack(
     docs: DataFrame,
     capacity: int = CAPACITY,
+    unit: int = UNIT,
     path: str | None = None,
     end_id: int = 0,
     with_ids: bool = False,
@@ -223,27 +224,26 @@ def pack(
     pieces' ids are a column. Other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = checkpoint(cut_pieces(docs, path or tokenizer_path(), capacity, end_id, with_ids, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS)).cast("int")))
-    counted = checkpoint(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")))
-    histogram = counted.groupBy("length").agg(F.sum("n").alias("n")).orderBy("length").toPandas()  # `capacity` rows at most
-    table_ = slots(plan(histogram["length"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64), capacity))
-    where = spark.createDataFrame(table_, "length long, low long, high long, sequence long, times long, at long")
-    starts = bucket_starts(counted, ["length"], "bucket", "n", "before", "all").drop("n", "all")
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
-    ranked = pieces.join(starts, ["length", "bucket"]).withColumn("rank", rank)
+    pieces = checkpoint(
+        cut_pieces(docs, path or tokenizer_path(), capacity, end_id, with_ids, id_col, text_col)
+        .withColumn("size", F.ceil(F.col("length") / unit))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS)).cast("int"))
+    )
+    counted = checkpoint(pieces.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    histogram = counted.groupBy("size").agg(F.sum("n").alias("n")).orderBy("size").toPandas()  # capacity / unit rows at most
+    table_ = slots(plan(histogram["size"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64), -(-capacity // unit)))
+    where = spark.createDataFrame(table_, "size long, low long, high long, sequence_id long, times long, at long")
+    starts = bucket_starts(counted, ["size"], "bucket", "n", "before", "all").drop("n", "all")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("size", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
+    ranked = pieces.join(starts, ["size", "bucket"]).withColumn("rank", rank)
+    order = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # at most `capacity` pieces
     return (
-        ranked.join(F.broadcast(where), "length")  # a pattern has fewer lengths than sqrt(2 capacity), and there are few patterns a length
+        ranked.join(F.broadcast(where), "size")  # a few patterns for each size
         .where("rank >= low and rank < high")
-        .select(
-            "doc_id",
-            "start",
-            "length",
-            "ids_crc32",
-            "doc_tokens",
-            (F.col("sequence") + F.expr("(rank - low) % times")).alias("sequence_id"),
-            (F.col("at") + F.expr("(rank - low) div times") * F.col("length")).alias("offset"),
-            *(["ids"] if with_ids else []),
-        )
+        .withColumn("sequence_id", F.col("sequence_id") + F.expr("(rank - low) % times"))
+        .withColumn("slot", F.col("at") + F.expr("(rank - low) div times") * F.col("size"))
+        .withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0).cast("long")))
+        .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else []))
     )
 
 
