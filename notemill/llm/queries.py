@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from notemill.llm import line_dedup, packing, quality, sharding, simhash_dedup
+import corpus_pipeline
+from notemill.llm import decontaminate, line_dedup, packing, quality, sharding, simhash_dedup, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
     "op4_packing": packing.op4_packing,
+    "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_url_filter": url_filter.op7_url_filter,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_sharding": sharding.OP1_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
