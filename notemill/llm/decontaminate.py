@@ -212,14 +212,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def without_benchmarks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text holds no benchmark item, in place; all columns. See contaminated() for nulls."""
-    clean = docs
-    for index in indexes(items):
 
+    def leaks(index):
         @F.pandas_udf(BooleanType())
-        def leaks(text: pd.Series, index=index) -> pd.Series:
+        def found(text: pd.Series) -> pd.Series:
             return pd.Series([bool(index.value.search(t)) for t in text], dtype=bool)
 
-        clean = clean.where(~leaks(text_col))
+        return found
+
+    clean = docs
+    for index in indexes(items):
+        clean = clean.where(~leaks(index)(text_col))
     return clean
 
 
