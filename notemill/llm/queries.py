@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from notemill.llm import decontaminate, license_scan, line_dedup, packing, quality, secret_scan, sharding, simhash_dedup, url_filter
+from notemill.llm import decontaminate, license_scan, line_dedup, packing, pii, quality, secret_scan, sharding, simhash_dedup, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_pii": pii.op9_pii,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
