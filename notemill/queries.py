@@ -1,10 +1,260 @@
-"""Registry of the engine's own queries: name -> (callable, DuckDB SQL or None)."""
+"""Registry of the engine's own queries: name -> callable, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from notemill.functions import refs, text
+from notemill.operators import gates, relational
+from notemill.plans import notes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+BOOKS = ["창", "출", "시", "요"]
+CHAPTERS = [("창", 50), ("출", 40), ("시", 150), ("요", 21)]
+DONE = ["example.com", "example.org"]
+RULES = [(r"[0-9]{4,}", "long_number"), (r"[A-Z]{12,}", "shouting")]
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SENTENCES = """s AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{3000}]+', ' ', 'g')), '([.!?。！？]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x != '') AS parts FROM documents)"""
+
+
+@query("sentence_split", f"WITH {_SENTENCES} SELECT doc_id, (generate_subscripts(parts, 1) - 1)::INTEGER AS pos, unnest(parts) AS sentence FROM s")
+def sentence_split(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(text.split_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query(
+    "bullet_pack",
+    f"""WITH RECURSIVE {_SENTENCES},
+walk AS (
+  SELECT doc_id, parts, 0 AS i, []::VARCHAR[] AS done, '' AS now FROM s
+  UNION ALL
+  SELECT doc_id, parts, i + 1,
+         CASE WHEN now = '' OR length(now) + length(parts[i + 1]) < 160 THEN done ELSE list_append(done, now) END,
+         CASE WHEN now = '' THEN parts[i + 1] WHEN length(now) + length(parts[i + 1]) < 160 THEN now || ' ' || parts[i + 1] ELSE parts[i + 1] END
+  FROM walk WHERE i < len(parts) AND len(done) < 4
+), ended AS (
+  SELECT doc_id, (CASE WHEN now = '' THEN done ELSE list_append(done, now) END)[1:4] AS b FROM walk WHERE i = len(parts) OR len(done) >= 4
+)
+SELECT doc_id, (generate_subscripts(b, 1) - 1)::INTEGER AS pos, unnest(b) AS bullet FROM ended""",
+)
+def bullet_pack(spark, d):
+    bullets = text.pack_bullets(text.split_sentences(F.col("text")))
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(bullets).alias("pos", "bullet"))
+
+
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INTEGER AS q, l_linenumber % 4 AS k"
+
+
+def _ref_lines(spark, d):
+    q, k = F.col("l_quantity").cast("int"), F.col("l_linenumber") % 4
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("요 "), "l_linenumber", F.lit(":"), q, F.lit("-"), q + k).alias("t"))
+
+
+@query("ref_expand", f"WITH x AS (SELECT {_LINE} FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (v - q)::INTEGER AS pos, '요' || l_linenumber || '_' || v AS normalized, 'ok' AS status FROM (SELECT *, unnest(generate_series(q, q + k)) AS v FROM x)")
+def ref_expand(spark, d):
+    return refs.expand(_ref_lines(spark, d), "t", BOOKS, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+
+
+@query("ref_ambiguous", "SELECT l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'reversed' ELSE 'long' END AS shape, count(*) AS n FROM lineitem WHERE l_quantity >= 2 GROUP BY ALL")
+def ref_ambiguous(spark, d):
+    q = F.col("l_quantity").cast("int")
+    last = F.when(F.col("l_linenumber") % 2 == 0, q - 1).otherwise(q + 51)
+    lines = _t(spark, d, "lineitem").where("l_quantity >= 2").select(F.monotonically_increasing_id().alias("id"), "l_linenumber", F.concat(F.lit("시 3:"), q, F.lit("-"), last).alias("t"))
+    found = refs.expand(lines, "t", BOOKS, ["id", "l_linenumber"]).where("status = 'ambiguous'")
+    shape = F.when(F.col("l_linenumber") % 2 == 0, "reversed").otherwise("long")
+    return found.groupBy("l_linenumber", shape.alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ref_bounds", "WITH b(book, chapters, k) AS (VALUES ('창', 50, 0), ('출', 40, 1), ('시', 150, 2), ('요', 21, 3)) SELECT book, chapters, l_partkey % 160 AS chapter, count(*) AS n FROM lineitem JOIN b ON l_suppkey % 4 = k WHERE l_partkey % 160 > chapters GROUP BY ALL")
+def ref_bounds(spark, d):
+    book = F.element_at(F.array(*[F.lit(b) for b in BOOKS]), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    bounds = F.broadcast(spark.createDataFrame(CHAPTERS, "book string, chapters int"))  # one row a book
+    found = refs.out_of_bounds(_t(spark, d, "lineitem").select(book.alias("book"), (F.col("l_partkey") % 160).alias("chapter")), bounds)
+    return found.groupBy("book", "chapters", "chapter").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("date_normalize", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, strftime(o_orderdate, '%y%m%d') AS compact FROM orders")
+def date_normalize(spark, d):
+    shape = F.col("o_orderkey") % 4
+    written = F.when(shape == 0, F.date_format("o_orderdate", "yyMMdd")).when(shape == 1, F.date_format("o_orderdate", "yyyyMMdd")).when(shape == 2, F.date_format("o_orderdate", "yyyy-M-d")).otherwise(F.date_format("o_orderdate", "yyyy.MM.dd"))
+    date = text.normalize_date(written)
+    return _t(spark, d, "orders").select("o_orderkey", date.alias("date"), text.compact_date(date).alias("compact"))
+
+
+@query("sermon_id", "SELECT o_orderkey, strftime(o_orderdate, '%y%m%d') || '_' || o_orderpriority || '_' || CASE WHEN o_orderkey % 3 = 0 THEN 'no본문' ELSE '요3_' || o_orderkey END AS sermon_id FROM orders")
+def sermon_id(spark, d):
+    passage = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit("요3_"), F.col("o_orderkey")))
+    key = text.sermon_id(F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.col("o_orderpriority"), F.lit("_ ")), passage)
+    return _t(spark, d, "orders").select("o_orderkey", key.alias("sermon_id"))
+
+
+@query("noise_flag", "SELECT doc_id, length(trim(text)) < 40 AS noise FROM documents")
+def noise_flag(spark, d):
+    return _t(spark, d, "documents").select("doc_id", text.is_noise(F.col("text")).alias("noise"))
+
+
+@query("title_key", "SELECT p_partkey, trim(p_name) AS k FROM part")
+def title_key(spark, d):
+    return _t(spark, d, "part").select("p_partkey", text.compare_key(F.concat(F.lit("[["), "p_name", F.lit("️ |x]]"))).alias("k"))
+
+
+@query("token_jaccard", "WITH t AS (SELECT p_partkey, list_distinct(regexp_extract_all(p_name, '[0-9A-Za-z]{2,}')) AS a, list_distinct(regexp_extract_all(p_type, '[0-9A-Za-z]{2,}')) AS b FROM part) SELECT p_partkey, CASE WHEN len(list_distinct(a || b)) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(a || b)) ELSE 0.0 END::DOUBLE AS j FROM t")
+def token_jaccard(spark, d):
+    return _t(spark, d, "part").select("p_partkey", text.jaccard(text.token_set(F.col("p_name")), text.token_set(F.col("p_type"))).alias("j"))
+
+
+@query("suffix_hist", "SELECT CASE WHEN regexp_matches(url, '[.]html?([?#]|$)') THEN '.html' ELSE '' END AS suffix, count(*) AS n FROM pages GROUP BY 1")
+def suffix_hist(spark, d):
+    suffix = F.when(F.col("url").rlike("[.]html?([?#]|$)"), ".html").otherwise("")
+    return _t(spark, d, "pages").groupBy(suffix.alias("suffix")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_ALLOW = "allow AS (SELECT DISTINCT p_brand AS value FROM part WHERE p_partkey % 50 = 0)"
+
+
+def _allowed(spark, d):
+    part = _t(spark, d, "part")
+    brand = part.where("p_partkey % 50 = 0").select(F.upper("p_brand").alias("k"), F.col("p_brand").alias("value")).distinct()
+    return relational.allowed(part.select("p_partkey", F.upper("p_brand").alias("k")), brand, "k")
+
+
+@query("allowlist_join", f"WITH {_ALLOW} SELECT p_partkey, value FROM part JOIN allow ON p_brand = value")
+def allowlist_join(spark, d):
+    return _allowed(spark, d)[0].select("p_partkey", "value")
+
+
+@query("allowlist_reject", f"WITH {_ALLOW} SELECT p_partkey FROM part WHERE p_brand NOT IN (SELECT value FROM allow)")
+def allowlist_reject(spark, d):
+    return _allowed(spark, d)[1].select("p_partkey")
+
+
+@query("tag_validate", "SELECT p_partkey, list_sort(list_distinct([replace(p_name, ' ', ''), replace(p_brand, ' ', '')])) AS tags FROM part")
+def tag_validate(spark, d):
+    return _t(spark, d, "part").select("p_partkey", F.array_sort(text.validate_tags(F.array("p_name", "p_brand", F.lit(" "), "p_name"))).alias("tags"))
+
+
+@query("unique_names", "SELECT o_orderkey, o_custkey || '' || CASE WHEN n = 1 THEN '' ELSE '_' || lpad(n::VARCHAR, greatest(2, length(n::VARCHAR))::INTEGER, '0') END AS name FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)")
+def unique_names(spark, d):
+    named = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("stem"))
+    return named.select("o_orderkey", relational.unique_names(named, "stem", "o_orderkey").alias("name"))
+
+
+@query("resume_anti", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_anti(spark, d):
+    return relational.pending(_t(spark, d, "documents").select("doc_id", "source"), _t(spark, d, "labels"), "doc_id")
+
+
+@query("chunk_last_wins", "SELECT conv_id, arg_max(text, turn) AS text, count(*) AS n FROM conversations GROUP BY conv_id")
+def chunk_last_wins(spark, d):
+    return relational.last_wins(_t(spark, d, "conversations"), "conv_id", "turn", "text")
+
+
+@query("bullet_merge", "SELECT conv_id, text, min(turn) AS turn FROM conversations c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND o.text = c.text AND o.role != 'user') GROUP BY conv_id, text")
+def bullet_merge(spark, d):
+    c = _t(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return relational.new_bullets(c.where("role = 'user'").drop("role"), c.where("role != 'user'"), "conv_id", "text", "turn").select("conv_id", "text", "turn")
+
+
+@query("title_match")
+def title_match(spark, d):
+    drafts = _t(spark, d, "benchmark").select(F.col("item_id").alias("draft_id"), F.substring("text", 1, 40).alias("title"))
+    corpus = _t(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.substring("text", 1, 40).alias("title"))
+    return relational.match_titles(drafts, corpus)
+
+
+@query("dup_paths", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n > 1")
+def dup_paths(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return docs.join(first, "h").where("doc_id != first").select("doc_id")
+
+
+@query("coverage_gate", "SELECT doc_id, (i - 1)::INTEGER AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(line, '[0-9]+([.][0-9]+)?\\s*%|(19|20)[0-9]{2}') AND NOT contains(line, '✅')")
+def coverage_gate(spark, d):
+    return gates.uncovered_lines(_t(spark, d, "documents"), ["doc_id"], "text", ["✅"])
+
+
+@query("forbidden_scan", " UNION ALL ".join(f"SELECT doc_id, '{r}' AS reason, unnest(regexp_extract_all(text, '{p}')) AS match FROM documents" for p, r in RULES))
+def forbidden_scan(spark, d):
+    return gates.forbidden(_t(spark, d, "documents"), ["doc_id"], "text", RULES)
+
+
+_CLAIM = "kind IN ('T1', 'T2', 'T4') OR (kind IN ('T3', 'T5') AND bearing)"
+
+
+@query(
+    "claims_gate",
+    f"""WITH c AS (SELECT event_id, 'T' || (event_id % 6 + 1) AS kind, value > 50 AS bearing, event_id % 2 = 0 AS confirmed, event_id % 4 AS domains, event_id % 3 AS inst FROM events)
+SELECT issue, kind, count(*) AS n FROM (SELECT kind, unnest(list_filter([CASE WHEN confirmed AND domains < 2 THEN 'few_domains' END, CASE WHEN confirmed AND inst < 1 THEN 'no_institution' END,
+CASE WHEN NOT confirmed AND ({_CLAIM}) AND domains = 0 THEN 'no_evidence' END], lambda x: x IS NOT NULL)) AS issue FROM c) GROUP BY ALL""",
+)
+def claims_gate(spark, d):
+    e = F.col("event_id")
+    kind = F.concat(F.lit("T"), e % 6 + 1)
+    issues = gates.claim_issues(kind, F.col("value") > 50, e % 2 == 0, e % 4, e % 3)
+    return _t(spark, d, "events").select(kind.alias("kind"), F.explode(issues).alias("issue")).groupBy("issue", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("claims_plan", f"WITH c AS (SELECT event_id, 'T' || (event_id % 6 + 1) AS kind, value > 50 AS bearing FROM events) SELECT event_id, kind, bearing FROM c WHERE {_CLAIM} ORDER BY bearing DESC, event_id::VARCHAR LIMIT 12")
+def claims_plan(spark, d):
+    claims = _t(spark, d, "events").select("event_id", F.concat(F.lit("T"), F.col("event_id") % 6 + 1).alias("kind"), (F.col("value") > 50).alias("bearing"))
+    return relational.top(claims.where(gates.needs_verification(F.col("kind"), F.col("bearing"))), [F.desc("bearing"), F.col("event_id").cast("string")], 12)
+
+
+@query("quote_verify", "SELECT conv_id, turn, len(list_filter(list_transform(string_split(text, '...'), lambda s: regexp_replace(s, '\\s+', '', 'g')), lambda s: s != '' AND NOT contains(regexp_replace(text || 'x', '\\s+', '', 'g'), s))) = 0 AS ok FROM conversations")
+def quote_verify(spark, d):
+    whole = F.concat("text", F.lit("x"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", gates.quote_holds(F.col("text"), whole).alias("ok"))
+
+
+_HOST = "regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www[.]', '')"
+
+
+@query("domain_class", f"SELECT {_HOST} AS domain, {_HOST} LIKE '%.example.com' OR {_HOST} LIKE '%.example.org' AS known, count(*) AS n FROM pages GROUP BY ALL")
+def domain_class(spark, d):
+    domain = text.domain_of(F.col("url"))
+    return _t(spark, d, "pages").groupBy(domain.alias("domain")).agg(F.count(F.lit(1)).alias("n")).withColumn("known", text.in_domains(F.col("domain"), DONE))
+
+
+@query("plan_summary", "SELECT lang AS kind, CASE WHEN l.doc_id IS NULL THEN 'create' WHEN quality = 1 THEN 'skip' WHEN toxic = 0 THEN 'merge' ELSE 'conflict' END AS action, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ALL")
+def plan_summary(spark, d):
+    met = _t(spark, d, "documents").select("doc_id", F.col("lang").alias("kind")).join(_t(spark, d, "labels"), "doc_id", "left")
+    return notes.summarize(met.withColumn("action", notes.action(F.col("quality").isNotNull(), F.col("quality") == 1, F.col("toxic") == 0)))
+
+
+@query("folder_rank", "SELECT source AS folder, count(*) AS docs, (2 + least(count(*), 20) // 4)::BIGINT AS score FROM documents GROUP BY 1 HAVING count(*) >= 5 ORDER BY score DESC, docs DESC, folder LIMIT 10")
+def folder_rank(spark, d):
+    folders = _t(spark, d, "documents").groupBy(F.col("source").alias("folder")).agg(F.count(F.lit(1)).alias("docs")).where("docs >= 5")
+    return relational.top(folders.withColumn("score", 2 + F.expr("least(docs, 20) div 4")), [F.desc("score"), F.desc("docs"), "folder"], 10)
+
+
+@query("marker_decide", "SELECT role AS token, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) >= 2 OR length(role) = 1")
+def marker_decide(spark, d):
+    return _t(spark, d, "conversations").groupBy(F.col("role").alias("token")).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 2) | (F.length("token") == 1))
+
+
+@query("weakness_trend", "WITH s AS (SELECT user_id, event_type AS dim, date_trunc('day', ts) AS day, min(value) AS score FROM events GROUP BY ALL) SELECT user_id, dim, strftime(day, '%Y-%m-%d') AS day, score <= 40 AND coalesce(lag(score) OVER (PARTITION BY user_id, dim ORDER BY day) <= 40, false) AS repeated FROM s")
+def weakness_trend(spark, d):
+    days = _t(spark, d, "events").groupBy("user_id", F.col("event_type").alias("dim"), F.date_trunc("day", "ts").alias("day")).agg(F.min("value").alias("score"))
+    before = F.lag("score").over(Window.partitionBy("user_id", "dim").orderBy("day"))
+    return days.select("user_id", "dim", F.date_format("day", "yyyy-MM-dd").alias("day"), ((F.col("score") <= 40) & F.coalesce(before <= 40, F.lit(False))).alias("repeated"))
