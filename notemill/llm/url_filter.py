@@ -114,7 +114,7 @@ def training_urls(n: int = 6000, seed: int = 11) -> tuple[list[str], np.ndarray]
         word = lambda: "".join(pick(SYLLABLES) for _ in range(int(rng.integers(1, 4))))
         bad[k] = kind = rng.random() < 0.3
         if not kind:
-            name = pick([word(), word() + word(), pick(WANTED), f"{pick(WANTED)}-{word()}", f"{word()}-{pick(WANTED)}", f"{word()}{int(rng.integers(1, 99))}"])
+            name = pick([word(), word() + word(), pick(WANTED), pick("abcxyz"), f"{word()}-{pick('xyz')}", f"{pick(WANTED)}-{word()}", f"{word()}-{pick(WANTED)}", f"{word()}{int(rng.integers(1, 99))}"])
         elif rng.random() < 0.8:
             name = "-".join([pick(UNWANTED), *[pick([pick(UNWANTED), pick(UNWANTED), word(), pick("xyz")]) for _ in range(int(rng.integers(0, 3)))]])
         else:
