@@ -76,7 +76,7 @@ def train(
     """
     x = np.nan_to_num(np.asarray(x, dtype=np.float64), nan=0.0)
     y = np.asarray(y, dtype=np.float64)
-    x = x.reshape(len(y), -1)
+    x = x if x.ndim == 2 else x.reshape(-1, 1)
     k = x.shape[1]
     signs = monotone or [0] * k
     rate0 = min(max(y.mean() if len(y) else 0.5, 1e-3), 1 - 1e-3)
