@@ -62,17 +62,17 @@ def bullet_pack(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.posexplode(bullets).alias("pos", "bullet"))
 
 
-_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INTEGER AS q, l_linenumber % 4 AS k"
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity::INTEGER AS q, l_linenumber % 4 AS k"
 
 
 def _ref_lines(spark, d):
     q, k = F.col("l_quantity").cast("int"), F.col("l_linenumber") % 4
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("요 "), "l_linenumber", F.lit(":"), q, F.lit("-"), q + k).alias("t"))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.concat(F.lit("요 "), "l_linenumber", F.lit(":"), q, F.lit("-"), q + k).alias("t"))
 
 
-@query("ref_expand", f"WITH x AS (SELECT {_LINE} FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (v - q)::INTEGER AS pos, '요' || l_linenumber || '_' || v AS normalized, 'ok' AS status FROM (SELECT *, unnest(generate_series(q, q + k)) AS v FROM x)")
+@query("ref_expand", f"WITH x AS (SELECT {_LINE} FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, (v - q)::INTEGER AS pos, '요' || l_linenumber || '_' || v AS normalized, 'ok' AS status FROM (SELECT *, unnest(generate_series(q, q + k)) AS v FROM x)")
 def ref_expand(spark, d):
-    return refs.expand(_ref_lines(spark, d), "t", BOOKS, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return refs.expand(_ref_lines(spark, d), "t", BOOKS, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
 
 
 @query("ref_ambiguous", "SELECT l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'reversed' ELSE 'long' END AS shape, count(*) AS n FROM lineitem WHERE l_quantity >= 2 GROUP BY ALL")
