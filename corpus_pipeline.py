@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.llm import decontaminate, line_dedup, packing, quality, simhash_dedup
+from notemill.llm import decontaminate, line_dedup, near_copies, packing, quality
 from notemill.llm.common import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,8 +30,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash_dedup.keep_one(docs).select(*COLUMNS)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    return near_copies.keep_one(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,22 @@ def bucket_starts(counts: DataFrame, group: list[str], bucket: str, n: str, befo
     return counts.withColumn(total, F.sum(n).over(every)).withColumn(
         before, F.coalesce(F.sum(n).over(every.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     )
+
+
+#: A key with more than this part of all rows is joined by broadcast.
+HOT_KEYS = 2000
+
+
+def split_join(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with facts, one row a key, whose column `n` tells how many rows of that key there are; n is dropped.
+
+    Keys with over 1 / HOT_KEYS of the counted rows are fewer than HOT_KEYS by arithmetic and are broadcast, the others are
+    shuffled, so no task gets a hot key. Both tables are read more than once.
+    """
+    many = (facts.agg(F.sum(n)).first()[0] or 0) / HOT_KEYS
+    hot = facts.where(F.col(n) > many).drop(n)
+    new = [c for c in hot.columns if c != key]
+    marked = rows.join(F.broadcast(hot.select(F.col(key).alias("_hot"), F.struct(*new).alias("_facts"))), F.col(key) == F.col("_hot"), "left")
+    cold = marked.where("_hot IS NULL").drop("_hot", "_facts").join(facts.where(F.col(n) <= many).drop(n).hint("shuffle_merge"), key)
+    held = marked.where("_hot IS NOT NULL").select(*rows.columns, "_facts.*")
+    return held.unionByName(cold.select(*rows.columns, *new))

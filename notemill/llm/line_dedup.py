@@ -22,15 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.common import checkpoint, table
+from notemill.llm.common import checkpoint, split_join, table
 
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
 #: Bits of a chunk.
 CHUNK = 1 << 20
 BITS_A_LINE = 16
 MIN_CHARS = 10
-#: A key with more than this part of all suspected rows is joined by broadcast.
-HOT_KEYS = 2000
 
 
 def line_key(line: bytes, least: int = MIN_CHARS) -> bytes | None:
@@ -148,12 +146,7 @@ def drop_repeated_lines(docs: DataFrame, least: int = MIN_CHARS, max_bits: int =
     id_type = docs.schema[id_col].dataType.simpleString()
     found = checkpoint(known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(suspects, f"id {id_type}, key binary"))
     first = checkpoint(found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last"))
-    # a key with over 1 / HOT_KEYS of the rows: fewer than HOT_KEYS such keys exist, so they are broadcast; the others are shuffled
-    many = found.count() / HOT_KEYS
-    hot = first.where(F.col("n") > many).select("key", F.col("first").alias("hot_first"))
-    parted = found.join(F.broadcast(hot), "key", "left")
-    cold = parted.where("hot_first IS NULL").drop("hot_first").join(first.where(F.col("n") <= many).drop("n").hint("shuffle_merge"), "key")
-    held = parted.where("hot_first IS NOT NULL").withColumnRenamed("hot_first", "first").unionByName(cold.select("key", "id", "first"))
+    held = split_join(found, first, "key", "n")
     lost = held.where("id != first").groupBy("id").agg(F.collect_set("key").alias("lost"))  # at most a document's own lines
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from notemill.llm import components, decontaminate, gbt, license_scan, line_dedup, packing, pii, quality, secret_scan, sharding, simhash_dedup, url_filter
+from notemill.llm import components, decontaminate, gbt, license_scan, line_dedup, near_copies, packing, pii, quality, secret_scan, sharding, simhash_dedup, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, id long, key string, pii string, quality string"
 LONG = " ".join(f"word{i % 977}" for i in range(20000))
@@ -93,9 +93,45 @@ def test_near_duplicates(spark, awkward):
     by = {r.doc_id: r for r in rows}
     assert by[0].fingerprint == by[1].fingerprint == by[2].fingerprint == 0 and by[2].component_id == 0
     assert by[5].component_id == 4 and by[7].component_id == 6 and by[None].component_id is None
-    kept = [r.doc_id for r in simhash_dedup.keep_one(awkward).collect()]
-    assert kept.count(4) == 1 and 5 not in kept and None in kept and 7 not in kept
-    assert simhash_dedup.keep_one(awkward.limit(0)).count() == 0
+
+
+def brute_components(texts):
+    sets = [set(near_copies.shingle_hashes(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("group", [256, 4])
+def test_near_copies(spark, group):
+    """Chains and stars of edited texts, in one chunk a key and in many."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for base in range(12):
+        words = [f"w{base}x{k}" for k in range(80 + 30 * base)]
+        for _ in range(6):
+            texts.append(" ".join(words))
+            words = list(words) if base % 2 else [f"w{base}x{k}" for k in range(80 + 30 * base)]
+            for at in rng.integers(0, len(words), 1 + base // 4):
+                words[at] = f"new{rng.integers(10**6)}"
+    texts += ["", None, "one two", "one two", "ONE\ttwo"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs, group=group).collect()}
+    root = brute_components(texts)
+    assert got == dict(enumerate(root)) and len(set(root)) < len(texts) - 40
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs, group=group).collect()) == sorted(set(root))
+
+
+def test_near_copies_awkward(spark, awkward):
+    rows = near_copies.near_copies(awkward)
+    assert rows.columns == [*awkward.columns, "component_id"] and rows.count() == awkward.count()
+    kept = [r.doc_id for r in near_copies.keep_one(awkward).collect()]
+    assert kept.count(4) == 1 and 5 not in kept and None in kept and 7 not in kept and 0 in kept and 1 not in kept
+    assert near_copies.keep_one(awkward.limit(0)).count() == 0
 
 
 def test_packing(spark, awkward):
