@@ -147,15 +147,13 @@ def links(classes: DataFrame, group: int = GROUP, weight: int = WEIGHT) -> DataF
     return edges.unionByName(checkpoint(_joined(home.select(*columns).unionByName(visit.select(*columns)).join(sets, "digest"), "c", "v")))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """All rows and columns of docs with `component_id`, the smallest id reachable over similar texts.
+def _text_key(text_col: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
-    Texts of equal shingles are similar, wordless and null ones too. A null id is never the smallest; a component of null ids
-    alone has a null component_id. Rows with equal ids are rows like others. Extra columns pass through; one named
-    `component_id` is replaced.
-    """
-    text_key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("id"), text_key.alias("text_key"), F.col(text_col).alias("text"))
+
+def _components(docs: DataFrame, id_col: str, text_col: str, group: int) -> tuple[DataFrame, DataFrame]:
+    """(id, text_key) of every row, and (text_key, component_id, n) of every text."""
+    rows = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     sketches = checkpoint(rows.mapInArrow(_sketches, f"id {id_type}, text_key binary, {SKETCH}"))
     classes = checkpoint(
@@ -166,18 +164,33 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = joined.join(least, "root").select("digest", "component_id")
     texts = sketches.groupBy("text_key").agg(F.first("digest").alias("digest"), F.count(F.lit(1)).alias("n")).join(placed, "digest").drop("digest")
+    return sketches.select("id", "text_key"), checkpoint(texts)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+    """All rows and columns of docs with `component_id`, the smallest id reachable over similar texts.
+
+    Texts of equal shingles are similar, wordless and null ones too. A null id is never the smallest; a component of null ids
+    alone has a null component_id. Rows with equal ids are rows like others. Extra columns pass through; one named
+    `component_id` is replaced.
+    """
+    _, texts = _components(docs, id_col, text_col, group)
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    found = split_join(docs.select(own, text_key.alias("text_key")), checkpoint(texts), "text_key", "n")
+    found = split_join(docs.select(own, _text_key(text_col).alias("text_key")), texts, "text_key", "n")
     return found.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns if c != "component_id"], "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """The rows of docs that stay when each component keeps one document, that with its smallest id; same columns.
 
-    Of several rows of that id that would stay, one does (the one whose columns hash lowest). Rows with a null id stay.
+    Of several rows of that id that would stay, one does: of the least text key, then of the lowest hash of its columns.
+    Rows with a null id stay. Texts are shuffled once, by id.
     """
+    ids, texts = _components(docs, id_col, text_col, group)
+    kept = split_join(ids, texts, "text_key", "n").where(F.col("id") == F.col("component_id")).groupBy("id").agg(F.min("text_key").alias("kept_key"))
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    found = near_copies(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), own), "id", "text", group)
-    kept = found.where(F.col("id").isNull() | (F.col("id") == F.col("component_id")))
-    order = Window.partitionBy("id", F.when(F.col("id").isNull(), F.xxhash64("row"))).orderBy(F.xxhash64("row"))
-    return kept.withColumn("nth", F.row_number().over(order)).where("nth = 1 or id is null").select("row.*")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), own)
+    same = _text_key(f"row.{text_col}")
+    met = rows.join(kept, "id").where((same <= F.col("kept_key")) & (same >= F.col("kept_key")))  # the join stays dealt by id
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row")))
+    return met.withColumn("nth", nth).where("nth = 1").select("row.*").unionByName(docs.where(F.col(id_col).isNull()))
