@@ -33,7 +33,7 @@ REFERENCES = 16
 #: A chunk holds about this many classes and shingles.
 GROUP, WEIGHT = 256, 1 << 20
 _SEEDS = np.random.default_rng(11).integers(0, 2**64, (2 * KEYS, 2), dtype=np.uint64) | np.uint64(1)
-SKETCH = "digest binary, fp long, size long, keys array<long>, shingles binary"
+SKETCH = "digest binary, fp long, size long, keys array<long>"
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -50,27 +50,35 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 
 
 def sketch(text: str | None) -> tuple:
-    """(digest, fingerprint, number of shingles, keys, shingles in 32 bits each) of a text."""
+    """(digest, fingerprint, number of shingles, keys) of a text."""
     h = shingle_hashes(text)
     if not len(h):
-        return hashlib.blake2b(b"", digest_size=16).digest(), 0, 0, [], b""
+        return hashlib.blake2b(b"", digest_size=16).digest(), 0, 0, []
     count = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         count += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     fp = int(np.packbits(2 * count > len(h), bitorder="little").view("<i8")[0])
     low = np.array([((h ^ s) * m).min() for s, m in _SEEDS], dtype=np.uint64).reshape(KEYS, 2)
     keys = [xxhash.xxh64_intdigest(low[k].tobytes(), k) - (1 << 63) for k in range(KEYS)]
-    return hashlib.blake2b(h.tobytes(), digest_size=16).digest(), fp, len(h), keys, np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest(), fp, len(h), keys
 
 
 def _sketches(batches):
     for batch in batches:
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
-            digest, fp, size, keys, shingles = zip(*map(sketch, part.column("text").to_pylist()), strict=True)
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            made = [pa.array(v, t) for v, t in zip((digest, fp, size, keys, shingles), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), *made], names=["id", "text_key", "digest", "fp", "size", "keys", "shingles"])
+            made = zip(*map(sketch, part.column("text").to_pylist()), strict=True)
+            made = [pa.array(v, t) for v, t in zip(made, (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), *made], names=["id", "text_key", "digest", "fp", "size", "keys"])
+
+
+def _sets(batches):
+    """Adds the shingles of the text, 32 sorted bits each."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            part = batch.slice(k, 512)
+            sets = [np.unique((shingle_hashes(t) >> np.uint64(32)).astype("<u4")).tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("digest", "fp", "size")), pa.array(sets, pa.binary())], names=["digest", "fp", "size", "shingles"])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -123,14 +131,20 @@ def _joined(members: DataFrame, *by: str) -> DataFrame:
     return members.groupBy("key", *by).agg(F.collect_list(own).alias("members")).select("members").mapInArrow(_edges, "a binary, b binary")
 
 
-def links(classes: DataFrame, group: int = GROUP, weight: int = WEIGHT) -> DataFrame:
-    """Edges (a, b) between digests that connect the same components as all similar pairs; see the module's text."""
+def links(classes: DataFrame, rows: DataFrame, group: int = GROUP, weight: int = WEIGHT) -> DataFrame:
+    """Edges (a, b) between digests that connect the same components as all similar pairs; see the module's text.
+
+    `rows` (id, text_key, text) hold the texts; shingles are made only for classes that share a key, from their `least` row.
+    """
     keyed = classes.select("digest", "size", F.explode("keys").alias("key"))
     chunks = F.greatest(F.ceil(F.col("n") / group), F.ceil(F.col("w") / weight)).cast("int")
     many = checkpoint(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w")).where("n > 1").select("key", "n", chunks.alias("chunks")))
     met = split_join(keyed.select("key", "digest"), many, "key", "n")
     members = checkpoint(met.select("key", "digest", "chunks", F.pmod(F.xxhash64("digest", "key"), F.col("chunks")).cast("int").alias("c")))
-    sets = classes.select("digest", "fp", "size", "shingles")
+    needed = members.select("digest").distinct().join(classes, "digest").select("digest", "fp", "size", "least.*")
+    texts = rows.join(needed, (rows.text_key == needed.text_key) & rows.id.eqNullSafe(needed.id)).select("digest", "fp", "size", "text")
+    shingled = texts.mapInArrow(_sets, "digest binary, fp long, size long, shingles binary")
+    sets = checkpoint(shingled.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("fp", "size", "shingles")]))  # repeated rows go
     edges = checkpoint(_joined(members.join(sets, "digest").withColumn("visitor", F.lit(False)).withColumn("root", F.col("digest")), "c"))
     big = members.where("chunks > 1")
     if big.isEmpty():
@@ -156,10 +170,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, group: int) -> tupl
     rows = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     sketches = checkpoint(rows.mapInArrow(_sketches, f"id {id_type}, text_key binary, {SKETCH}"))
-    classes = checkpoint(
-        sketches.groupBy("digest").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "size", "keys", "shingles")])
-    )
-    joined = classes.select("digest", "least").join(components(links(classes, group)), F.col("digest") == F.col("node"), "left")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("least")
+    classes = checkpoint(sketches.groupBy("digest").agg(first, *[F.first(c).alias(c) for c in ("fp", "size", "keys")]))
+    joined = classes.select("digest", F.col("least.id").alias("least")).join(components(links(classes, rows, group)), F.col("digest") == F.col("node"), "left")
     joined = joined.select("digest", "least", F.coalesce("root", "digest").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = joined.join(least, "root").select("digest", "component_id")
