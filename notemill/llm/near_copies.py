@@ -108,7 +108,8 @@ def _edges(batches):
     """Rows hold a list of members (visitor, root, digest, fp, size, shingles); visitors come last and meet all before them."""
     for batch in batches:
         a, b = [], []
-        for members in batch.column(0).to_pylist():
+        for row in batch.column(0):  # one group at a time as Python objects
+            members = row.as_py()
             members.sort(key=lambda m: (m["visitor"], m["digest"]))
             seen, own = set(), []
             for m in members:  # a visitor can be at home in this chunk too
@@ -118,7 +119,7 @@ def _edges(batches):
             visitors = sum(m["visitor"] for m in own)
             first = len(own) - visitors if visitors else 0
             sets = [np.frombuffer(m["shingles"], "<u4") for m in own]
-            part = np.unique([m["root"].hex() for m in own], return_inverse=True)[1]
+            part = np.unique([m["root"] for m in own], return_inverse=True)[1]
             fp = np.array([m["fp"] for m in own], dtype=np.int64).view(np.uint64)
             for i, j in forest(fp, np.array([m["size"] for m in own]), sets, part, first):
                 a.append(own[i]["digest"])
@@ -128,14 +129,15 @@ def _edges(batches):
 
 def _joined(members: DataFrame, *by: str) -> DataFrame:
     own = F.struct("visitor", "root", "digest", "fp", "size", "shingles")
-    return members.groupBy("key", *by).agg(F.collect_list(own).alias("members")).select("members").mapInArrow(_edges, "a binary, b binary")
+    return members.groupBy("key", *by).agg(F.collect_list(own).alias("members")).select("members").mapInArrow(_edges, "a binary, b binary").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
 
 
 def links(classes: DataFrame, rows: DataFrame, group: int = GROUP, weight: int = WEIGHT) -> DataFrame:
-    """Edges (a, b) between digests that connect the same components as all similar pairs; see the module's text.
+    """Edges (a, b) between classes (64-bit hashes of digests) that connect the same components as all similar pairs; see the module's text.
 
     `rows` (id, text_key, text) hold the texts; shingles are made only for classes that share a key, from their `least` row.
     """
+    node = F.xxhash64("digest")
     keyed = classes.select("digest", "size", F.explode("keys").alias("key"))
     chunks = F.greatest(F.ceil(F.col("n") / group), F.ceil(F.col("w") / weight)).cast("int")
     many = checkpoint(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w")).where("n > 1").select("key", "n", chunks.alias("chunks")))
@@ -145,11 +147,11 @@ def links(classes: DataFrame, rows: DataFrame, group: int = GROUP, weight: int =
     texts = rows.join(needed, (rows.text_key == needed.text_key) & rows.id.eqNullSafe(needed.id)).select("digest", "fp", "size", "text")
     shingled = texts.mapInArrow(_sets, "digest binary, fp long, size long, shingles binary")
     sets = checkpoint(shingled.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("fp", "size", "shingles")]))  # repeated rows go
-    edges = checkpoint(_joined(members.join(sets, "digest").withColumn("visitor", F.lit(False)).withColumn("root", F.col("digest")), "c"))
+    edges = checkpoint(_joined(members.join(sets, "digest").withColumn("visitor", F.lit(False)).withColumn("root", node), "c"))
     big = members.where("chunks > 1")
     if big.isEmpty():
         return edges
-    placed = checkpoint(big.join(components(edges), F.col("digest") == F.col("node"), "left").select("key", "digest", "chunks", "c", F.coalesce("root", "digest").alias("root")))
+    placed = checkpoint(big.join(components(edges), node == F.col("node"), "left").select("key", "digest", "chunks", "c", F.coalesce("root", node).alias("root")))
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     major = sizes.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("n"))
     open_ = major.where("n > top.m").select("key", "n", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.m")) / group).cast("int").alias("visits"))
@@ -172,8 +174,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, group: int) -> tupl
     sketches = checkpoint(rows.mapInArrow(_sketches, f"id {id_type}, text_key binary, {SKETCH}"))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("least")
     classes = checkpoint(sketches.groupBy("digest").agg(first, *[F.first(c).alias(c) for c in ("fp", "size", "keys")]))
-    joined = classes.select("digest", F.col("least.id").alias("least")).join(components(links(classes, rows, group)), F.col("digest") == F.col("node"), "left")
-    joined = joined.select("digest", "least", F.coalesce("root", "digest").alias("root"))
+    joined = classes.select("digest", F.col("least.id").alias("least")).join(components(links(classes, rows, group)), F.xxhash64("digest") == F.col("node"), "left")
+    joined = joined.select("digest", "least", F.coalesce("root", F.xxhash64("digest")).alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = joined.join(least, "root").select("digest", "component_id")
     texts = sketches.groupBy("text_key").agg(F.first("digest").alias("digest"), F.count(F.lit(1)).alias("n")).join(placed, "digest").drop("digest")
