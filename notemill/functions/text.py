@@ -58,7 +58,7 @@ def normalize_date(c: Column) -> Column:
     eight = F.concat(F.substring(c, 1, 4), F.lit("-"), F.substring(c, 5, 2), F.lit("-"), F.substring(c, 7, 2))
     parts = r"^([0-9]{4})[-.]([0-9]{1,2})[-.]([0-9]{1,2})$"
     month, day = F.regexp_extract(c, parts, 2), F.regexp_extract(c, parts, 3)
-    fine = month.try_cast("int").between(1, 12) & day.try_cast("int").between(1, 31) & (F.regexp_extract(c, parts, 1) >= "1900")
+    fine = month.try_cast("int").between(1, 12) & day.try_cast("int").between(1, 31) & F.regexp_extract(c, parts, 1).between("1900", "2099")
     long_ = F.concat_ws("-", F.regexp_extract(c, parts, 1), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
     return F.when(c.rlike("^[0-9]{6}$"), six).when(c.rlike("^[0-9]{8}$"), eight).when(c.rlike(parts) & fine, long_).otherwise(F.lit(""))
 

@@ -22,7 +22,7 @@ def one(spark, value, f):
 
 @pytest.mark.parametrize(
     ("given", "date"),
-    [("260719", "2026-07-19"), ("690101", "2069-01-01"), ("700101", "1970-01-01"), ("999999", "1999-99-99"), ("2026-7-9", "2026-07-09"), ("2026-02-31", "2026-02-31"), ("1004-2-3", ""), ("no", "")],
+    [("260719", "2026-07-19"), ("690101", "2069-01-01"), ("700101", "1970-01-01"), ("999999", "1999-99-99"), ("2026-7-9", "2026-07-09"), ("2026-02-31", "2026-02-31"), ("1004-2-3", ""), ("2100-1-1", ""), ("no", "")],
 )
 def test_normalize_date(spark, given, date):
     assert one(spark, given, text.normalize_date) == date
