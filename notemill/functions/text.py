@@ -91,7 +91,7 @@ def split_sentences(c: Column) -> Column:
 def is_noise(c: Column, least: int = 40) -> Column:
     """Empty, a rule line, a date header, a reading cue, or shorter than `least`."""
     t = F.trim(c)
-    return (F.length(t) < least) | t.rlike(r"^[-=*_\s]+$") | t.rlike(r"^[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}$")
+    return (F.length(t) < least) | t.rlike(r"^[-=*_\s]+$") | t.rlike(r"^[0-9]{6,8}\s+.{1,40}$") | t.rlike(r"^[가-힣A-Za-z0-9 .:_-]{1,30}\s*[을를]?\s*읽습니다\. ?$")
 
 
 def pack_bullets(sentences: Column, most: int = 4, width: int = 160) -> Column:

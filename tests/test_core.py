@@ -28,6 +28,11 @@ def test_normalize_date(spark, given, date):
     assert one(spark, given, text.normalize_date) == date
 
 
+def test_noise(spark):
+    assert one(spark, "260719 " + "가" * 38, text.is_noise) and one(spark, "- " * 30, text.is_noise)
+    assert not one(spark, "260719 " + "가" * 41, text.is_noise)
+
+
 def test_names(spark):
     assert one(spark, "260101__제목", text.collapse_separators) == "260101_제목"
     assert one(spark, "_최종_", text.collapse_separators) == "최종"
