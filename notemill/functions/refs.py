@@ -9,28 +9,46 @@ LONGEST = 50
 
 
 def find(text: Column, books: list[str]) -> Column:
-    """Array of (book, chapter, verses), in text order; longer names go first and nothing anchors a name."""
+    """Array of (raw, book, chapter, verses): in text order the references with verses, then those of a whole chapter.
+
+    Longer names go first and nothing anchors a name. A whole chapter has empty verses.
+    """
     names = "|".join(sorted(books, key=lambda b: (-len(b), b)))
-    pattern = F.lit(rf"({names})\s*([0-9]+):([0-9]+(?:\s*-\s*[0-9]+)?(?:\s*,\s*[0-9]+(?:\s*-\s*[0-9]+)?)*)")
-    parts = [F.regexp_extract_all(text, pattern, F.lit(k)).alias(n) for k, n in enumerate(("book", "chapter", "verses"), 1)]
-    return F.arrays_zip(*parts)
+    verses = r"[0-9]+(?:\s*-\s*[0-9]+)?(?:\s*,\s*[0-9]+(?:\s*-\s*[0-9]+)?)*"
+    full = F.lit(rf"({names})\s*([0-9]+)\s*[:장편]\s*({verses})\s*절?")
+    whole = F.lit(rf"({names})\s*([0-9]+)\s*[장편](?!\s*[:장]?\s*[0-9])()")
+
+    def all_of(pattern: Column) -> Column:
+        return F.arrays_zip(*[F.regexp_extract_all(text, pattern, F.lit(k)).alias(n) for k, n in enumerate(("raw", "book", "chapter", "verses"))])
 
+    return F.concat(all_of(full), all_of(whole))
 
-def expand(df: DataFrame, text_col: str, books: list[str], keep: list[str], longest: int = LONGEST) -> DataFrame:
-    """Rows (keep..., pos, normalized, status): a verse each, or one `ambiguous` row for a reversed or too long range.
 
-    The chapter keeps its digits as written, verses are numbers. Of equal references of a row the first stays.
+def expand(df: DataFrame, text_col: str, books: list[str], keep: list[str], longest: int = LONGEST, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Rows (keep..., pos, normalized, status, raw, note): a verse each, or one `ambiguous` row with the reason.
+
+    Reasons are reversed, too_long and no_verse. Books are written by their alias if they have one. The chapter keeps its
+    digits as written, verses are numbers. Of equal references of a row (ambiguous: equal raw text and reason) the first stays.
     """
+    short = F.create_map(*[F.lit(x) for b in books for x in (b, (aliases or {}).get(b, b))])
     found = df.select(*keep, F.posexplode(find(F.col(text_col), books)).alias("p", "ref"))
     items = found.select(*keep, "p", "ref", F.posexplode(F.split("ref.verses", r"\s*,\s*")).alias("q", "item"))
-    low = F.split_part("item", F.lit("-"), F.lit(1)).try_cast("int")
-    high = F.coalesce(F.nullif(F.split_part("item", F.lit("-"), F.lit(2)), F.lit("")).try_cast("int"), F.col("low"))
-    sized = items.withColumn("low", low).withColumn("high", high).withColumn("ok", (F.col("low") <= F.col("high")) & (F.col("high") - F.col("low") <= longest))
-    verses = sized.select(*keep, "p", "q", "ref", "ok", F.explode(F.when(F.col("ok"), F.sequence("low", F.when(F.col("ok"), F.col("high")).otherwise(F.col("low")))).otherwise(F.array(F.lit(0)))).alias("verse"))
-    rows = verses.withColumn("normalized", F.when(F.col("ok"), F.concat("ref.book", "ref.chapter", F.lit("_"), F.col("verse").cast("string"))).otherwise(F.lit(""))).withColumn("status", F.when(F.col("ok"), "ok").otherwise("ambiguous"))
-    first = Window.partitionBy(*keep, "normalized", F.when(~F.col("ok"), F.struct("p", "q"))).orderBy("p", "q", "verse")
+    low = F.trim(F.split_part("item", F.lit("-"), F.lit(1))).try_cast("int")
+    high = F.coalesce(F.trim(F.nullif(F.split_part("item", F.lit("-"), F.lit(2)), F.lit(""))).try_cast("int"), F.col("low"))
+    note = F.when(F.col("ref.verses") == "", "no_verse").when(F.col("high") < F.col("low"), "reversed").when(F.coalesce(F.col("high") - F.col("low") <= longest, F.lit(False)), "").otherwise("too_long")
+    sized = items.withColumn("low", low).withColumn("high", high).withColumn("note", note).withColumn("ok", F.col("note") == "")
+    verses = sized.select(*keep, "p", "q", "ref", "ok", "note", "item", F.explode(F.when(F.col("ok"), F.sequence("low", F.when(F.col("ok"), F.col("high")).otherwise(F.col("low")))).otherwise(F.array(F.lit(0)))).alias("verse"))
+    normalized = F.when(F.col("ok"), F.concat(F.element_at(short, F.col("ref.book")), "ref.chapter", F.lit("_"), F.col("verse").cast("string"))).otherwise(F.lit(""))
+    rows = verses.withColumn("normalized", normalized).withColumn("status", F.when(F.col("ok"), "ok").otherwise("ambiguous"))
+    unclear = F.when(~F.col("ok"), F.struct("ref.raw", "note", F.when(F.col("note") == "too_long", F.col("item"))))
+    first = Window.partitionBy(*keep, "normalized", unclear).orderBy("p", "q", "verse")
     kept = rows.withColumn("n", F.row_number().over(first)).where("n = 1")
-    return kept.select(*keep, (F.row_number().over(Window.partitionBy(*keep).orderBy("p", "q", "verse")) - 1).alias("pos"), "normalized", "status")
+    return kept.select(*keep, (F.row_number().over(Window.partitionBy(*keep).orderBy("p", "q", "verse")) - 1).alias("pos"), "normalized", "status", "ref.raw", "note")
+
+
+def main_passages(refs: DataFrame, keep: list[str]) -> DataFrame:
+    """The first clear reference of each document as main_passage; combined before the shuffle."""
+    return refs.where("status = 'ok'").groupBy(*keep).agg(F.min_by("normalized", "pos").alias("main_passage"))
 
 
 def out_of_bounds(refs: DataFrame, bounds: DataFrame) -> DataFrame:

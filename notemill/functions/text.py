@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ FORBIDDEN = r'[\\/:*?"<>|#^\[\]]'
 UNDATED = "undated"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 def nfc(c: Column) -> Column:
     """Unicode NFC, null as empty. Spark has no built-in function for it: Arrow batches."""
 
