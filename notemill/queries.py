@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notemill.functions import refs, text
-from notemill.operators import gates, relational
-from notemill.plans import notes
+from notemill.functions import markdown, names, refs, text
+from notemill.operators import audit, gates, relational
+from notemill.plans import config, importing, notes, render
+from notemill.sources import discovery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,7 +73,7 @@ def _ref_lines(spark, d):
 
 @query("ref_expand", f"WITH x AS (SELECT {_LINE} FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, (v - q)::INTEGER AS pos, '요' || l_linenumber || '_' || v AS normalized, 'ok' AS status FROM (SELECT *, unnest(generate_series(q, q + k)) AS v FROM x)")
 def ref_expand(spark, d):
-    return refs.expand(_ref_lines(spark, d), "t", BOOKS, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    return refs.expand(_ref_lines(spark, d), "t", BOOKS, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).drop("raw", "note")
 
 
 @query("ref_ambiguous", "SELECT l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'reversed' ELSE 'long' END AS shape, count(*) AS n FROM lineitem WHERE l_quantity >= 2 GROUP BY ALL")
@@ -258,3 +259,126 @@ def weakness_trend(spark, d):
     days = _t(spark, d, "events").groupBy("user_id", F.col("event_type").alias("dim"), F.date_trunc("day", "ts").alias("day")).agg(F.min("value").alias("score"))
     before = F.lag("score").over(Window.partitionBy("user_id", "dim").orderBy("day"))
     return days.select("user_id", "dim", F.date_format("day", "yyyy-MM-dd").alias("day"), ((F.col("score") <= 40) & F.coalesce(before <= 40, F.lit(False))).alias("repeated"))
+
+
+_STEM = "strftime(o_orderdate, '%y%m%d') || CASE WHEN o_orderkey % 2 = 0 THEN '_대_' ELSE '_' END || o_orderpriority"
+
+
+def _stems(spark, d):
+    marker = F.when(F.col("o_orderkey") % 2 == 0, "_대_").otherwise("_")
+    return _t(spark, d, "orders").select("o_orderkey", F.concat(F.date_format("o_orderdate", "yyMMdd"), marker, "o_orderpriority").alias("stem"))
+
+
+@query("filename_parse", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 2 = 0 THEN '대' ELSE '' END AS target, o_orderpriority AS title FROM orders")
+def filename_parse(spark, d):
+    return _stems(spark, d).select("o_orderkey", names.parse_filename(F.col("stem"), ["대", "청"]).alias("n")).select("o_orderkey", "n.date", "n.target", "n.title")
+
+
+@query("naming_scan", "SELECT 'date' AS what, 'shape_0' AS value, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'marker', '대', count(*) FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL UNION ALL SELECT 'marker', left(o_orderpriority, 1), count(*) FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL")
+def naming_scan(spark, d):
+    return discovery.naming(_stems(spark, d).select(F.concat("stem", F.lit(".md")).alias("name")))
+
+
+@query("kind_of", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '주일대예배' WHEN 1 THEN '새벽기도회' WHEN 2 THEN '성경공부' ELSE '' END AS kind FROM orders")
+def kind_of(spark, d):
+    k = F.col("o_orderkey") % 4
+    word = F.when(k == 0, "대 예배").when(k == 1, "새벽").when(k == 2, "세미나").otherwise("none")
+    return _t(spark, d, "orders").select("o_orderkey", names.kind_of(F.concat("o_orderpriority", F.lit(" "), word)).alias("kind"))
+
+
+@query("title_style", "SELECT p_partkey, concat_ws(',', CASE WHEN length(p_name) NOT BETWEEN 10 AND 20 THEN 'length' END, 'no_claim') AS issues FROM part")
+def title_style(spark, d):
+    return _t(spark, d, "part").select("p_partkey", F.array_join(names.title_issues(F.col("p_name"), F.lit("argument")), ",").alias("issues"))
+
+
+@query("ref_forms", "SELECT l_orderkey, l_linenumber, l_partkey, sum(1)::BIGINT AS n, CASE l_linenumber % 3 WHEN 0 THEN '요' || l_partkey || '_' || l_linenumber WHEN 1 THEN '시' || l_partkey || '_' || l_linenumber ELSE '' END AS normalized, CASE WHEN l_linenumber % 3 = 2 THEN 'no_verse' ELSE '' END AS note FROM lineitem GROUP BY ALL")
+def ref_forms(spark, d):
+    chapter, verse = F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")
+    written = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("요한복음 "), chapter, F.lit("장 "), verse, F.lit("절"))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("시 "), chapter, F.lit("편 "), verse)).otherwise(F.concat(F.lit("시편 "), chapter, F.lit("편")))
+    lines = _t(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("id"), "l_orderkey", "l_linenumber", "l_partkey", written.alias("t"))
+    found = refs.expand(lines, "t", ["요한복음", "요", "시편", "시"], ["id", "l_orderkey", "l_linenumber", "l_partkey"], aliases={"요한복음": "요", "시편": "시"})
+    return found.groupBy("l_orderkey", "l_linenumber", "l_partkey", "normalized", "note").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BODIES = "x AS (SELECT p_partkey, p_name, p_brand, trim(repeat(p_type || ' ', p_size % 15)) AS one, trim(repeat(p_name || ' ', (p_partkey % 8)::INTEGER)) AS two FROM part)"
+
+
+def _two_sections(spark, d):
+    one, two = F.expr("repeat(p_type || ' ', p_size % 15)"), F.expr("repeat(p_name || ' ', cast(p_partkey % 8 as int))")
+    return _t(spark, d, "part").select("p_partkey", F.concat(F.lit("# "), "p_name", F.lit("\n"), one, F.lit("\n## "), "p_brand", F.lit("\n"), two).alias("t"))
+
+
+@query("fragment_split", f"WITH {_BODIES} SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY k) - 1)::INTEGER AS pos, title, body AS bullet FROM (SELECT p_partkey, 1 AS k, p_name AS title, one AS body FROM x UNION ALL SELECT p_partkey, 2, replace(p_brand, '#', ' '), two FROM x) WHERE length(body) >= 80")
+def fragment_split(spark, d):
+    parts = F.filter(markdown.fragments(F.col("t"), F.lit("id")), lambda f: f["kind"] == "section")
+    return _two_sections(spark, d).select("p_partkey", F.posexplode(parts).alias("pos", "f")).select("p_partkey", "pos", "f.title", F.array_join("f.bullets", " ").alias("bullet"))
+
+
+@query("section_split", f"WITH {_BODIES} SELECT p_partkey, p_brand AS title, two AS body FROM x")
+def section_split(spark, d):
+    return _two_sections(spark, d).select("p_partkey", F.explode(markdown.sections(F.col("t"), 2)).alias("s")).select("p_partkey", "s.title", F.btrim("s.body", F.lit(" \n")).alias("body"))
+
+
+@query("frontmatter_read", "SELECT c_custkey, c_name AS name, c_mktsegment || ',' || c_nationkey AS tags, 'name,tags,none,since' AS keys, true AS is_scalar FROM customer")
+def frontmatter_read(spark, d):
+    fields = {"name": F.col("c_name"), "tags": F.array("c_mktsegment", F.col("c_nationkey").cast("string")), "none": F.array().cast("array<string>"), "since": F.lit("2026-01-01")}
+    written = _t(spark, d, "customer").select("c_custkey", markdown.frontmatter(fields, {"tags", "none"}).alias("note"))
+    read = written.withColumn("f", markdown.read_frontmatter(F.col("note")))
+    return read.select("c_custkey", F.expr("f['name'].values[0]").alias("name"), F.array_join(F.expr("f['tags'].values"), ",").alias("tags"), F.array_join(markdown.frontmatter_keys(F.col("note")), ",").alias("keys"), F.expr("f['name'].scalar AND NOT f['tags'].scalar AND size(f['none'].values) = 0").alias("is_scalar"))
+
+
+@query("note_merge", "SELECT p_partkey, '---' || chr(10) || 'k: v' || chr(10) || '---' || chr(10) || chr(10) || '- ' || p_name || chr(10) || '- ' || p_type || chr(10) || '- ' || p_brand || chr(10) || chr(10) || '원본 설교: [[m]]' || chr(10) AS content, 1 AS added, 2 AS duplicates, 2 AS existing FROM part")
+def note_merge(spark, d):
+    old = F.concat(F.lit("---\nk: v\n---\n- "), "p_name", F.lit("\n* "), "p_type", F.lit("\n"))
+    merged = render.merge(F.col("old"), F.array("p_type", "p_brand", "p_brand"), F.lit("m.md"))
+    return _t(spark, d, "part").withColumn("old", old).select("p_partkey", merged.alias("m")).select("p_partkey", "m.*")
+
+
+@query("grade_count", "SELECT doc_id, '✅' || (doc_id % 3) || ' 🟡0 ⚠️' || (doc_id % 2) || ' ❓0 🚫0' AS grades FROM documents")
+def grade_count(spark, d):
+    note = F.expr("'---\\na: ✅\\n---\\n' || repeat('✅ x', cast(doc_id % 3 as int)) || repeat('⚠️', cast(doc_id % 2 as int)) || '\\n## 검증 요약\\n✅\\n'")
+    body = markdown.body_without(F.col("note"), "검증 요약")
+    return _t(spark, d, "documents").select("doc_id", note.alias("note")).select("doc_id", markdown.grade_summary(markdown.grade_counts(body)).alias("grades"))
+
+
+def _order_notes(spark, d):
+    note = markdown.frontmatter({"world": F.array("o_orderpriority"), "tags": F.array("o_orderpriority", "o_orderstatus")}, {"world", "tags"})
+    body = F.concat(note, F.lit("## [["), "o_custkey", F.lit("]]\n- [[other]]\n\n# 원본 설교문\n## [[kept]]\n"))
+    action = F.when(F.col("o_orderkey") % 2 == 0, "merge").otherwise("create")
+    rows = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.lit("main").alias("kind"), action.alias("action"), body.alias("content"))
+    return audit.fields(rows)
+
+
+@query("note_links", "SELECT o_orderkey::VARCHAR AS path, o_custkey::VARCHAR AS detail FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey < 12)")
+def note_links(spark, d):
+    known = _t(spark, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").cast("string").alias("name"))
+    return audit.unresolved(_order_notes(spark, d), known).select("path", "detail")
+
+
+@query("note_audit", "SELECT o_orderkey::VARCHAR AS path, CASE WHEN o_orderkey % 2 = 0 THEN 'warning' ELSE 'issue' END AS severity, unnest(list_filter([CASE WHEN o_orderpriority NOT IN ('1-URGENT', '5-LOW') THEN 'not_listed_world' END, CASE WHEN contains(o_orderpriority, ' ') THEN 'tag_space' END, CASE WHEN NOT starts_with(o_orderpriority, '1') THEN 'no_prefix_world' END], lambda x: x IS NOT NULL)) AS rule FROM orders")
+def note_audit(spark, d):
+    read = _order_notes(spark, d)
+    found = audit.classification(read, {"world": ["1-URGENT", "5-LOW"], "route": []}).unionByName(audit.tags(read)).unionByName(audit.shape(read, {"world": ["1"]}))
+    return audit.routed(found).select("path", "severity", "rule")
+
+
+@query("log_repeats", "SELECT user_id::VARCHAR AS path, n::VARCHAR AS detail FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n > 1")
+def log_repeats(spark, d):
+    return audit.repeated(_t(spark, d, "events").select(F.col("user_id").cast("string").alias("path"))).select("path", "detail")
+
+
+@query("folder_stats", "SELECT '/v/' || o_orderpriority AS folder, count(*) AS documents, count(*) FILTER (o_orderkey % 3 = 0) AS readable, strftime(max(o_orderdate), '%Y-%m-%d') AS latest FROM orders GROUP BY ALL")
+def folder_stats(spark, d):
+    suffix = F.when(F.col("o_orderkey") % 3 == 0, ".md").otherwise(".pdf")
+    name = F.concat("o_orderkey", suffix)
+    files = _t(spark, d, "orders").select(F.concat(F.lit("/v/"), "o_orderpriority", F.lit("/"), name).alias("path"), name.alias("name"), suffix.alias("suffix"), F.col("o_orderdate").alias("mtime"))
+    return discovery.folders(files, [".md"]).select("folder", "documents", "readable", F.date_format("latest_modified", "yyyy-MM-dd").alias("latest"))
+
+
+@query("note_plan", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'conflict' ELSE 'create' END AS action, 'main' AS kind, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL UNION ALL SELECT 'create', 'fragment', count(*) FROM documents WHERE trim(text) != '' GROUP BY ALL")
+def note_plan(spark, d):
+    docs = _t(spark, d, "documents")
+    path = F.concat(F.lit("/x/"), "doc_id", F.lit(".md"))
+    meta = importing.metadata(docs.select(path.alias("path"), "text"), config.merged({}), BOOKS)
+    vault = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("notes/undated_"), "doc_id", F.lit(".md")).alias("path"), F.lit("x").alias("content"))
+    return notes.summarize(importing.plan(meta, vault, config.merged({})).where("action != 'failed'"))

@@ -1,11 +1,17 @@
-"""file content to text, with the failure as a value."""
+"""File content to text, with the failure as a value."""
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from xml.etree import ElementTree
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+TEXT = (".md", ".txt")
 ENCODINGS = ("utf-8", "utf-8-sig", "cp949", "euc-kr")
 
 
@@ -33,3 +39,74 @@ def warnings(suffix: Column, text: Column, pages: Column) -> Column:
     """scanned_pdf for under 20 characters a page, else short_text under 200 characters."""
     scanned = (suffix == ".pdf") & (pages > 0) & (F.length(text) / pages < 20)
     return F.filter(F.array(F.when(scanned, F.lit("scanned_pdf")).when(F.length(F.trim(text)) < 200, F.lit("short_text"))), lambda x: x.isNotNull())
+
+
+def _docx(raw: bytes) -> str:
+    lines = []
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        for p in ElementTree.fromstring(z.read("word/document.xml")).iter():
+            if not p.tag.endswith("}p"):
+                continue
+            style = next((v for e in p.iter() if e.tag.endswith("}pStyle") for k, v in e.attrib.items() if k.endswith("}val")), "")
+            text = "".join(e.text or "" for e in p.iter() if e.tag.endswith("}t"))
+            level = re.fullmatch(r"(?i)heading\s*([0-9])", style)
+            lines.append(f"{'#' * min(int(level[1]), 3)} {text}" if level and text else text)
+    return "\n".join(lines)
+
+
+def _hwpx(raw: bytes) -> str:
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        names = [(int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"Contents/section([0-9]+)\.xml", n))]
+        lines = []
+        for _, name in sorted(names):
+            for p in ElementTree.fromstring(z.read(name)).iter():
+                if p.tag.split("}")[-1] == "p":
+                    lines.append("".join(e.text or "" for e in p.iter() if e.tag.split("}")[-1] == "t"))
+        if text := "\n".join(lines).strip():
+            return text
+        raw = z.read("Preview/PrvText.txt")
+    for name in ("utf-16", "utf-8", "cp949"):
+        try:
+            return raw.decode(name)
+        except UnicodeDecodeError:
+            continue
+    raise ValueError("undecodable preview")
+
+
+READERS = {".docx": _docx, ".hwpx": _hwpx}
+
+
+def read_office(content: Column, suffix: Column) -> Column:
+    """(text, error) of DOCX and HWPX files; a broken or other file is an error value. Arrow batches: zipped XML."""
+
+    @F.pandas_udf("text string, error string")
+    def texts(data: pd.Series, kind: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw, suffix in zip(data, kind, strict=True):
+            try:
+                rows.append((READERS[suffix](bytes(raw)), None))
+            except Exception as e:  # noqa: BLE001 - whatever is wrong with one file is that file's value
+                rows.append((None, type(e).__name__))
+        return pd.DataFrame(rows, columns=["text", "error"])
+
+    return texts(content, suffix)
+
+
+def extract(files: DataFrame) -> DataFrame:
+    """files (path, suffix, content) with text, method, error and warnings. Equal contents of a type are read once.
+
+    Text is read by its encoding, DOCX and HWPX by their XML; other types (PDF and HWP need programs that are not part of
+    this) have the error `unsupported`. Contents shuffle by hash only.
+    """
+    keyed = files.withColumn("key", F.coalesce(F.sha2("content", 256), F.lit("")))
+    once = keyed.groupBy("key", "suffix").agg(F.min_by("content", "path").alias("content"))
+    office = once.where(F.col("suffix").isin(*READERS)).withColumn("r", read_office(F.col("content"), F.col("suffix"))).select("key", "suffix", "r.text", F.lit("xml").alias("method"), "r.error")
+    plain = once.where(F.col("suffix").isin(*TEXT)).withColumn("r", decode(F.col("content"))).select("key", "suffix", "r.text", F.col("r.encoding").alias("method"), "r.error")
+    read = keyed.drop("content").join(office.unionByName(plain), ["key", "suffix"], "left")
+    known = read.withColumn("error", F.when(~F.col("suffix").isin(*READERS, *TEXT), "unsupported").otherwise(F.col("error")))
+    return known.drop("key").withColumn("warnings", warnings(F.col("suffix"), F.col("text"), F.lit(0)))
+
+
+def pdf_pages(text: Column) -> Column:
+    """pages of a PDF's text: its form feeds, and one more if text follows the last."""
+    return F.size(F.split(text, "\f")) - 1 + F.when(F.trim(F.element_at(F.split(text, "\f"), -1)) != "", 1).otherwise(0)
