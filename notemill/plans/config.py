@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import json
+import os
 import re
 
 DEFAULTS = {
@@ -58,3 +59,21 @@ def load(path: str) -> dict:
     if wrong := problems(c):
         raise ValueError("; ".join(wrong))
     return c
+
+
+def read_json(path: str) -> dict:
+    """a settings file, empty if it is missing or broken."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+    except (OSError, ValueError):
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def save(c: dict, path: str) -> None:
+    """K5: settings to a JSON file, put in place as a whole."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(f"{path}.new", "w", encoding="utf-8") as f:
+        json.dump(c, f, ensure_ascii=False, indent=2)
+    os.replace(f"{path}.new", path)

@@ -110,3 +110,14 @@ def extract(files: DataFrame) -> DataFrame:
 def pdf_pages(text: Column) -> Column:
     """pages of a PDF's text: its form feeds, and one more if text follows the last."""
     return F.size(F.split(text, "\f")) - 1 + F.when(F.trim(F.element_at(F.split(text, "\f"), -1)) != "", 1).otherwise(0)
+
+
+def text_or_json(raw: Column) -> Column:
+    """the `text` of a JSON object, else the raw content."""
+    return F.coalesce(F.get_json_object(raw, "$.text"), raw)
+
+
+def quotes_of(raw: Column) -> Column:
+    """quotations of a JSON object (`quotes`) or array, without blank ones; none for other content."""
+    listed = F.coalesce(F.from_json(F.get_json_object(raw, "$.quotes"), "array<string>"), F.from_json(F.when(F.trim(raw).startswith("["), raw), "array<string>"))
+    return F.filter(F.coalesce(listed, F.array().cast("array<string>")), lambda q: F.trim(q) != "")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notemill.functions import markdown, names, refs
-from notemill.operators import audit
+from notemill.operators import audit, rules
 from notemill.plans import config, importing, notes
 from notemill.sources import decode, discovery
 from notemill.streaming import incremental
@@ -183,3 +183,21 @@ def test_incremental(spark, tmp_path):
     assert go() == [(0, "a"), (1, "a")]
     spark.range(3).selectExpr("id k", "'b' v").write.mode("append").parquet(f"{tmp_path}/in")
     assert go() == [(0, "a"), (1, "a"), (2, "b")]
+
+
+def test_rules(spark, tmp_path):
+    one = spark.range(1)
+    assert one.select(rules.list_issues(F.array(F.lit("d")), F.array(F.lit("믿음")), ["믿음"])).first()[0] == ["tag_count", "general_tag"]
+    assert one.select(rules.list_issues(F.lit(None).cast("array<string>"), F.array(*map(F.lit, "abc")), [])).first()[0] == ["doctrine_count"]
+    pairs = one.select(rules.overlapping(F.array(F.lit("aa bb cc"), F.lit("zz"), F.lit("bb cc aa")))).first()[0]
+    assert [tuple(p) for p in pairs] == [(0, 2, 1.0)]
+    assert each(spark, ["진단 관찰", "x"], lambda c: rules.exempt(c, ["관찰"])) == [True, False]
+    plan = spark.createDataFrame([("a",), ("",), (None,)], "kind string")
+    assert rows(rules.by_kind(plan, "kind")) == [("(구분 없음)", 2), ("a", 1)]
+    sections = spark.createDataFrame([(1, "A"), (1, "A"), (2, "A"), (2, "B")], "doc int, title string")
+    quotas = spark.createDataFrame([("A", 1, 1), ("B", 1, 2)], "title string, least int, most int")
+    assert rows(rules.section_issues(sections, quotas)) == [(1, "A", 2, 1, 1), (1, "B", 0, 1, 2)]
+    assert each(spark, ['{"text":"t"}', "raw", '["t"]'], decode.text_or_json) == ["t", "raw", '["t"]']
+    assert each(spark, ['{"quotes":["a"," "]}', '["b"]', "raw"], decode.quotes_of) == [["a"], ["b"], []]
+    config.save(config.merged({}), f"{tmp_path}/c/s.json")
+    assert config.load(f"{tmp_path}/c/s.json") == config.DEFAULTS and config.read_json(f"{tmp_path}/none") == {}
