@@ -86,7 +86,7 @@ def read_frontmatter(note: Column) -> Column:
     body = F.split(F.regexp_extract(note, r"(?s)\A---\n(.*?)\n---\n", 1), "\n")
     read = F.aggregate(F.filter(body, lambda x: F.trim(x) != ""), start, step, lambda acc: acc["done"])
     # the last of equal keys is the one that no later entry repeats
-    last = F.filter(read, lambda e, i: ~F.exists(F.slice(read, i + 2, F.size(read)), lambda o: o["key"] == e["key"]))
+    last = let(read, lambda r: F.filter(r, lambda e, i: ~F.exists(F.slice(r, i + 2, F.size(r)), lambda o: o["key"] == e["key"])))
     return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], F.struct(e["scalar"].alias("scalar"), e["values"].alias("values"))))).cast(FIELDS)
 
 
