@@ -2,8 +2,9 @@
 
 A text is cut into sentences (at line ends, and after . ! ? ; : before white space). Normalised sentences (lower case, runs
 of other characters than letters and digits as one space) are mapped to identifiers of known licence sentences, everything
-else is left out, and the sequence of identifiers is matched against ordered rules. A rule is a run of identifiers; the
-first rule that fits takes its identifiers out of the sequence, so longer texts go before notices and references.
+else is left out, and the sequence of identifiers is matched against ordered rules. A sentence may run over several lines, but
+not over a blank one, nor over one of marks alone. A rule is a run of identifiers; the first rule that fits takes its
+identifiers out of the sequence, so longer texts go before notices and references.
 
 DataFrame functions only, one pass, no shuffle; the tables of sentences and rules are literals of fixed size.
 """
@@ -40,6 +41,12 @@ SENTENCES = {
     "cc0": "this work is dedicated to the public domain under cc0 1 0",
     "reserved": "all rights reserved",
 }
+# fixed values: other wordings of known sentences
+VARIANTS = [("apache2-ref", "licensed under the apache license version 2 0 the license")]
+#: Stands between two sentences of the Apache notice, also on one line.
+APACHE_URL = r"https?://www\.apache\.org/licenses/license-2\.0[^\x20\x09-\x0D]*"
+#: Words of known sentences after which a colon or semicolon may stand.
+STOPS = {"gpl-free": "software", "gpl-hope": "warranty"}
 # ordered: the first that fits takes its identifiers
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
@@ -65,12 +72,25 @@ RULES = [
 HINTS = "(?i)licen|permission|permitted|warrant|copyright|free software|public domain|rights reserved|distribut|software is provided"
 
 
+def _pattern() -> str:
+    """All known sentences in a text marked by identifiers(), from the start of a line or piece to the end of one."""
+    gap, stop = "(?: N? ?|N ?)", "[ C]{1,3}(?:N ?)?"
+    found = []
+    for name, sentence in [*VARIANTS, *SENTENCES.items()]:
+        words = sentence.split(" ")
+        at = words.index(STOPS[name]) + 1 if name in STOPS else 0
+        found.append(stop.join(gap.join(w) for w in (words[:at], words[at:]) if w))
+    return f"(?<=^ ?|[ENC] ?)(?:{'|'.join(found)})(?= ?(?:[ENC]|$))"
+
+
 def identifiers(text: Column) -> Column:
     """The identifiers of a text's known sentences, in order."""
-    by_text = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
-    cut = F.split(F.regexp_replace(text, r"([.!?;:])[\x20\x09-\x0D]+", "$1\n"), "\n")
-    normal = lambda s: F.btrim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "), F.lit(" "))
-    known = F.filter(F.transform(cut, lambda s: F.try_element_at(by_text, normal(s))), lambda x: x.isNotNull())
+    by_text = F.create_map(*[F.lit(x) for name, sentence in [*VARIANTS, *SENTENCES.items()] for x in (sentence, name)])
+    # a lower-case text has no capitals, so these mark ends (E), colons and semicolons (C) and new lines (N)
+    marked = F.lower(text)
+    for there, mark in ((APACHE_URL, "E"), (r"[.!?](?=[\x20\x09-\x0D])", "E"), (r"[;:](?=[\x20\x09-\x0D])", "C"), (r"\n", "N"), ("[^a-z0-9ENC]+", " ")):
+        marked = F.regexp_replace(marked, there, mark)
+    known = F.transform(F.regexp_extract_all(marked, F.lit(_pattern()), F.lit(0)), lambda s: F.element_at(by_text, F.regexp_replace(s, "[ NC]+", " ")))
     return F.when(text.rlike(HINTS), known).otherwise(F.array().cast("array<string>"))
 
 

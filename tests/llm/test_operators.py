@@ -48,6 +48,58 @@ def test_license(spark):
     assert got == {1: (["MIT", "Proprietary"], ["mit-ref", "reserved"]), 2: ([], []), 3: (["Apache-2.0"], ["apache2-ref"])}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License"""
+
+
+def test_license_texts(spark):
+    """Canonical wrapped notices, in comments, with CR LF and on one line."""
+    texts, names = [MIT, BSD, GPL, APACHE], ["MIT", "BSD-2-Clause", "GPL-3.0-or-later", "Apache-2.0"]
+    ways = [lambda t: t, lambda t: "# " + t.replace("\n", "\n# "), lambda t: t.replace("\n", "\r\n"), lambda t: " ".join(t.split())]
+    rows = [(way(t), [name]) for t, name in zip(texts, names, strict=True) for way in ways]
+    rows += [("All rights\n\nreserved", []), ("This program is free software:\n\n" + " ".join(GPL.split("\n\n")[0].split())[31:], []), ("Title\nReleased under\nthe MIT License", ["MIT"])]
+    df = spark.createDataFrame(rows, "text string, want array<string>")
+    for r in license_scan.scan(df).collect():
+        assert (r.license.licenses, r.license.unmatched) == (r.want, []), r.text
+
+
 def find_root(x, radius=3):
     root = list(range(len(x)))
     for _ in x:
