@@ -100,6 +100,13 @@ def test_license_texts(spark):
         assert (r.license.licenses, r.license.unmatched) == (r.want, []), r.text
 
 
+def test_license_hints(spark):
+    rows = [("All rights  reserved.", ["reserved"]), ("x\nAll Rights-Reserved", ["reserved"]), ("This work is dedicated to the public\u00a0 domain under CC0 1.0.", ["cc0"])]
+    df = spark.createDataFrame(rows, "text string, want array<string>")
+    assert all(r.license.sentence_ids == r.want for r in license_scan.scan(df).collect())
+    assert all(re.search(license_scan.HINTS, s) for s in license_scan.SENTENCES.values())
+
+
 def find_root(x, radius=3):
     root = list(range(len(x)))
     for _ in x:
