@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notemill.functions.text import jaccard, token_set
+from notemill.functions.text import compare_key, jaccard, token_set
 
 
 def allowed(values: DataFrame, allow: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -46,30 +47,67 @@ def new_bullets(new: DataFrame, old: DataFrame, group: str, key: str, order: str
     return keep_first(new.join(old.select(group, key).distinct(), [group, key], "left_anti"), [group, key], order)
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """T19, sequence part: Ratcliff-Obershelp by difflib, in Arrow batches (there is no built-in function)."""
+def ratio_bounds(x: pd.Series, y: pd.Series) -> np.ndarray:
+    """At least the sequence ratio of each pair: matching blocks are a common subsequence, so the longest one bounds them.
+
+    Bit-parallel over all pairs, for x up to 64 and y up to 256 characters; others, and those with a NUL, have the bound 1.
+    """
+    out = np.ones(len(x))
+    fits = np.flatnonzero((x.str.len() <= 64) & (y.str.len() <= 256) & ~(x + y).str.contains("\0", regex=False))
+    if not len(fits):
+        return out
+    (i, p), (j, q) = pd.factorize(x.iloc[fits]), pd.factorize(y.iloc[fits])
+    p, q = (np.array(list(u), dtype=f"U{max(1, max(map(len, u)))}") for u in (p, q))
+    n, m = np.char.str_len(p), np.char.str_len(q)
+    p, q = p.view(np.uint32).reshape(len(p), -1), q.view(np.uint32).reshape(len(q), -1)
+    known = np.unique(p)
+    masks = np.zeros((len(p), len(known) + 1), dtype=np.uint64)
+    for k in range(p.shape[1]):  # a bit for each place of a character; padding has none
+        masks[np.arange(len(p)), np.searchsorted(known, p[:, k])] |= np.where(p[:, k] > 0, np.uint64(1 << k), np.uint64(0))
+    at = np.searchsorted(known, q)
+    at[known[np.minimum(at, len(known) - 1)] != q] = len(known)
+    rows, columns = masks.reshape(-1), np.ascontiguousarray(at.T)
+    s = np.full(len(fits), ~np.uint64(0))
+    for column in columns:
+        t = s & rows[i * masks.shape[1] + column[j]]
+        s = (s + t) | (s - t)
+    out[fits] = 2.0 * np.bitwise_count(~s) / np.maximum(n[i] + m[j], 1)
+    out[fits[n[i] + m[j] == 0]] = 1
+    return out
+
+
+def ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """T19, sequence part: Ratcliff-Obershelp by difflib, in Arrow batches (there is no built-in function); 0 if under least."""
 
     @F.pandas_udf("double")
     def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
+        out = np.zeros(len(x))
+        for k in np.flatnonzero(ratio_bounds(x, y) >= least):
+            r = difflib.SequenceMatcher(None, x.iat[k], y.iat[k]).ratio()
+            out[k] = r if r >= least else 0
+        return pd.Series(out)
 
     return ratios(a, b)
 
 
 def match_titles(drafts: DataFrame, corpus: DataFrame, threshold: float = 0.55, top: int = 5) -> DataFrame:
-    """For each draft (draft_id, title) the `top` corpus titles (title, seq) at or over the threshold.
+    """For each draft (draft_id, title) the `top` distinct corpus titles (title, seq) at or over the threshold.
 
-    Similarity is the higher of token Jaccard and sequence ratio. Titles whose length alone bounds the ratio below the
-    threshold, and that share no token, are discarded by plain expressions before Python sees a pair. Every draft is held
-    against the whole corpus by definition; the drafts are the small, stated side.
+    A title counts once, at its least seq. Similarity is the higher of token Jaccard and sequence ratio of the compared keys;
+    it is rounded only when shown. Titles whose length alone bounds the ratio below the threshold, and that share no token, are
+    discarded by plain expressions before Python sees a pair. Every draft is held against the whole corpus by definition; the
+    drafts are the small, stated side.
     """
-    a = drafts.select("draft_id", F.col("title").alias("draft"), token_set(F.col("title")).alias("t"))
-    b = corpus.select("seq", "title", token_set(F.col("title")).alias("u"))
-    bound = 2 * F.least(F.length("draft"), F.length("title")) / F.greatest(F.length("draft") + F.length("title"), F.lit(1))
-    pairs = b.join(a, (bound >= threshold) | F.arrays_overlap("t", "u"))
-    scored = pairs.withColumn("similarity", F.bround(F.greatest(jaccard(F.col("t"), F.col("u")), ratio(F.col("draft"), F.col("title"))), 3)).where(F.col("similarity") >= threshold)
-    best = Window.partitionBy("draft_id").orderBy(F.desc("similarity"), "seq")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("draft_id", "title", "similarity", "rank")
+    keyed = lambda df, *keep: df.select(*keep, F.regexp_replace(compare_key(F.col("title")), r"(?U)^\s+|\s+$", "").alias("key"))
+    a = keyed(drafts.where(r"title RLIKE '\\S'"), "draft_id").select("draft_id", F.col("key").alias("draft"), token_set(F.col("key")).alias("t"))
+    distinct = corpus.where("title IS NOT NULL").groupBy("title").agg(F.min("seq").alias("seq"))
+    b = keyed(distinct, "seq", "title").withColumn("u", token_set(F.col("key")))
+    bound = 2 * F.least(F.length("draft"), F.length("key")) / F.greatest(F.length("draft") + F.length("key"), F.lit(1))
+    pairs = b.join(F.broadcast(a), (bound >= threshold) | F.arrays_overlap("t", "u") | (F.length("draft") + F.length("key") == 0))
+    scored = pairs.withColumn("score", F.greatest(jaccard(F.col("t"), F.col("u")), ratio(F.col("draft"), F.col("key"), threshold))).where(F.col("score") >= threshold)
+    best = Window.partitionBy("draft_id").orderBy(F.desc("score"), "seq")
+    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    return ranked.select("draft_id", "title", F.bround("score", 3).alias("similarity"), "rank")
 
 
 def top(df: DataFrame, order: list, k: int) -> DataFrame:

@@ -1,8 +1,11 @@
 """The engine's own functions on small cases, and its queries against DuckDB."""
 
+import difflib
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -97,6 +100,26 @@ def test_gates_and_matching(spark):
     assert relational.allowed(values, values.limit(0).withColumn("value", F.col("k")), "k")[0].first().value == "a"
 
 
+def test_titles_count_once(spark):
+    a = spark.createDataFrame([(1, "grace alone saves"), (2, "abcdefghijk")], "draft_id int, title string")
+    copies = [(i, "grace alone saves") for i in range(10, 20)]
+    b = spark.createDataFrame([*copies, (5, "grace alone saves us"), (4, "[[grace alone saves|x]]"), (3, "saves alone grace"), (6, "abcdefxyz"), (7, None)], "seq int, title string")
+    got = [(r.draft_id, r.title, r.similarity) for r in relational.match_titles(a, b, threshold=0.5996).orderBy("draft_id", "rank").collect()]
+    assert got == [(1, "saves alone grace", 1.0), (1, "[[grace alone saves|x]]", 1.0), (1, "grace alone saves", 1.0), (1, "grace alone saves us", 0.919), (2, "abcdefxyz", 0.6)]
+    a = spark.createDataFrame([(1, "a" * 72 + "b" * 59)], "draft_id int, title string")
+    b = spark.createDataFrame([(1, "a" * 72 + "c" * 59)], "seq int, title string")
+    assert relational.match_titles(a, b).count() == 0  # 0.5496 is under 0.55, though shown as 0.55
+
+
+def test_ratio_bounds():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcé 가😀"), rng.integers(0, n))) for n in [3, 12, 65, 66, 300] * 12] + ["a\0b", "\0"]
+    x, y = (pd.Series(v) for v in zip(*[(a, b) for a in words for b in words], strict=True))
+    exact = np.array([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(x, y, strict=True)])
+    bounds = relational.ratio_bounds(x, y)
+    assert (bounds >= exact).all() and (bounds < 1).sum() > 1000
+
+
 def plain(v):
     return repr(round(v, 9)) if isinstance(v, float) else str(v)
 
