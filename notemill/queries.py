@@ -228,6 +228,11 @@ def quote_verify(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", gates.quote_holds(F.col("text"), whole).alias("ok"))
 
 
+@query("quote_sources")
+def quote_sources(spark, d):
+    return gates.find_quotes(_t(spark, d, "benchmark").select("item_id", "text"), _t(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id")
+
+
 _HOST = "regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www[.]', '')"
 
 

@@ -120,6 +120,29 @@ def test_ratio_bounds():
     assert (bounds >= exact).all() and (bounds < 1).sum() > 1000
 
 
+def test_quotes_in_sources(spark):
+    q = [(1, "to be … not\nto be"), (2, "to be ... never "), (3, "« nowhere » … at all"), (4, "... …"), (5, "be or not"), (5, "be or not"), (6, None)]
+    s = [(30, "To sleep. to be or\u00a0not"), (20, "x to be or\nnot to  'be'"), (10, "to be"), (None, None), (40, "")]
+    found = gates.find_quotes(spark.createDataFrame(q, "q int, text string"), spark.createDataFrame(s, "s int, text string").repartition(3), "q", "s")
+    assert sorted((r.q, r.ok, r.n_sources, r.s, r.missing_segments) for r in found.collect() if r.s) == [
+        (1, True, 1, 20, []), (2, False, 0, 10, ["never"]), (5, True, 2, 20, []), (5, True, 2, 20, [])]
+    assert sorted((r.q, r.ok, r.missing_segments) for r in found.collect() if not r.s) == [(3, False, ["« nowhere »", "at all"]), (4, True, []), (6, True, [])]
+
+
+def test_quote_sources(spark):
+    """Benchmark texts against every document, by brute force."""
+    squeezed = lambda t: "".join(c for c in t if not c.isspace() and c not in "\"'“”‘’«»")
+    rows = core.QUERIES["quote_sources"](spark, SF).collect()
+    docs = [(r.doc_id, squeezed(r.text or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    assert len(rows) == len(items)
+    got = {r.item_id: (r.ok, r.n_sources) for r in rows}
+    for r in items:
+        parts = [s for s in map(squeezed, r.text.replace("…", "...").split("...")) if s]
+        n = sum(all(s in t for s in parts) for _, t in docs)
+        assert got[r.item_id] == (n > 0, n)
+
+
 def plain(v):
     return repr(round(v, 9)) if isinstance(v, float) else str(v)
 
