@@ -4,7 +4,8 @@ Three kinds are reported wherever they stand: assignments, access identifiers an
 weak, since each alone is mostly harmless: account names in assignments (`ident`), service addresses (`endpoint`) and long
 mixed strings (`key`). A weak candidate is reported only if complementary parts co-occur in its scope: an identifier with
 a secret, a key with an identifier or an address, an address with a secret. Scopes are cells of SCOPE code points; parts are
-joined when their cells are equal or neighbours, so the join is on intervals of the text and never on all pairs.
+joined when any of their cells, from that of the start to that of the end, are equal or neighbours, so the join is on intervals
+of the text and never on all pairs. Parts at most SCOPE apart are always joined.
 
 DataFrame functions only; no row leaves its task and there is no shuffle.
 """
@@ -30,13 +31,15 @@ KINDS = ["assign", "access", "hex", "ident", "endpoint", "key"]
 PATTERNS = dict(zip(KINDS, [ASSIGN, ACCESS, HEX, IDENT, ENDPOINT, KEY], strict=True))
 
 
-def _cell(span: Column) -> Column:
-    return F.floor(span["start"] / SCOPE).cast("int")
+def _cells(span: Column, more: int = 0) -> Column:
+    """The cells of a span, and `more` on either side."""
+    first, last = (F.floor(span[c] / SCOPE).cast("int") for c in ("start", "end"))
+    return F.sequence(first - more, last + more)
 
 
 def _near(spans: Column, cells: Column) -> Column:
-    """Spans whose cell is among the cells (which hold their neighbours already)."""
-    return F.filter(spans, lambda s: F.array_contains(cells, _cell(s)))
+    """Spans with a cell among the cells (which hold their neighbours already)."""
+    return F.filter(spans, lambda s: F.arrays_overlap(cells, _cells(s)))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -54,7 +57,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     long_ = F.filter(at["assign"], lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 6)
     step = step.withColumn("_at", F.struct(long_.alias("assign"), at["access"], at["hex"], at["ident"], at["endpoint"], F.filter(at["key"], mixed).alias("key")))
     weak = (F.size(at["ident"]) + F.size(at["endpoint"]) + F.size(at["key"])) > 0
-    cells = lambda *kinds: F.array_distinct(F.flatten(F.transform(F.concat(*[at[k] for k in kinds]), lambda s: F.array(_cell(s) - 1, _cell(s), _cell(s) + 1))))
+    cells = lambda *kinds: F.array_distinct(F.flatten(F.transform(F.concat(*[at[k] for k in kinds]), lambda s: _cells(s, 1))))
     step = step.withColumn("_cells", F.when(weak, F.struct(cells("assign", "hex", "key").alias("secret"), cells("access", "ident", "endpoint").alias("name"))))
     apart = lambda spans: F.filter(spans, lambda s: ~F.exists(at["assign"], lambda a: (a["start"] <= s["start"]) & (s["end"] <= a["end"])))
     near = {"ident": "secret", "endpoint": "secret", "key": "name"}

@@ -241,6 +241,17 @@ def test_secrets(spark):
         assert all(t[r.doc_id][s.start : s.end] == s.match for k in secret_scan.KINDS for s in r.secrets[k])
 
 
+def test_secrets_longer_than_a_cell(spark):
+    long_, key, url = "zq1" * 234, "aB3" * 234, "https://db.example.com"
+    t = [f"token={long_} {url}", f"{key} {url}", f"{url} {key}", f"{'x ' * 120}token={'q1' * 20} {'- ' * 118}{url}", f"token=abcdefgh {'- ' * 400}{url}"]
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id int, text string")
+    got = {r.doc_id: {k: [s.match for s in r.secrets[k]] for k in secret_scan.KINDS if r.secrets[k]} for r in secret_scan.scan(df).collect()}
+    assert got[0] == {"assign": [f"token={long_}"], "endpoint": [url]}
+    assert got[1] == got[2] == {"key": [key], "endpoint": [url]}
+    assert got[3]["endpoint"] == [url]  # starts two cells apart, the gap is under SCOPE
+    assert list(got[4]) == ["assign"]
+
+
 def brute_pii(t):
     digits = lambda s: re.sub("[^0-9]", "", s)
     luhn = lambda d: sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
