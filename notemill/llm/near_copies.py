@@ -168,7 +168,7 @@ def _text_key(text_col: str):
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, group: int) -> tuple[DataFrame, DataFrame]:
-    """(id, text_key) of every row, and (text_key, component_id, n) of every text."""
+    """(id, text_key) of every row, and (text_key, component_id, root, n) of every text; root tells components of equal ids apart."""
     rows = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     sketches = checkpoint(rows.mapInArrow(_sketches, f"id {id_type}, text_key binary, {SKETCH}"))
@@ -177,7 +177,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, group: int) -> tupl
     joined = classes.select("digest", F.col("least.id").alias("least")).join(components(links(classes, rows, group)), F.xxhash64("digest") == F.col("node"), "left")
     joined = joined.select("digest", "least", F.coalesce("root", F.xxhash64("digest")).alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = joined.join(least, "root").select("digest", "component_id")
+    placed = joined.join(least, "root").select("digest", "component_id", "root")
     texts = sketches.groupBy("text_key").agg(F.first("digest").alias("digest"), F.count(F.lit(1)).alias("n")).join(placed, "digest").drop("digest")
     return sketches.select("id", "text_key"), checkpoint(texts)
 
@@ -198,14 +198,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """The rows of docs that stay when each component keeps one document, that with its smallest id; same columns.
 
-    Of several rows of that id that would stay, one does: of the least text key, then of the lowest hash of its columns.
-    Rows with a null id stay. Texts are shuffled once, by id.
+    Of several rows of that id in one component, one stays: of the least text key, then of the lowest hash of its columns.
+    Rows with a null id stay. Texts are shuffled once, by id and text key.
     """
     ids, texts = _components(docs, id_col, text_col, group)
-    kept = split_join(ids, texts, "text_key", "n").where(F.col("id") == F.col("component_id")).groupBy("id").agg(F.min("text_key").alias("kept_key"))
+    kept = split_join(ids, texts, "text_key", "n").where(F.col("id") == F.col("component_id")).groupBy("id", "root").agg(F.min("text_key").alias("text_key")).drop("root")
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), own)
-    same = _text_key(f"row.{text_col}")
-    met = rows.join(kept, "id").where((same <= F.col("kept_key")) & (same >= F.col("kept_key")))  # the join stays dealt by id
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row")))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _text_key(text_col).alias("text_key"), own)
+    met = rows.join(kept, ["id", "text_key"])  # a text is in one component, so these are distinct
+    nth = F.row_number().over(Window.partitionBy("id", "text_key").orderBy(F.xxhash64("row")))
     return met.withColumn("nth", nth).where("nth = 1").select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

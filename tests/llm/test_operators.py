@@ -193,6 +193,15 @@ def test_near_copies_awkward(spark, awkward):
     assert near_copies.keep_one(awkward.limit(0)).count() == 0
 
 
+def test_near_copies_of_equal_ids(spark):
+    """Two texts of one id, each the least of its own component: both components keep a row."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(5, a, 1), (5, b, 2), (12, b + " tail", 3), (5, a, 4), (7, a + " tail", 5), (5, b + " end", 6)], "doc_id long, text string, n int").repartition(3)
+    kept = near_copies.keep_one(docs).collect()
+    assert len(kept) == 2 and {r.doc_id for r in kept} == {5}
+    assert sorted(r.text[0] for r in kept) == ["a", "b"]
+
+
 def test_packing(spark, awkward):
     from tokenizers import Tokenizer
 
