@@ -266,6 +266,23 @@ def weakness_trend(spark, d):
     return days.select("user_id", "dim", F.date_format("day", "yyyy-MM-dd").alias("day"), ((F.col("score") <= 40) & F.coalesce(before <= 40, F.lit(False))).alias("repeated"))
 
 
+@query(
+    "weakness_rules",
+    """WITH s AS (SELECT user_id, event_type AS dim, date_trunc('day', ts) AS day, min(value) AS score FROM events GROUP BY ALL),
+w AS (SELECT *, (score <= 40 OR (min(score) OVER d > 40 AND row_number() OVER (d ORDER BY score, dim) = 1)) AS weak, dense_rank() OVER (PARTITION BY user_id ORDER BY day) AS nth FROM s WINDOW d AS (PARTITION BY user_id, day))
+SELECT user_id, dim, strftime(day, '%Y-%m-%d') AS day, EXISTS (SELECT 1 FROM w b WHERE b.user_id = w.user_id AND b.dim = w.dim AND b.weak AND b.nth BETWEEN w.nth - 3 AND w.nth - 1) AS repeated FROM w WHERE weak""",
+)
+def weakness_rules(spark, d):
+    """The weak dimensions of each user-day, and whether any of the user's last three days had the same one."""
+    scores = _t(spark, d, "events").groupBy("user_id", F.col("event_type").alias("dim"), F.date_trunc("day", "ts").alias("day")).agg(F.min("value").alias("score"))
+    of_day = Window.partitionBy("user_id", "day")
+    lowest = (F.min("score").over(of_day) > 40) & (F.row_number().over(of_day.orderBy("score", "dim")) == 1)
+    nth = F.dense_rank().over(Window.partitionBy("user_id").orderBy("day"))
+    weak = scores.select("user_id", "dim", "day", ((F.col("score") <= 40) | lowest).alias("weak"), nth.alias("nth")).where("weak")
+    last = F.lag("nth").over(Window.partitionBy("user_id", "dim").orderBy("nth"))
+    return weak.select("user_id", "dim", F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce(F.col("nth") - last <= 3, F.lit(False)).alias("repeated"))
+
+
 _STEM = "strftime(o_orderdate, '%y%m%d') || CASE WHEN o_orderkey % 2 = 0 THEN '_대_' ELSE '_' END || o_orderpriority"
 
 

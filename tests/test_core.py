@@ -143,6 +143,15 @@ def test_quote_sources(spark):
         assert got[r.item_id] == (n > 0, n)
 
 
+def test_weakness_rules(spark, tmp_path):
+    """The lowest dimension of a day over the limit, and a look-back of three days."""
+    scores = [(1, {"a": 50, "b": 60}), (2, {"a": 80, "b": 70}), (3, {"a": 90, "b": 30}), (4, {"a": 40, "b": 20}), (8, {"a": 70, "b": 70}), (9, {"c": 1}), (10, {"c": 99}), (11, {"c": 2}), (12, {"b": 90})]
+    rows = [(1, dim, f"2026-01-{day:02d} 10:00:00", v) for day, by in scores for dim, v in by.items()]
+    spark.createDataFrame(rows, "user_id int, event_type string, ts string, value int").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(int(r.day[-2:]), r.dim): r.repeated for r in core.QUERIES["weakness_rules"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "a"): False, (2, "b"): False, (3, "b"): True, (4, "a"): True, (4, "b"): True, (8, "a"): True, (9, "c"): False, (10, "c"): True, (11, "c"): True, (12, "b"): False}
+
+
 def plain(v):
     return repr(round(v, 9)) if isinstance(v, float) else str(v)
 
