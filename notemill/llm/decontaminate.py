@@ -2,9 +2,10 @@
 
 Words are runs of word characters of the lower-cased text; shingles are five words (an item of fewer is one shingle). Every
 window of a document that is as long as an item and holds at least one shingle of it gets a 64-bit SimHash over its shingles
-with their counts. A multi-index of Hamming blocks finds the items of that length within RADIUS bits: of BLOCKS blocks at
-least one differs in RADIUS / BLOCKS bits at most, so none within the radius is lost. Candidates are verified by exact
-weighted (multiset) Jaccard similarity of shingles, which must be THRESHOLD or more.
+with their counts. Candidates come from an exact index of the items' shingles. Fingerprints only filter: such a window is compared
+with every item of its length, and pairs within RADIUS bits stay. The test by BLOCKS blocks of bits, of which at least one differs
+in RADIUS / BLOCKS bits at most, goes before the whole distance and loses none within the radius; it is a mask, not an index. The
+pairs are verified by exact weighted (multiset) Jaccard similarity of shingles, which must be THRESHOLD or more.
 
 At similarity 0.8 the expected distance is 10 bits with a deviation of 3; RADIUS is five deviations beyond. A window without
 a shingle of an item has similarity 0, so looking only at those with one loses nothing.
@@ -116,7 +117,7 @@ class Index:
         self.filter[(self.hash & np.uint64(FILTER - 1)).astype(np.int64)] = True
 
     def near(self, length: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within RADIUS among the items of one length, by blocks of bits."""
+        """(window, item) pairs within RADIUS among the items of one length; every pair is compared, first by blocks of bits."""
         items = self.by_length[length]
         diff = windows[:, None] ^ self.prints[items][None, :]
         wide = 64 // BLOCKS
