@@ -27,6 +27,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before until no column of docs has them in any case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def columns(docs: DataFrame, *replaced: str) -> list[Column]:
+    """All columns of docs but those of the given names, in any case."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c.lower() not in replaced]
+
+
 def hex_number(text: Column, digits: int) -> Column:
     """The first digits (at most 15) of text's MD5 as a non-negative long."""
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")

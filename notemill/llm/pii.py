@@ -5,32 +5,32 @@ ones: spelled-out mail addresses (`at_mail`), digit groups (`number`: telephone
 account numbers (`account`). Trees score each candidate by its format and by the words before it, and spans over the
 threshold of their kind are redacted; thresholds are calibrated on held-out examples for a precision of PRECISION.
 
-The trees are trained here, on labelled examples from a seeded generator (of bounded size), and enter the plan as plain
-expressions: DataFrame functions only, whole texts, no shuffle.
+The trees are trained here, on labelled examples from a seeded generator (of bounded size) and calibrated on examples with other
+words, and enter the plan as plain expressions: DataFrame functions only, whole texts, no shuffle.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.llm import gbt
-from notemill.llm.common import table
-from notemill.llm.native_spans import located, matches, ranked, written
+from notemill.llm.common import columns, spare, table
+from notemill.llm.native_spans import PART, bare, beside, found_in, located, parts, ranked, written
 
 PRECISION = 0.99
-#: Code points of context before a candidate.
+#: Code points of context before a candidate, back to the one before it of its kind.
 CONTEXT = 24
 # The base patterns match as the fixed ones do; \G, look-behinds and possessive marks only keep long runs from being tried at each place.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+PART_OF_IP = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 BASE = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 MORE = {
     "at_mail": r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}){1,5}",
@@ -58,49 +58,59 @@ def example_features(kind: str, match: str, context: str) -> list[float]:
     return [KINDS.index(kind), len(match), digits, len(re.sub("[0-9A-Za-z]", "", match)), *[float(bool(re.search(p, context if on else match))) for _, p, on in TESTS]]
 
 
-def features_of(rank: int, match: Column, context: Column) -> list[Column]:
+def features_of(rank: Column, match: Column, context: Column) -> list[Column]:
     digits = F.length(F.regexp_replace(match, "[^0-9]", ""))
     tests = [(context if on else match).rlike(p).cast("int") for _, p, on in TESTS]
-    return [F.lit(rank), F.length(match), digits, F.length(F.regexp_replace(match, "[0-9A-Za-z]", "")), *tests]
+    return [rank, F.length(match), digits, F.length(F.regexp_replace(match, "[0-9A-Za-z]", "")), *tests]
 
 
-def examples(n: int = 3000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of n generated candidates, personal and not."""
-    rng = np.random.default_rng(seed)
+# Words before a candidate. Fit and calibration take turns in these lists, so that calibration meets words that the trees were
+# not fitted on; of either side's words some are not among those of TESTS.
+PERSONAL = "phone;tel.;dial;ring;call me at;mobile no;line;text;contact;fax;sms;voice;cell;reach us on;handset;hotline;mail;write to;send to;inbox".split(";")
+IDENTITY = "SSN;social security number;taxpayer no;insured person;passport no;identity no;document held by;holder;IBAN;account no;pay to;transfer to;bank;id no".split(";")
+OTHER = "isbn;order no;catalogue;parcel;version;ticket;build;case;invoice;part;receipt;sku;page;article;folio;chapter;ref;serial;batch;lot;model;code;score;gate;meet;look;stand;arrive;sit;item".split(";")
+
+
+def examples(side: int, n: int = 3000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of n generated candidates, personal and not; side 0 is for fitting, 1 for calibration.
+
+    The sides have words of their own. A sixth of the candidates stands after a plain word, whatever it is, and some ordinary
+    numbers have the shape of a telephone or identity number, so that neither shape nor context decides alone.
+    """
+    rng = np.random.default_rng(seed + side)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     num = lambda k: "".join(pick("0123456789") for _ in range(k))
-    word = lambda: "".join(pick("abcdefghilmnoprstu") for _ in range(int(rng.integers(2, 8))))
-    personal = ["call me at ", "phone: ", "tel. ", "mobile no ", "contact ", "mail ", "write to ", word() + " "]
-    identity = ["SSN ", "social security number ", "passport no ", "IBAN ", "account no ", word() + ", "]
-    other = ["isbn ", "order no ", "version ", "ticket ", "invoice ", "part ", "page ", "", word() + " ", word() + ". ", "meet ", "look "]
+    letters = "abcdefghilmnoprstu" if side else "aeioubcdghjklmnprstvwz"
+    word = lambda: "".join(pick(letters) for _ in range(int(rng.integers(2, 8))))
+    cue = lambda words: (word() if rng.random() < 1 / 6 else pick(words[side::2])) + pick([" ", ": ", ", "])
+    phone = lambda: pick([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(6)}"])
     x, y = [], np.zeros(n)
     for k in range(n):
         y[k] = good = rng.random() < 0.5
         kind = pick(["at_mail", "number", "number", "account"])
         if kind == "at_mail":
             name, host = pick([word(), f"{word()}.{word()}", word() + num(2)]), word()
-            match = name + pick([" [at] ", "(at)", "[at]", " (at) "]) + host + pick([" [dot] ", "(dot)", " dot ", "."]) + pick(["com", "org", "de"]) if good else f"{word()} at {word()}.{word()}"
-            context = pick(personal if good else other)
+            match = name + pick([" [at] ", "(at)", "[at]", " (at) ", " at "]) + host + pick([" [dot] ", "(dot)", " dot ", "."]) + pick(["com", "org", "de"]) if good else f"{word()} at {word()}.{word()}"
+            context = cue(PERSONAL if good else OTHER)
         elif kind == "account":
-            match = pick(["DE", "FR", "GB", "ES"]) + num(2) + (pick([" ", ""]).join(["", *[num(4) for _ in range(4)], num(2)]) if good else "".join(pick("ABCDEFGHKLMNPRSTUVW0123456789") for _ in range(int(rng.integers(10, 26)))))
-            context = pick(identity if good else other)
+            match = pick(["DE", "FR", "GB", "ES"]) + num(2) + (pick([" ", ""]).join(["", *[num(4) for _ in range(4)], num(2)]) if good or rng.random() < 0.1 else "".join(pick("ABCDEFGHKLMNPRSTUVW0123456789") for _ in range(int(rng.integers(10, 26)))))
+            context = cue(IDENTITY if good else OTHER)
         elif good and rng.random() < 0.6:
-            match, context = pick([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(6)}"]), pick(personal)
+            match, context = phone(), cue(PERSONAL)
         elif good:
-            match, context = f"{num(3)}-{num(2)}-{num(4)}", pick(identity)
+            match, context = f"{num(3)}-{num(2)}-{num(4)}", cue(IDENTITY)
         else:
-            match = pick([num(int(rng.integers(7, 19))), f"{pick(['19', '20'])}{num(2)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(4)} {num(4)}", f"{num(3)} {num(2)} {num(3)}", f"{num(1)} {num(1)} {num(2)} {num(3)} {num(2)}"])
-            context = pick(other)
+            plain = [num(int(rng.integers(7, 19))), f"{pick(['19', '20'])}{num(2)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(4)} {num(4)}", f"{num(3)} {num(2)} {num(3)}", f"{num(1)} {num(1)} {num(2)} {num(3)} {num(2)}"]
+            match, context = pick([*plain, phone(), f"{num(3)}-{num(2)}-{num(4)}"]), cue(OTHER)
         x.append(example_features(kind, match, context))
     return np.array(x), y
 
 
 @lru_cache(1)
 def model() -> tuple[gbt.Forest, dict[str, float]]:
-    """Trees, and for each further kind the lowest log-odds (0 at least) at which its held-out examples reach PRECISION."""
-    x, y = examples()
-    forest = gbt.train(x, y, n_trees=24)
-    x, y = examples(seed=6)
+    """Trees, and for each further kind the lowest log-odds (0 at least) at which the calibration examples reach PRECISION."""
+    forest = gbt.train(*examples(0), n_trees=24)
+    x, y = examples(1)
     margin = forest.margin(x)
     thresholds = {}
     for kind in MORE:
@@ -117,35 +127,48 @@ def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows and columns of docs with a struct `pii`: for each of KINDS an array of (start, end, match).
 
     Places are code points, end exclusive. Candidates that overlap a base span are dropped, as it is reported already. A null
-    text counts as empty and has no spans; texts are read whole. Repeated rows, null ids, empty tables and other columns pass
-    through; a column named `pii` is replaced.
+    text counts as empty and has no spans; texts are read whole, in time about linear in their matches. Repeated rows, null
+    ids, empty tables and other columns pass through, whatever their names; a column named `pii` is replaced.
     """
     forest, thresholds = model()
+    found, at, base, chosen = spare(docs, "found", "at", "base", "chosen")
     text = F.coalesce(F.col(text_col), F.lit(""))
     patterns = BASE | MORE
-    step = docs.select(*[F.col(c) for c in docs.columns if c != "pii"], F.struct(*[matches(text, p).alias(k) for k, p in patterns.items()]).alias("_found"))
-    step = step.withColumn("_at", F.struct(*[located(text, p, F.col("_found")[k]).alias(k) for k, p in patterns.items()]))
-    at = F.col("_at")
-    bare = lambda m: F.regexp_replace(m, "[^0-9]", "")
+    keep = columns(docs, "pii")
+    step = docs.select("*", found_in(text, patterns).alias(found))
+    step = step.withColumn(at, located(F.col(found), CONTEXT))
+    spans = {k: F.get(at, F.lit(i)) for i, k in enumerate(patterns)}
+    digits = lambda m: F.regexp_replace(m, "[^0-9]", "")
     valid = {
-        "email": at["email"],
-        "ip": F.filter(at["ip"], lambda s: s["match"].rlike(rf"^{PART}(?:\.{PART}){{3}}$")),
-        "card": F.filter(at["card"], lambda s: F.when(F.length(bare(s["match"])).between(13, 19), F.call_function("luhn_check", bare(s["match"]))).otherwise(False)),
-        "phone": F.filter(at["phone"], lambda s: F.length(bare(s["match"])).between(9, 15)),
+        "email": spans["email"],
+        "ip": F.filter(spans["ip"], lambda s: s["match"].rlike(rf"^{PART_OF_IP}(?:\.{PART_OF_IP}){{3}}$")),
+        "card": F.filter(spans["card"], lambda s: F.when(F.length(digits(s["match"])).between(13, 19), F.call_function("luhn_check", digits(s["match"]))).otherwise(False)),
+        "phone": F.filter(spans["phone"], lambda s: F.length(digits(s["match"])).between(9, 15)),
     }
-    step = step.withColumn("_base", F.struct(*[c.alias(k) for k, c in valid.items()]))
-    base = F.concat(*[F.col("_base")[k] for k in BASE])
-    step = step.withColumn("_all", F.when(sum(F.size(at[k]) for k in MORE) > 0, base))
+    step = step.withColumn(base, F.struct(*[c.alias(k) for k, c in valid.items()]))
+    candidates = F.concat(*[parts(spans[k], k) for k in MORE])
+    free = F.filter(
+        beside(candidates, F.concat(*[parts(F.col(base)[k], k) for k in BASE])),
+        lambda b: ~(F.coalesce(b["left"]["end"] > b["span"]["start"], F.lit(False)) | F.coalesce(b["right"]["start"] < b["span"]["end"], F.lit(False))),
+    )
+
+    def scored(b: Column) -> Column:
+        s = b["span"]
+        rank = reduce(lambda c, k: c.when(s["kind"] == k, KINDS.index(k)), MORE, F.when(F.lit(False), 0))
+        return F.struct(s.alias("s"), *[c.alias(n) for n, c in zip(FEATURES, features_of(rank, s["match"], s["before"]), strict=True)])
+
+    def over(x: Column) -> Column:
+        least = reduce(lambda c, k: c.when(x["s"]["kind"] == k, thresholds[k]), MORE, F.when(F.lit(False), 0.0))
+        return forest.margin_column([x[n] for n in FEATURES]) >= least
+
+    picked = F.transform(F.filter(F.transform(free, scored), over), lambda x: x["s"])
+    some = sum(F.size(spans[k]) for k in MORE) > 0
+    step = step.withColumn(chosen, F.when(some, picked).otherwise(F.array().cast(f"array<{PART}>")))
 
-    def chosen(kind: str) -> Column:
-        free = F.filter(at[kind], lambda s: ~F.exists(F.col("_all"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        rank = KINDS.index(kind)
-        context = lambda s: F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), s["start"]))
-        scored = F.transform(free, lambda s: F.struct(s.alias("s"), *[c.alias(n) for n, c in zip(FEATURES, features_of(rank, s["match"], context(s)), strict=True)]))
-        picked = F.filter(scored, lambda x: forest.margin_column([x[n] for n in FEATURES]) >= thresholds[kind])
-        return F.when(F.size(at[kind]) > 0, F.transform(picked, lambda x: x["s"])).otherwise(F.slice(at[kind], 1, 0))
+    def of(kind: str) -> Column:
+        return bare(F.filter(chosen, lambda s: s["kind"] == kind)).alias(kind)
 
-    return step.withColumn("pii", F.struct(*[F.col("_base")[k].alias(k) for k in BASE], *[chosen(k).alias(k) for k in MORE])).drop("_found", "_at", "_base", "_all")
+    return step.select(*keep, F.struct(*[bare(F.col(base)[k]).alias(k) for k in BASE], *map(of, MORE)).alias("pii"))
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -159,9 +182,10 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
+    """The spans of all documents, and how many there are of all kinds; see detect()."""
     found = detect(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     p = F.col("pii")
     base = F.concat(*[ranked(p[k], i, k) for i, k in enumerate(BASE)])
     every = F.concat(*[ranked(p[k], i, k) for i, k in enumerate(KINDS)])
     counts = [F.size(p[k]).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(written(base, False).cast("binary"), 256).alias("base_sha256"), written(every, False).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written(base, False).cast("binary"), 256).alias("base_sha256"), written(every, False).alias("spans"), F.size(every).cast("long").alias("n_spans"))
