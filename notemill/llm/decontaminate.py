@@ -1,40 +1,43 @@
-"""Benchmark decontamination by SimHash over item-sized windows.
+"""Benchmark decontamination by SimHash over item-sized windows and a multi-index of Hamming blocks.
 
 Words are runs of word characters of the lower-cased text; shingles are five words (an item of fewer is one shingle). Every
-window of a document that is as long as an item and holds at least one shingle of it gets a 64-bit SimHash over its shingles
-with their counts. Candidates come from an exact index of the items' shingles. Fingerprints only filter: such a window is compared
-with every item of its length, and pairs within RADIUS bits stay. The test by BLOCKS blocks of bits, of which at least one differs
-in RADIUS / BLOCKS bits at most, goes before the whole distance and loses none within the radius; it is a mask, not an index. The
-pairs are verified by exact weighted (multiset) Jaccard similarity of shingles, which must be THRESHOLD or more.
-
-At similarity 0.8 the expected distance is 10 bits with a deviation of 3; RADIUS is five deviations beyond. A window without
-a shingle of an item has similarity 0, so looking only at those with one loses nothing.
-
-Documents are read once for each block of items, whole, without a shuffle; a block's index is a few MB, whatever the size of
-the benchmark.
+window of a document that is as long as an item gets a 64-bit SimHash over its shingles with their counts. Fingerprints are cut
+into BLOCKS blocks of bits. Of two within RADIUS bits, one block at least differs in RADIUS / BLOCKS bits or fewer, so a
+directory by block value, looked up under every value that near, finds all of them: pairs that share no near block are never
+compared. Candidates within RADIUS are verified by exact weighted (multiset) Jaccard similarity of shingles, which must be
+THRESHOLD or more.
+
+Windows without any shingle of an item of their length have similarity 0 and get no fingerprint; an exact table of the items'
+shingles tells them. At similarity 0.8 the expected distance is 10 bits with a deviation of 3; RADIUS is three deviations
+beyond, so a window of just 0.8 is missed with probability 0.1 %, a better one hardly ever.
+
+Items are taken in blocks of about BLOCK_CHARS characters, one at a time: its index is the only thing of the benchmark that the
+driver and the tasks hold, whatever the size of the benchmark. Documents are read whole, once for each block, without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType
 
-from notemill.llm.common import table
+from notemill.llm.common import checkpoint, columns, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS, BLOCKS = 24, 4
+RADIUS, BLOCKS = 19, 4
 #: Characters of the items of a block, at most (one longer item is a block).
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 #: Bits of the filter that positions pass first.
 FILTER = 1 << 22
 #: Words whose hashes a worker keeps.
@@ -84,50 +87,81 @@ def packed(total: np.ndarray) -> np.ndarray:
     return np.packbits(total > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def weighted_jaccard(a: Counter, b: Counter) -> float:
-    common = sum(min(n, b[k]) for k, n in a.items() if k in b)
-    return common / (sum(a.values()) + sum(b.values()) - common)
+#: All values of a block with RADIUS / BLOCKS bits or fewer.
+_NEAR = np.flatnonzero(np.bitwise_count(np.arange(1 << 64 // BLOCKS)) <= RADIUS // BLOCKS)
+#: Fingerprints whose near values are looked up together.
+_TOGETHER = 64
+_directory = np.zeros(1 << 64 // BLOCKS, np.int32)
+
+
+def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all fingerprints of a and b within RADIUS bits, sorted.
+
+    The larger side goes into a directory of block values (value to its fingerprints), in which each near value of the smaller
+    side's blocks is looked up; only pairs that meet in a block are compared as a whole.
+    """
+    if len(a) > len(b):
+        j, i = near(b, a)
+        order = np.lexsort((j, i))
+        return i[order], j[order]
+    met = []
+    for k in range(BLOCKS):
+        shift, mask = np.uint64(k * (64 // BLOCKS)), np.uint64((1 << 64 // BLOCKS) - 1)
+        order = np.argsort((b >> shift) & mask, kind="stable")
+        values, starts, counts = np.unique(((b >> shift) & mask)[order], return_index=True, return_counts=True)
+        values = values.astype(np.int64)
+        _directory[values] = np.arange(1, len(values) + 1)
+        own = ((a >> shift) & mask).astype(np.int64)
+        for low in range(0, len(a), _TOGETHER):
+            entry = _directory[own[low : low + _TOGETHER, None] ^ _NEAR[None, :]]
+            i, at = np.nonzero(entry)
+            entry = entry[i, at] - 1
+            n = counts[entry]
+            j = order[np.repeat(starts[entry], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            met.append(np.repeat(low + i, n) * len(b) + j)
+        _directory[values] = 0
+    pairs = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+    i, j = pairs // max(len(b), 1), pairs % max(len(b), 1)
+    close = np.bitwise_count(a[i] ^ b[j]) <= RADIUS
+    return i[close], j[close]
+
+
+def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, and how often each is there."""
+    return np.unique(h, return_counts=True)
+
+
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Multiset Jaccard similarity of two counted() arrays."""
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    common = int(np.minimum(a[1], b[1][at])[b[0][at] == a[0]].sum())
+    return common / (int(a[1].sum()) + int(b[1].sum()) - common)
 
 
 class Index:
     """Items of one block: shingles, counts and fingerprints by length in words."""
 
     def __init__(self, items: list[tuple]):
-        self.ids, self.lengths, self.counts, prints, hashes, owners = [], [], [], [], [], []
+        self.ids, self.lengths, self.counts, prints = [], [], [], []
         for item, text in items:
             h, n = shingles(text)
             if not n:
                 continue
-            k = len(self.ids)
             self.ids.append(item)
             self.lengths.append(n)
-            self.counts.append(Counter(h.tolist()))
+            self.counts.append(counted(h))
             prints.append(packed(signs(h).sum(0, keepdims=True))[0])
-            unique = np.unique(h)
-            hashes.append(unique)
-            owners.append(np.full(len(unique), k))
         self.prints = np.array(prints, dtype=np.uint64)
         self.size = np.array([min(n, SHINGLE) for n in self.lengths])
         self.by_length = {n: np.array([k for k, x in enumerate(self.lengths) if x == n]) for n in set(self.lengths)}
-        every, owner = (np.concatenate(hashes), np.concatenate(owners)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, int))
+        every = np.concatenate([h for h, _ in self.counts]) if prints else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(prints), dtype=np.int32), [len(h) for h, _ in self.counts])
         order = np.argsort(every, kind="stable")
         self.hash, self.owner = every[order], owner[order]
         self.sizes = sorted(set(self.size.tolist()))
         self.filter = np.zeros(FILTER, bool)
         self.filter[(self.hash & np.uint64(FILTER - 1)).astype(np.int64)] = True
 
-    def near(self, length: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within RADIUS among the items of one length; every pair is compared, first by blocks of bits."""
-        items = self.by_length[length]
-        diff = windows[:, None] ^ self.prints[items][None, :]
-        wide = 64 // BLOCKS
-        hit = np.zeros(diff.shape, bool)
-        for b in range(BLOCKS):
-            hit |= np.bitwise_count((diff >> np.uint64(b * wide)) & np.uint64((1 << wide) - 1)) <= RADIUS // BLOCKS
-        w, k = np.nonzero(hit)
-        near = np.bitwise_count(diff[w, k]) <= RADIUS
-        return w[near], items[k[near]]
-
     def search(self, text: str | None) -> list[tuple]:
         """(item, similarity, first word, words) of the best window of each item found in a text."""
         words = _words((text or "").lower())
@@ -171,22 +205,34 @@ class Index:
                 np.cumsum(signs(np.ascontiguousarray(part)), axis=0, out=sums[1:])
                 starts = np.arange(high - low + 1)
                 prints = packed(sums[np.minimum(starts + n, len(part))] - sums[starts])
-                for w, k in zip(*(x.tolist() for x in self.near(length, prints)), strict=True):
-                    similarity = weighted_jaccard(self.counts[k], Counter(part[w : w + n].tolist()))
+                items = self.by_length[length]
+                windows, of = near(prints, self.prints[items])
+                for w, k in zip(windows.tolist(), items[of].tolist(), strict=True):
+                    similarity = weighted_jaccard(self.counts[k], counted(part[w : w + n]))
                     if similarity >= THRESHOLD and similarity > best.get(k, (0.0,))[0]:
                         best[k] = (similarity, low + w, length)
 
 
-def indexes(items: DataFrame, item_col: str = "item_id") -> list:
-    """Broadcast indexes of the items, in blocks of about BLOCK_CHARS characters; one (empty) if there are no items."""
+def blocks_of(items: DataFrame, item_col: str = "item_id", block_chars: int = BLOCK_CHARS) -> list[DataFrame]:
+    """(item_id, item) in blocks of about block_chars characters; one (empty) if there are no items."""
     own = items.select(F.col(item_col).alias("item_id"), F.col("text").alias("item"))
-    blocks = -(-(own.agg(F.sum(F.length("item"))).first()[0] or 0) // BLOCK_CHARS) or 1
-    block = lambda b: own.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b)
-    context = items.sparkSession.sparkContext
-    return [context.broadcast(Index([(r.item_id, r.item) for r in block(b).collect()])) for b in range(blocks)]
+    n = -(-(own.agg(F.sum(F.length("item"))).first()[0] or 0) // block_chars) or 1
+    return [own.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)) == b) for b in range(n)]
+
+
+def _each_block(items: DataFrame, item_col: str, block_chars: int, search: Callable[[Broadcast], DataFrame]) -> DataFrame:
+    """The union of search(index) over all blocks. Several are done one after the other, and each index is given up after use."""
+    blocks, done = blocks_of(items, item_col, block_chars), []
+    for block in blocks:
+        index = items.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.item) for r in block.collect()]))
+        if len(blocks) == 1:
+            return search(index)
+        done.append(checkpoint(search(index)))
+        index.destroy()
+    return reduce(DataFrame.unionByName, done)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document row and benchmark item found in it: doc_id, item_id, similarity, start_word, n_words.
 
     The window is the first one of highest similarity. Null and empty texts hold nothing and, as items, match nothing.
@@ -196,36 +242,43 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     kinds = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_col].dataType.simpleString()}"
     schema = f"{kinds}, similarity double, start_word long, n_words long"
     item_type = to_arrow_type(items.schema[item_col].dataType)
-    found = None
-    for index in indexes(items, item_col):
 
-        def search(batches, index=index):
+    def found(index: Broadcast) -> DataFrame:
+        def search(batches):
             for batch in batches:
                 rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in index.value.search(t)]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 kinds = [batch.schema.field(0).type, item_type, pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
-        part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(search, schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+        return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(search, schema)
 
+    return _each_block(items, item_col, block_chars, found)
 
-def without_benchmarks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text holds no benchmark item, in place; all columns. See contaminated() for nulls."""
 
-    def leaks(index):
+def without_benchmarks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs whose text holds no benchmark item; all columns. See contaminated() for nulls.
+
+    With one block of items rows are judged in place. With several, the ids and text keys of what any block finds are gathered
+    (a table, never on the driver) and taken out by a join on both.
+    """
+
+    def leaks(index: Broadcast):
         @F.pandas_udf(BooleanType())
         def found(text: pd.Series) -> pd.Series:
             return pd.Series([bool(index.value.search(t)) for t in text], dtype=bool)
 
         return found
 
-    clean = docs
-    for index in indexes(items):
-        clean = clean.where(~leaks(index)(text_col))
-    return clean
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    own = docs.select(F.struct(*columns(docs)).alias("row"), F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
+    if len(blocks_of(items, block_chars=block_chars)) == 1:
+        return _each_block(items, "item_id", block_chars, lambda index: docs.where(~leaks(index)(F.col(text_col))))
+    found = _each_block(items, "item_id", block_chars, lambda index: own.where(leaks(index)("text")).select("id", "key").distinct())
+    bad = found.distinct().select(F.col("id").alias("bad_id"), F.col("key").alias("bad_key"))
+    return own.join(bad, (F.col("key") == F.col("bad_key")) & F.col("id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
+    """All benchmark items found in all documents; see contaminated()."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

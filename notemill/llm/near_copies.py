@@ -9,7 +9,8 @@
   by the exact similarity of their shingle sets (32 bits a shingle). Pairs that are joined already are not looked at again,
   and a task emits one edge a join, never all pairs.
 - A key with more members than a chunk holds is dealt in chunks by hash, differently for every key. After the components of
-  all keys are known, members outside a key's largest component meet all its other chunks, so no link is lost.
+  all keys are known, members outside a key's largest component meet all its other chunks, so no pair that shares a key is lost
+  to the chunks. What can be lost is a pair that shares no key, or whose fingerprints differ in over RADIUS bits.
 """
 
 from __future__ import annotations

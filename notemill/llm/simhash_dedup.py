@@ -3,9 +3,8 @@
 Every text gets a 64-bit fingerprint; two fingerprints link if they differ in three bits or fewer. Links are found
 between distinct fingerprints, by their Hamming distances to reference fingerprints (pivots):
 
-- A pivot and the same pivot with one bit flipped give distances whose difference is that bit of the fingerprint. So 65
-  such references tell the coordinates that fix a block of bits. Of five blocks two linked fingerprints agree in two at
-  least: the ten pairs of blocks are the keys under which fingerprints meet (25 or 26 bits each).
+- Fingerprints meet under the values of pairs of bit blocks: of five blocks two linked fingerprints agree in two at least, so
+  the ten pairs of blocks (25 or 26 bits each) are the keys. They only deal the work to tasks, the pivots do the search.
 - Within a key, distances to 16 random pivots are tabulated. If two fingerprints link, no coordinate differs by more than
   three. Members are sorted by the first coordinate, only those within three of each other are paired, other coordinates
   discard more pairs, and the survivors are verified by counting differing bits. No link is lost.
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from notemill.llm.common import checkpoint, table
+from notemill.llm.common import checkpoint, split_join, table
 from notemill.llm.components import components
 
 RADIUS = 3
@@ -128,23 +127,28 @@ def links(prints: DataFrame, group: int = GROUP) -> DataFrame:
     return dealt.select("members").mapInArrow(_link_groups, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of docs with `fingerprint` (long) and `component_id`, the smallest id reachable by links.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """All rows of docs, their columns (or those of `keep`), `fingerprint` (long) and `component_id`, the smallest id reachable.
 
     Null and wordless texts have fingerprint 0 and link like others. Rows with equal ids or texts are rows like others. A
-    null id is never the smallest; a component of null ids alone has a null component_id. Extra columns pass through; of
-    their names `fingerprint` and `component_id` are replaced.
+    null id is never the smallest; a component of null ids alone has a null component_id. Extra columns pass through, whatever
+    their names; `fingerprint` and `component_id` are replaced. Texts are hashed once: the kept columns are written with their
+    fingerprint to the checkpoint folder, so leave the text out of `keep` where it is not needed.
     """
-    marked = docs.withColumn("fingerprint", fingerprint_udf(F.col(text_col)))
-    prints = marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("least"))
-    prints = checkpoint(prints)
+    carried = [c for c in keep or docs.columns if c.lower() not in ("fingerprint", "component_id")]
+    row = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.struct(F.lit(None).alias("none"))
+    rows = checkpoint(docs.select(row.alias("row"), F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
+    prints = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(prints))
-    joined = prints.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.join(least, "root").select(F.col("fp").alias("_class_fp"), "component_id")
-    return marked.drop("component_id").join(classes, F.col("fingerprint") == F.col("_class_fp"), "left").drop("_class_fp")
+    placed = checkpoint(prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    least = checkpoint(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes")))
+    # neither a giant component's classes nor a hot class's rows meet in one task
+    classes = checkpoint(split_join(placed, least, "root", "classes").select("fp", "component_id", "n"))
+    found = split_join(rows.drop("id"), classes, "fp", "n")
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in carried], F.col("fp").alias("fingerprint"), "component_id")
 
 
 def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Fingerprint and component of all documents; see near_duplicates()."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,6 +1,5 @@
 """The ten operators against brute force, on clean and on awkward small tables."""
 
-import hashlib
 import re
 import zlib
 from collections import Counter
@@ -180,11 +179,10 @@ def test_license_hints(spark):
 
 def find_root(x, radius=3):
     root = list(range(len(x)))
-    for _ in x:
-        for i in range(len(x)):
-            for j in range(len(x)):
-                if int(x[i] ^ x[j]).bit_count() <= radius:
-                    root[i] = root[j] = min(root[i], root[j])
+    pairs = [(i, j) for i in range(len(x)) for j in range(i) if int(x[i] ^ x[j]).bit_count() <= radius]
+    for i, j in pairs:
+        low, high = sorted((root[i], root[j]))
+        root = [low if r == high else r for r in root]
     return root
 
 
@@ -217,6 +215,32 @@ def test_components(spark):
     assert components.components(chain.limit(0)).count() == 0
 
 
+def test_fingerprints_against_spark(spark):
+    """Spark's xxhash64 has the seed 42; bits are counted here one by one."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "One two"), (-2, ""), (-3, None), (-4, "É a B"), (-5, "a b a b a b")], "doc_id long, text string"))
+    words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.greatest(F.size("w") - 2, F.least(F.size("w"), F.lit(1)))
+    shingles = docs.withColumn("w", words).select("doc_id", F.explode_outer(F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice("w", k, F.lit(3)), " ")))).alias("s"))
+    hashes = shingles.where("s IS NOT NULL").select("doc_id", F.xxhash64("s").alias("h"))
+    bits = [(2 * F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))) > F.count("h")).alias(f"b{b}") for b in range(64)]
+    want = {r[0]: sum(1 << b for b in range(64) if r[b + 1]) for r in hashes.groupBy("doc_id").agg(*bits).collect()}
+    for r in docs.collect():
+        assert simhash_dedup.fingerprint(r.text) % 2**64 == want.get(r.doc_id, 0)
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """The whole operator on sf0.001."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = simhash_dedup.near_duplicates(docs, keep=["doc_id", "lang"]).collect()
+    assert set(rows[0].asDict()) == {"doc_id", "lang", "fingerprint", "component_id"}
+    x = sorted((r.doc_id, r.fingerprint % 2**64) for r in rows)
+    root = find_root([f for _, f in x])
+    assert {r.doc_id: r.component_id for r in rows} == {i: x[root[k]][0] for k, (i, _) in enumerate(x)}
+
+
 def test_near_duplicates(spark, awkward):
     rows = simhash_dedup.near_duplicates(awkward).collect()
     assert len(rows) == awkward.count()
@@ -420,6 +444,30 @@ def test_pii(spark):
     assert pii.redact("to a@b.c now", [("email", 3, 8)]) == "to <email> now"
 
 
+def test_multi_index_finds_all_within_radius():
+    """near() against all pairs, both ways round."""
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    flips = [int(np.bitwise_or.reduce(np.left_shift(np.uint64(1), rng.choice(64, int(k), replace=False).astype(np.uint64)))) for k in rng.integers(0, 30, 3000)]
+    b = a[rng.integers(0, 300, 3000)] ^ np.array(flips, dtype=np.uint64)
+    for x, y in ((a, b), (b, a), (a[:1], b[:1]), (a[:0], b), (b, a[:0])):
+        i, j = decontaminate.near(x, y)
+        want = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= decontaminate.RADIUS)
+        assert i.tolist() == want[0].tolist() and j.tolist() == want[1].tolist()
+
+
+def test_decontamination_in_many_blocks(spark, awkward):
+    """Blocks of a few items, one after the other, find and drop the same; equal ids and null ids stay apart."""
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(40))) for k in range(12)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"pre {t} post" if k % 2 else f"other {k} words") for k, t in ((r.item_id, r.text) for r in items.collect())] + [(3, "clean text"), (None, "clean text"), (None, " ".join(f"w5x{i}" for i in range(40)))], "doc_id long, text string")
+    many = lambda f, *a: sorted(map(str, f(*a, block_chars=900).collect()))
+    assert len(decontaminate.blocks_of(items, block_chars=900)) > 2
+    for f in (decontaminate.contaminated, decontaminate.without_benchmarks):
+        assert many(f, docs, items) == sorted(map(str, f(docs, items).collect()))
+    assert decontaminate.without_benchmarks(docs, items, block_chars=900).count() == 8
+    assert decontaminate.without_benchmarks(awkward, items, block_chars=900).columns == awkward.columns
+
+
 def test_decontamination(spark, awkward):
     item = " ".join(f"item{i}" for i in range(60))
     edited = item.replace("item30", "other")
@@ -521,27 +569,3 @@ def test_line_dedup(spark, awkward):
     rows = line_dedup.drop_repeated_lines(awkward).collect()
     assert len(rows) == awkward.count() and {r.doc_id: r.text for r in rows}[10] == ""
     assert line_dedup.drop_repeated_lines(awkward.limit(0)).count() == 0
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    judged = {r.doc_id: r.quality.kept for r in quality.judge(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
-    rows = corpus_pipeline.run(spark, sf).collect()
-    out = {r.doc_id for r in rows}
-    assert out and out <= {k for k, kept in judged.items() if kept}
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    index = decontaminate.Index(items)
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    clean = {k for k in judged if judged[k] and not index.search(texts[k])}
-    # only near copies may be missing from the clean documents
-    prints = {k: simhash_dedup.fingerprint(texts[k]) % 2**64 for k in clean}
-    missing = clean - out
-    assert len(missing) < 0.35 * len(clean)
-    lengths = Counter()
-    for r in rows:
-        lengths[r.doc_id] += r.length
-    assert all(lengths[r.doc_id] == r.doc_tokens for r in rows) and prints
-    assert hashlib.sha256(b"").hexdigest()
