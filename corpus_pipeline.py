@@ -1,19 +1,18 @@
 """The corpus pipeline: each stage is written as Parquet and read again as the documents of the next.
 
-run() writes the stages under the shared folder in spark.checkpoint.dir. All stages but the last return the columns of
-documents.
+run() writes the stages under the shared folder in spark.checkpoint.dir and removes each when the next is written. All stages
+but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.llm import decontaminate, line_dedup, near_copies, packing, quality
-from notemill.llm.common import table
+from notemill.llm.common import remove, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -52,15 +51,19 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trained trees, fingerprints and token ids are beyond SQL; tests hold run() against brute force instead.
+#: Trained trees, fingerprints and token ids are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents and return the last one's rows."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        written = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(written)
+        docs = spark.read.parquet(written)
+        if before:
+            remove(spark, before)
+        before = written
     return docs
