@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notemill.functions.text import let
+
 LONGEST = 50
 
 
@@ -24,26 +26,41 @@ def find(text: Column, books: list[str]) -> Column:
     return F.concat(all_of(full), all_of(whole))
 
 
-def expand(df: DataFrame, text_col: str, books: list[str], keep: list[str], longest: int = LONGEST, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Rows (keep..., pos, normalized, status, raw, note): a verse each, or one `ambiguous` row with the reason.
+def verses(text: Column, books: list[str], longest: int = LONGEST, aliases: dict[str, str] | None = None) -> Column:
+    """Array of (normalized, status, raw, note): a verse each, or one `ambiguous` entry with the reason.
 
     Reasons are reversed, too_long and no_verse. Books are written by their alias if they have one. The chapter keeps its
-    digits as written, verses are numbers. Of equal references of a row (ambiguous: equal raw text and reason) the first stays.
+    digits as written, verses are numbers. Of equal references (ambiguous: equal raw text and reason) the first stays. All of it
+    is done within the row: equal ones meet by sorting, nothing shuffles.
     """
     short = F.create_map(*[F.lit(x) for b in books for x in (b, (aliases or {}).get(b, b))])
-    found = df.select(*keep, F.posexplode(find(F.col(text_col), books)).alias("p", "ref"))
-    items = found.select(*keep, "p", "ref", F.posexplode(F.split("ref.verses", r"\s*,\s*")).alias("q", "item"))
-    low = F.trim(F.split_part("item", F.lit("-"), F.lit(1))).try_cast("int")
-    high = F.coalesce(F.trim(F.nullif(F.split_part("item", F.lit("-"), F.lit(2)), F.lit(""))).try_cast("int"), F.col("low"))
-    note = F.when(F.col("ref.verses") == "", "no_verse").when(F.col("high") < F.col("low"), "reversed").when(F.coalesce(F.col("high") - F.col("low") <= longest, F.lit(False)), "").otherwise("too_long")
-    sized = items.withColumn("low", low).withColumn("high", high).withColumn("note", note).withColumn("ok", F.col("note") == "")
-    verses = sized.select(*keep, "p", "q", "ref", "ok", "note", "item", F.explode(F.when(F.col("ok"), F.sequence("low", F.when(F.col("ok"), F.col("high")).otherwise(F.col("low")))).otherwise(F.array(F.lit(0)))).alias("verse"))
-    normalized = F.when(F.col("ok"), F.concat(F.element_at(short, F.col("ref.book")), "ref.chapter", F.lit("_"), F.col("verse").cast("string"))).otherwise(F.lit(""))
-    rows = verses.withColumn("normalized", normalized).withColumn("status", F.when(F.col("ok"), "ok").otherwise("ambiguous"))
-    unclear = F.when(~F.col("ok"), F.struct("ref.raw", "note", F.when(F.col("note") == "too_long", F.col("item"))))
-    first = Window.partitionBy(*keep, "normalized", unclear).orderBy("p", "q", "verse")
-    kept = rows.withColumn("n", F.row_number().over(first)).where("n = 1")
-    return kept.select(*keep, (F.row_number().over(Window.partitionBy(*keep).orderBy("p", "q", "verse")) - 1).alias("pos"), "normalized", "status", "ref.raw", "note")
+
+    def made(ref: Column, verse: Column | None, note: Column, item: Column) -> Column:
+        name = F.lit("") if verse is None else F.concat(F.element_at(short, ref["book"]), ref["chapter"], F.lit("_"), verse.cast("string"))
+        key = name if verse is not None else F.concat_ws("\0", F.lit(""), ref["raw"], note, F.when(note == "too_long", item))
+        return F.struct(key.alias("key"), F.struct(name.alias("normalized"), F.lit("ambiguous" if verse is None else "ok").alias("status"), ref["raw"].alias("raw"), note.alias("note")).alias("verse"))
+
+    def of_item(ref: Column, item: Column) -> Column:
+        low = F.trim(F.split_part(item, F.lit("-"), F.lit(1))).try_cast("int")
+        high = F.coalesce(F.trim(F.nullif(F.split_part(item, F.lit("-"), F.lit(2)), F.lit(""))).try_cast("int"), low)
+
+        def judged(b: Column) -> Column:
+            wide = ~F.coalesce(b["high"] - b["low"] <= longest, F.lit(False))
+            note = F.when(ref["verses"] == "", "no_verse").when(b["high"] < b["low"], "reversed").when(wide, "too_long").otherwise("")
+            return F.when(note == "", F.transform(F.sequence(b["low"], F.when(note == "", b["high"]).otherwise(b["low"])), lambda v: made(ref, v, F.lit(""), item))).otherwise(F.array(made(ref, None, note, item)))
+
+        return let(F.struct(low.alias("low"), high.alias("high")), judged)
+
+    every = F.flatten(F.flatten(F.transform(find(text, books), lambda ref: F.transform(F.split(ref["verses"], r"\s*,\s*"), lambda item: of_item(ref, item)))))
+    ranked = F.array_sort(F.transform(every, lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"), x["verse"].alias("verse"))))
+    firsts = let(ranked, lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["key"] != x["key"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["verse"].alias("verse")))), lambda x: x["verse"])
+
+
+def expand(df: DataFrame, text_col: str, books: list[str], keep: list[str], longest: int = LONGEST, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Rows (keep..., pos, normalized, status, raw, note) of verses(); rows with equal `keep` stay apart."""
+    found = df.select(*keep, verses(F.col(text_col), books, longest, aliases).alias("_verses"))
+    return found.select(*keep, F.posexplode("_verses").alias("pos", "v")).select(*keep, "pos", "v.*")
 
 
 def main_passages(refs: DataFrame, keep: list[str]) -> DataFrame:

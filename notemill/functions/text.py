@@ -60,6 +60,10 @@ def sanitize_title(c: Column, fallback: str = "untitled") -> Column:
 
 def normalize_date(c: Column) -> Column:
     """Yymmdd, yyyymmdd and separated dates as YYYY-MM-DD text, else empty. Only separated forms check month and day."""
+    return let(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), _normal_date)
+
+
+def _normal_date(c: Column) -> Column:
     six = F.concat(F.when(F.substring(c, 1, 2) < "70", F.lit("20")).otherwise(F.lit("19")), F.substring(c, 1, 2), F.lit("-"), F.substring(c, 3, 2), F.lit("-"), F.substring(c, 5, 2))
     eight = F.concat(F.substring(c, 1, 4), F.lit("-"), F.substring(c, 5, 2), F.lit("-"), F.substring(c, 7, 2))
     parts = r"^([0-9]{4})[-.]([0-9]{1,2})[-.]([0-9]{1,2})$"
@@ -96,8 +100,8 @@ def split_sentences(c: Column) -> Column:
 
 def is_noise(c: Column, least: int = 40) -> Column:
     """Empty, a rule line, a date header, a reading cue, or shorter than `least`."""
-    t = F.trim(c)
-    return (F.length(t) < least) | t.rlike(r"^[-=*_\s]+$") | t.rlike(r"^[0-9]{6,8}\s+.{1,40}$") | t.rlike(r"^[가-힣A-Za-z0-9 .:_-]{1,30}\s*[을를]?\s*읽습니다\. ?$")
+    t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return (F.length(t) < least) | t.rlike(r"^[-*_\s]+$") | t.rlike(r"^[0-9]{6,8}\s+.{1,40}$") | t.rlike(r"^[가-힣A-Za-z0-9 .:_-]{1,30}\s*[을를]?\s*읽습니다\. ?$")
 
 
 def pack_bullets(sentences: Column, most: int = 4, width: int = 160) -> Column:

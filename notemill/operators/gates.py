@@ -2,36 +2,90 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines that state a fact: percentages and years.
-FACT = r"[0-9]+(\.[0-9]+)?\s*%|(19|20)[0-9]{2}"
+from notemill.functions import markdown as md
+from notemill.functions.text import domain_of, in_domains
+
+# fixed values: what a line states as a fact, the grades and their marks, where a claim comes from, kinds that name something
+FACT = r"(BC|AD|주전|주후)\s*[0-9]|[0-9]+\s*세기|[0-9]{3,4}\s*년|[0-9]+(\.[0-9]+)?\s*%|[“”]"
+GRADES = ["확인됨", "개연", "논쟁중", "불확실", "사용금지"]
+MARKS = ["✅", "🟡", "⚠️", "❓", "🚫"]
+ORIGINS = ["script", "web", "trained", "inference"]
+NAMING_KINDS = ["T1", "T2", "T4"]
+# fixed values: sections whose lines need no grade, and the mark of sections that may state no outside fact
+EXEMPT = ["(해석)", "검증 요약", "확인 필요한 성경구절", "주의"]
+OBSERVATION = "(관찰)"
+EVIDENCE = "array<struct<domain:string,url:string,agrees:boolean>>"
 
 
 def needs_verification(kind: Column, load_bearing: Column) -> Column:
     """P3."""
-    return kind.isin("T1", "T2", "T4") | (kind.isin("T3", "T5") & load_bearing)
+    return kind.isin(*NAMING_KINDS) | (kind.isin("T3", "T5") & load_bearing)
+
+
+def evidence_domain(e: Column) -> Column:
+    """T30 for a piece of evidence: its domain, else its URL's host."""
+    given = F.lower(F.trim(F.coalesce(e["domain"], F.lit(""))))
+    return F.regexp_replace(F.when(given != "", given).otherwise(domain_of(e["url"])), r"^www\.", "")
 
 
-def claim_issues(kind: Column, load_bearing: Column, confirmed: Column, domains: Column, institutional: Column) -> Column:
-    """Rules that a claim breaks; confirmed claims need two domains, one of them institutional."""
-    return F.filter(
-        F.array(
-            F.when(confirmed & (domains < 2), F.lit("few_domains")),
-            F.when(confirmed & (institutional < 1), F.lit("no_institution")),
-            F.when(~confirmed & needs_verification(kind, load_bearing) & (domains == 0), F.lit("no_evidence")),
-        ),
-        lambda x: x.isNotNull(),
-    )
+def claim_issues(grade: Column, origin: Column, kind: Column, load_bearing: Column, both_sides: Column, evidence: Column, domains: dict[str, list[str]], web: bool = True) -> Column:
+    """Codes of the rules that a claim breaks; `evidence` is of type EVIDENCE, null counts as none.
 
+    domains has the lists institutional, suffixes and wiki. An unknown grade or origin is the only thing reported of a claim.
+    A confirmed claim that is not from the script needs two agreeing domains that are no wikis, one of them institutional.
+    Claims that need verification and have no evidence may not be graded above doubt; offline, only not as confirmed.
+    """
+    some = F.coalesce(evidence, F.array().cast(EVIDENCE))
+    agreeing = F.filter(some, lambda e: F.coalesce(e["agrees"], F.lit(False)))
+    refuted = F.exists(some, lambda e: F.coalesce(~e["agrees"], F.lit(False))) & (F.size(agreeing) == 0)
+    named = F.array_distinct(F.filter(F.transform(agreeing, evidence_domain), lambda d: (d != "") & ~in_domains(d, domains["wiki"])))
+    institutional = F.exists(named, lambda d: in_domains(d, domains["institutional"]) | reduce(lambda a, s: a | d.endswith(s), domains["suffixes"], F.lit(False)))
+    confirmed = (grade == GRADES[0]) & (origin != "script")
+    bare = needs_verification(kind, F.coalesce(load_bearing, F.lit(False))) & (F.size(some) == 0)
+    ungrounded = F.when(kind.isin(*NAMING_KINDS), "no_evidence_forbid").otherwise("no_evidence_doubt")
+    rules = [
+        F.when(confirmed & (F.size(named) < 2), "few_domains"),
+        F.when(confirmed & ~institutional, "no_institution"),
+        F.when(refuted & (grade != GRADES[4]), "only_refuted"),
+        F.when((grade == GRADES[2]) & (F.coalesce(both_sides, F.lit("")) == ""), "one_sided"),
+        F.when(bare & grade.isin(*GRADES[:2]), ungrounded) if web else F.when(bare & confirmed, "offline_confirmed"),
+    ]
+    unknown = F.when(~F.coalesce(grade.isin(*GRADES), F.lit(False)), "unknown_grade").when(~F.coalesce(origin.isin(*ORIGINS), F.lit(False)), "unknown_source")
+    return F.when(unknown.isNotNull(), F.array(unknown)).otherwise(F.array_compact(F.array(*rules)))
+
+
+def repeated_ids(claims: DataFrame, key: str) -> DataFrame:
+    """V7: (key, n) of ids that several claims have; counted before they shuffle."""
+    return claims.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def search_plan(claims: DataFrame, budget: int | None, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(claims to verify, the load-bearing first, up to the budget; one row `skipped_over_budget`).
+
+    claims has kind, load_bearing and evidence (EVIDENCE). Claims with evidence are not searched for again.
+    """
+    todo = claims.where(needs_verification(F.col("kind"), F.coalesce("load_bearing", F.lit(False))) & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0))
+    ordered = todo.orderBy(F.desc(F.coalesce("load_bearing", F.lit(False))), F.col(key).cast("string"))
+    over = F.greatest(F.count(F.lit(1)) - F.lit(budget), F.lit(0)) if budget is not None else F.lit(0).cast("long")
+    return (ordered.limit(budget) if budget is not None else ordered), todo.agg(over.alias("skipped_over_budget"))
 
-def uncovered_lines(df: DataFrame, keep: list[str], text_col: str, marks: list[str]) -> DataFrame:
-    """V8: lines that state a fact and carry no grade mark, with their number."""
-    lines = df.select(*keep, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    graded = F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(F.col("line"), m))
-    return lines.where(F.col("line").rlike(FACT) & ~graded)
+
+def uncovered_lines(df: DataFrame, keep: list[str], text_col: str, marks: list[str] = MARKS) -> DataFrame:
+    """Rows (keep..., section, line, rule): lines that state a fact, as `ungraded` without a grade's mark, or as
+    `observation` in a section that may state none. Headings and exempt sections are left out; the text before the first has no title.
+    """
+    parts = df.select(*keep, F.explode(md.sections(F.col(text_col), 2, preamble=True)).alias("s")).where(~F.exists(F.array(*map(F.lit, EXEMPT)), lambda m: F.contains(F.col("s.title"), m)))
+    lines = parts.select(*keep, F.col("s.title").alias("section"), F.explode(F.split("s.body", r"\r\n|[\n\r]")).alias("line"))
+    stated = lines.withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", "")).where(F.col("line").rlike(FACT) & ~F.startswith("line", F.lit("#")))
+    graded = reduce(lambda a, m: a | F.contains("line", F.lit(m)), marks, F.lit(False))
+    rule = F.when(F.contains("section", F.lit(OBSERVATION)), "observation").when(~graded, "ungraded")
+    return stated.withColumn("rule", rule).where("rule IS NOT NULL")
 
 
 def forbidden(df: DataFrame, keep: list[str], text_col: str, rules: list[tuple[str, str]]) -> DataFrame:
@@ -45,8 +99,8 @@ def forbidden(df: DataFrame, keep: list[str], text_col: str, rules: list[tuple[s
 
 
 def squeeze(c: Column) -> Column:
-    """Without white space and quotation marks."""
-    return F.regexp_replace(c, r"""(?U)[\s"'“”‘’«»]+""", "")
+    """Without white space, quotation marks and middle dots."""
+    return F.regexp_replace(c, r"""(?U)[\s"'“”‘’·]+""", "")
 
 
 def quote_segments(c: Column) -> Column:

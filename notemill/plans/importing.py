@@ -18,21 +18,21 @@ FRAGMENTS = "map<string, array<struct<title: string, kind: string, bullets: arra
 def metadata(docs: DataFrame, settings: dict, books: list[str]) -> DataFrame:
     """M1: docs (path, text) with date, yymmdd, target, kind, title, main_passage, sermon_id and refs.
 
-    References are found per row and come back by path: one shuffle of the references, not of the texts' expansions.
+    References are found and made distinct within the row, so nothing shuffles.
     """
-    naming, kinds = settings["naming"], settings["kinds"]
+    naming, kinds = settings["naming"], settings["sermon_kinds"]
     parts = F.split("path", "/")
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
     folders = F.slice(F.reverse(parts), 2, 3)
-    named = docs.withColumn("n", names.parse_filename(stem, naming["markers"], folders, naming["folder_to_target"]))
+    named = docs.withColumn("n", names.parse_filename(stem, naming["target_markers"], folders, naming["folder_to_target"] if naming["target_from_folder"] else {}))
     title = F.when(F.col("n.title") == "untitled", first_line(F.col("text"))).otherwise(F.col("n.title"))
-    kind = names.declared_kind(F.col("n.target"), folders, stem, kinds["values"], kinds["markers"])
+    kind = names.declared_kind(F.col("n.target"), folders, stem, kinds["values"], kinds["marker_to_kind"])
     known = named.select(*docs.columns, F.col("n.date").alias("date"), compact_date(F.col("n.date")).alias("yymmdd"), F.col("n.target").alias("target"), kind.alias("kind"), title.alias("title"))
-    style = settings["references"]
-    found = refs.expand(docs.select("path", "text"), "text", books, ["path"], style["longest_range"], style["aliases"])
-    one = F.struct("pos", "normalized", "status", "raw", "note")
-    grouped = found.groupBy("path").agg(F.min_by("normalized", F.when(F.col("status") == "ok", F.col("pos"))).alias("main_passage"), F.array_sort(F.collect_list(one)).alias("refs"))
-    whole = known.join(grouped, "path", "left").withColumn("main_passage", F.coalesce("main_passage", F.lit("")))
+    style = settings["bible"]
+    one = lambda r, i: F.struct(i.alias("pos"), *[r[c].alias(c) for c in ("normalized", "status", "raw", "note")])
+    whole = known.withColumn("refs", F.transform(refs.verses(F.col("text"), books, style["max_range_expand"], style["book_aliases"]), one))
+    first = F.get(F.filter("refs", lambda r: r["status"] == "ok"), F.lit(0))["normalized"]
+    whole = whole.withColumn("main_passage", F.coalesce(first, F.lit("")))
     return whole.withColumn("sermon_id", sermon_id(F.col("date"), F.col("title"), F.col("main_passage")))
 
 
@@ -120,14 +120,14 @@ def plan(meta: DataFrame, existing: DataFrame, settings: dict, injected: DataFra
     own = md.fragments(F.col("text"), F.col("sermon_id"))
     given = F.transform(usable_fragments(F.col("fragments")), lambda f: F.struct(f["title"].alias("title"), f["kind"].alias("kind"), f["bullets"].alias("bullets"))) if injected is not None else F.lit(None)
     read = known.where(F.col("text").isNotNull()).withColumn("parts", F.when(F.size(given) > 0, given).otherwise(own) if injected is not None else own)
-    fields = {"yymmdd": F.col("yymmdd"), "title": F.col("title"), "target": F.col("target"), "kind": F.col("kind"), "passage": F.col("main_passage"), "sermon_id": F.col("sermon_id")}
-    base = F.regexp_replace(names.note_name(naming["main_pattern"], fields), r"\.md$", "")
+    fields = {"yymmdd": F.col("yymmdd"), "title": F.col("title"), "target": F.col("target"), "kind": F.col("kind"), "main_passage": F.col("main_passage"), "passage": F.col("main_passage"), "date": F.col("date"), "sermon_id": F.col("sermon_id")}
+    base = F.regexp_replace(names.note_name(naming["main_note_pattern"], fields), r"\.md$", "")
     named = read.withColumn("stem", base)
     named = named.withColumn("main", relational.unique_names(named, "stem", "path"))
-    folder = folder_for(F.col("kind"), settings["kinds"]["folder_by_kind"], out["main_folder"])
+    folder = folder_for(F.col("kind"), settings["sermon_kinds"]["folder_by_kind"], out["main_sermon_folder"])
     parts = named.select(F.col("path").alias("source"), "main", *[c.alias(f"_{n}") for n, c in fields.items()], F.posexplode("parts").alias("pos", "f"))
     given_name = {n: F.col(f"_{n}") for n in fields} | {"title": F.col("f.title"), "index": F.lpad((F.col("pos") + 1).cast("string"), 2, "0")}
-    parts = parts.withColumn("stem", F.regexp_replace(names.note_name(naming["fragment_pattern"], given_name), r"\.md$", "")).withColumn("order", F.struct("source", "pos"))
+    parts = parts.withColumn("stem", F.regexp_replace(names.note_name(naming["fragment_note_pattern"], given_name), r"\.md$", "")).withColumn("order", F.struct("source", "pos"))
     parts = parts.withColumn("basename", relational.unique_names(parts, "stem", "order"))
     sections = parts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("pos", "basename", F.col("f.bullets").alias("bullets")))).alias("shown"))  # at most 20 of its own a document
     none = F.array().cast("array<struct<pos:int,normalized:string,status:string,raw:string,note:string>>")
@@ -135,17 +135,17 @@ def plan(meta: DataFrame, existing: DataFrame, settings: dict, injected: DataFra
     head = {n: F.col(n) for n in ("sermon_id", "title", "date", "main_passage")}
     content = render.main_note(head, set(), F.col("title"), F.coalesce("shown", F.array().cast("array<struct<pos:int,basename:string,bullets:array<string>>>")), unclear, F.col("text"))
     whole = named.join(sections.withColumnRenamed("source", "path"), "path", "left")
-    mains = whole.select(F.col("path").alias("source"), F.lit("main").alias("kind"), F.concat(folder, F.lit("/"), "main", F.lit(".md")).alias("path"), content.alias("content"), F.array().cast("array<string>").alias("bullets"), "main")
-    fragment = F.concat(F.lit(names.relative_folder(out["fragment_folder"]) + "/"), "basename", F.lit(".md"))
+    mains = whole.select(F.col("path").alias("source"), F.lit("main").alias("kind"), F.concat(F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(""), "main", F.lit(".md")).alias("path"), content.alias("content"), F.array().cast("array<string>").alias("bullets"), "main")
+    fragment = F.concat(F.lit(names.relative_folder(out["fragment_folder"]) + "/" if out["fragment_folder"] else ""), "basename", F.lit(".md"))
     pieces = parts.select("source", F.lit("fragment").alias("kind"), fragment.alias("path"), render.fragment_note({}, set(), F.col("f.bullets"), F.col("main")).alias("content"), F.col("f.bullets").alias("bullets"), "main")
-    there = existing.select("path", F.col("content").alias("old")).dropDuplicates(["path"])
+    there = existing.groupBy("path").agg(F.min("content").alias("old"))
     met = mains.unionByName(pieces).join(there, "path", "left")
     merged = render.merge(F.col("old"), F.col("bullets"), F.col("main"))
     act = met.withColumn("m", F.when((F.col("kind") == "fragment") & F.col("old").isNotNull(), merged))
-    skip = F.when(F.col("kind") == "main", F.lit(naming["collision"] == "skip")).otherwise(
-        F.lit(naming["fragment_collision"] == "skip") | (F.lit(naming["fragment_collision"] == "merge") & (F.col("m.added") == 0) & F.contains("old", render.backlink(F.col("main"))))
+    skip = F.when(F.col("kind") == "main", F.lit(naming["collision_policy"] == "skip")).otherwise(
+        F.lit(naming["fragment_collision_policy"] == "skip") | (F.lit(naming["fragment_collision_policy"] == "merge") & (F.col("m.added") == 0) & F.contains("old", render.backlink(F.col("main"))))
     )
-    can_merge = (F.col("kind") == "fragment") & F.lit(naming["fragment_collision"] == "merge")
+    can_merge = (F.col("kind") == "fragment") & F.lit(naming["fragment_collision_policy"] == "merge")
     done = act.withColumn("action", notes.action(F.col("old").isNotNull(), skip, can_merge))
     rows = done.select("source", "kind", "path", "action", F.when(F.col("action") == "merge", F.col("m.content")).otherwise(F.col("content")).alias("content"), "bullets")
     failed = meta.where(F.col("text").isNull()).select(F.col("path").alias("source"), F.lit("main").alias("kind"), "path", F.lit("failed").alias("action"), F.lit(None).cast("string").alias("content"), F.array().cast("array<string>").alias("bullets"))

@@ -190,9 +190,23 @@ def dup_paths(spark, d):
     return docs.join(first, "h").where("doc_id != first").select("doc_id")
 
 
-@query("coverage_gate", "SELECT doc_id, (i - 1)::INTEGER AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(line, '[0-9]+([.][0-9]+)?\\s*%|(19|20)[0-9]{2}') AND NOT contains(line, '✅')")
+_TITLES = ["역사 배경", "본문 (관찰)", "적용 (해석)", "주의할 점"]
+_ONE_IN_FOUR = "CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_TITLES)) + " END"
+_FACT_SQL = "(BC|AD|주전|주후)\\s*[0-9]|[0-9]+\\s*세기|[0-9]{3,4}\\s*년|[0-9]+([.][0-9]+)?\\s*%|[“”]"
+
+
+@query(
+    "coverage_gate",
+    f"""WITH l AS (SELECT doc_id, {_ONE_IN_FOUR} AS section, unnest(string_split('그는 “말”했다' || chr(10) || '1885년 12.5 %' || chr(10) || 'AD 70 ✅' || chr(10) || text, chr(10))) AS raw FROM documents),
+t AS (SELECT doc_id, section, regexp_replace(regexp_replace(raw, '^[\\s\\x{{00a0}}]+', ''), '[\\s\\x{{00a0}}]+$', '') AS line FROM l)
+SELECT doc_id, section, line, CASE WHEN contains(section, '(관찰)') THEN 'observation' ELSE 'ungraded' END AS rule FROM t
+WHERE NOT contains(section, '(해석)') AND NOT contains(section, '주의') AND regexp_matches(line, '{_FACT_SQL}') AND NOT starts_with(line, '#')
+AND (contains(section, '(관찰)') OR NOT (contains(line, '✅') OR contains(line, '🟡') OR contains(line, '⚠️') OR contains(line, '❓') OR contains(line, '🚫')))""",
+)
 def coverage_gate(spark, d):
-    return gates.uncovered_lines(_t(spark, d, "documents"), ["doc_id"], "text", ["✅"])
+    title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("doc_id") % 4 + 1).cast("int"))
+    note = F.concat(F.lit("## "), title, F.lit("\n그는 “말”했다\n1885년 12.5 %\nAD 70 ✅\n"), "text")
+    return gates.uncovered_lines(_t(spark, d, "documents").select("doc_id", note.alias("note")), ["doc_id"], "note")
 
 
 @query("forbidden_scan", " UNION ALL ".join(f"SELECT doc_id, '{r}' AS reason, unnest(regexp_extract_all(text, '{p}')) AS match FROM documents" for p, r in RULES))
@@ -200,32 +214,66 @@ def forbidden_scan(spark, d):
     return gates.forbidden(_t(spark, d, "documents"), ["doc_id"], "text", RULES)
 
 
-_CLAIM = "kind IN ('T1', 'T2', 'T4') OR (kind IN ('T3', 'T5') AND bearing)"
+_SITES = ["en.wikipedia.org", "www.jstor.org", "ox.ac.uk", "blog.example.com", "news.example.org"]
+_DOMAINS = {"institutional": ["jstor.org"], "suffixes": [".ac.uk", ".edu"], "wiki": ["wikipedia.org"]}
+_GRADES = [*gates.GRADES, "확실"]
+_ORIGINS = [*gates.ORIGINS, "rumour"]
+_CLAIM = "(kind IN ('T1', 'T2', 'T4') OR (kind IN ('T3', 'T5') AND bearing))"
+_CLAIM_ROWS = f"""c AS (SELECT event_id, 'T' || (event_id % 6 + 1) AS kind, value > 50 AS bearing, [{", ".join(f"'{g}'" for g in _GRADES)}][(event_id // 2) % 6 + 1] AS grade,
+  [{", ".join(f"'{o}'" for o in _ORIGINS)}][(event_id // 5) % 5 + 1] AS origin, CASE WHEN event_id % 7 = 0 THEN 'both' ELSE '' END AS both_sides, event_id % 4 AS n_evidence FROM events)"""
+
+
+def _claims(spark, d):
+    e = F.col("event_id")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+    one = lambda k: F.struct(F.when(k % 2 == 0, pick(_SITES, e + k)).alias("domain"), F.concat(F.lit("https://"), pick(_SITES, e + k), F.lit("/x")).alias("url"), ((e + k) % 3 != 0).alias("agrees"))
+    evidence = F.when(e % 4 > 0, F.transform(F.sequence(F.lit(1), (e % 4).cast("int")), one))
+    columns = [F.concat(F.lit("T"), e % 6 + 1).alias("kind"), (F.col("value") > 50).alias("load_bearing"), pick(_GRADES, F.floor(e / 2)).alias("grade"), pick(_ORIGINS, F.floor(e / 5)).alias("source")]
+    return _t(spark, d, "events").select("event_id", *columns, F.when(e % 7 == 0, "both").otherwise("").alias("both_sides"), evidence.alias("evidence"))
 
 
 @query(
     "claims_gate",
-    f"""WITH c AS (SELECT event_id, 'T' || (event_id % 6 + 1) AS kind, value > 50 AS bearing, event_id % 2 = 0 AS confirmed, event_id % 4 AS domains, event_id % 3 AS inst FROM events)
-SELECT issue, kind, count(*) AS n FROM (SELECT kind, unnest(list_filter([CASE WHEN confirmed AND domains < 2 THEN 'few_domains' END, CASE WHEN confirmed AND inst < 1 THEN 'no_institution' END,
-CASE WHEN NOT confirmed AND ({_CLAIM}) AND domains = 0 THEN 'no_evidence' END], lambda x: x IS NOT NULL)) AS issue FROM c) GROUP BY ALL""",
+    f"""WITH {_CLAIM_ROWS},
+e AS (SELECT event_id, regexp_replace([{", ".join(f"'{x}'" for x in _SITES)}][(event_id + k) % 5 + 1], '^www[.]', '') AS site, (event_id + k) % 3 != 0 AS agrees FROM (SELECT event_id, unnest(generate_series(1, n_evidence)) AS k FROM c)),
+s AS (SELECT event_id, bool_or(agrees) AS agreed, bool_or(NOT agrees) AS refuted, count(DISTINCT site) FILTER (agrees AND site NOT LIKE '%wikipedia.org') AS sites,
+  count(*) FILTER (agrees AND (site = 'jstor.org' OR site LIKE '%.ac.uk')) AS inst FROM e GROUP BY event_id),
+j AS (SELECT c.*, coalesce(agreed, false) AS agreed, coalesce(refuted, false) AS refuted, coalesce(sites, 0) AS sites, coalesce(inst, 0) AS inst FROM c LEFT JOIN s USING (event_id)),
+i AS (SELECT kind, CASE WHEN grade = '확실' THEN ['unknown_grade'] WHEN origin = 'rumour' THEN ['unknown_source'] ELSE list_filter([
+  CASE WHEN grade = '확인됨' AND origin != 'script' AND sites < 2 THEN 'few_domains' END,
+  CASE WHEN grade = '확인됨' AND origin != 'script' AND inst = 0 THEN 'no_institution' END,
+  CASE WHEN refuted AND NOT agreed AND grade != '사용금지' THEN 'only_refuted' END,
+  CASE WHEN grade = '논쟁중' AND both_sides = '' THEN 'one_sided' END,
+  CASE WHEN {_CLAIM} AND n_evidence = 0 AND grade IN ('확인됨', '개연') THEN CASE WHEN kind IN ('T1', 'T2', 'T4') THEN 'no_evidence_forbid' ELSE 'no_evidence_doubt' END END], lambda x: x IS NOT NULL) END AS issues FROM j)
+SELECT issue, kind, count(*) AS n FROM (SELECT kind, unnest(issues) AS issue FROM i) GROUP BY ALL""",
 )
 def claims_gate(spark, d):
-    e = F.col("event_id")
-    kind = F.concat(F.lit("T"), e % 6 + 1)
-    issues = gates.claim_issues(kind, F.col("value") > 50, e % 2 == 0, e % 4, e % 3)
-    return _t(spark, d, "events").select(kind.alias("kind"), F.explode(issues).alias("issue")).groupBy("issue", "kind").agg(F.count(F.lit(1)).alias("n"))
+    c = _claims(spark, d)
+    issues = gates.claim_issues(c["grade"], c["source"], c["kind"], c["load_bearing"], c["both_sides"], c["evidence"], _DOMAINS)
+    return c.select("kind", F.explode(issues).alias("issue")).groupBy("issue", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("claims_plan", f"WITH c AS (SELECT event_id, 'T' || (event_id % 6 + 1) AS kind, value > 50 AS bearing FROM events) SELECT event_id, kind, bearing FROM c WHERE {_CLAIM} ORDER BY bearing DESC, event_id::VARCHAR LIMIT 12")
+@query("claims_plan", f"WITH {_CLAIM_ROWS} SELECT event_id, kind, bearing AS load_bearing FROM c WHERE {_CLAIM} AND n_evidence = 0 ORDER BY bearing DESC, event_id::VARCHAR LIMIT 12")
 def claims_plan(spark, d):
-    claims = _t(spark, d, "events").select("event_id", F.concat(F.lit("T"), F.col("event_id") % 6 + 1).alias("kind"), (F.col("value") > 50).alias("bearing"))
-    return relational.top(claims.where(gates.needs_verification(F.col("kind"), F.col("bearing"))), [F.desc("bearing"), F.col("event_id").cast("string")], 12)
+    return gates.search_plan(_claims(spark, d), config.SEARCHES["research"], "event_id")[0].select("event_id", "kind", "load_bearing")
+
 
+@query("claims_skipped", f"WITH {_CLAIM_ROWS} SELECT greatest(count(*) - 12, 0)::BIGINT AS skipped_over_budget FROM c WHERE {_CLAIM} AND n_evidence = 0")
+def claims_skipped(spark, d):
+    return gates.search_plan(_claims(spark, d), config.SEARCHES["research"], "event_id")[1]
 
-@query("quote_verify", "SELECT conv_id, turn, len(list_filter(list_transform(string_split(text, '...'), lambda s: regexp_replace(s, '\\s+', '', 'g')), lambda s: s != '' AND NOT contains(regexp_replace(text || 'x', '\\s+', '', 'g'), s))) = 0 AS ok FROM conversations")
+
+@query(
+    "quote_verify",
+    """WITH q AS (SELECT conv_id, turn, text, left(text, 12) || '…' || right(text, 9) || CASE WHEN turn % 2 = 0 THEN '...zz·' || conv_id ELSE '' END AS quote FROM conversations),
+s AS (SELECT *, list_filter(list_transform(string_split_regex(quote, '…|[.]{3}'), lambda x: regexp_replace(x, '[\s"''“”‘’·]+', '', 'g')), lambda x: x != '') AS parts, regexp_replace(text, '[\s"''“”‘’·]+', '', 'g') AS whole FROM q)
+SELECT conv_id, turn, len(list_filter(parts, lambda x: NOT contains(whole, x))) = 0 AS ok FROM s""",
+)
 def quote_verify(spark, d):
-    whole = F.concat("text", F.lit("x"))
-    return _t(spark, d, "conversations").select("conv_id", "turn", gates.quote_holds(F.col("text"), whole).alias("ok"))
+    """Quotations with an omission; every second one has words that its source lacks."""
+    made_up = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("...zz·"), "conv_id")).otherwise("")
+    quote = F.concat(F.left("text", F.lit(12)), F.lit("…"), F.right("text", F.lit(9)), made_up)
+    return _t(spark, d, "conversations").select("conv_id", "turn", gates.quote_holds(quote, F.col("text")).alias("ok"))
 
 
 @query("quote_sources")
@@ -256,7 +304,8 @@ def folder_rank(spark, d):
 
 @query("marker_decide", "SELECT role AS token, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) >= 2 OR length(role) = 1")
 def marker_decide(spark, d):
-    return _t(spark, d, "conversations").groupBy(F.col("role").alias("token")).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 2) | (F.length("token") == 1))
+    seen = _t(spark, d, "conversations").groupBy(F.col("role").alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit("marker"))
+    return discovery.decide_markers(seen, []).select("token", "n")
 
 
 @query("weakness_trend", "WITH s AS (SELECT user_id, event_type AS dim, date_trunc('day', ts) AS day, min(value) AS score FROM events GROUP BY ALL) SELECT user_id, dim, strftime(day, '%Y-%m-%d') AS day, score <= 40 AND coalesce(lag(score) OVER (PARTITION BY user_id, dim ORDER BY day) <= 40, false) AS repeated FROM s")
@@ -402,5 +451,5 @@ def note_plan(spark, d):
     docs = _t(spark, d, "documents")
     path = F.concat(F.lit("/x/"), "doc_id", F.lit(".md"))
     meta = importing.metadata(docs.select(path.alias("path"), "text"), config.merged({}), BOOKS)
-    vault = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("notes/undated_"), "doc_id", F.lit(".md")).alias("path"), F.lit("x").alias("content"))
+    vault = docs.where("doc_id % 3 = 0").select(F.concat("doc_id", F.lit(".md")).alias("path"), F.lit("x").alias("content"))
     return notes.summarize(importing.plan(meta, vault, config.merged({})).where("action != 'failed'"))

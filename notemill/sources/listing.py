@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, name string, suffix string, size bigint, depth int, mtime timestamp"
-STUBS = [".gdoc", ".gsheet", ".gslides"]
+STUBS = [".gdoc", ".gsheet", ".gslides", ".gdraw", ".gform"]
 
 
 class _Listing(DataSourceReader):

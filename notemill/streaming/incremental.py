@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from notemill.operators.relational import pending
@@ -20,9 +21,9 @@ def follow(arriving: DataFrame, key: str, log: str, checkpoint: str, work: Calla
     def one(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        earlier = [f"{log}/batch={k}" for k in range(number)]
-        if earlier:
-            fresh = pending(fresh, spark.read.schema(batch.select(key).schema).parquet(*earlier), key)
+        if number:
+            written = spark.read.schema(batch.select(key).schema.add("batch", "long")).parquet(log)
+            fresh = pending(fresh, written.where(F.col("batch") < number), key)
         work(fresh).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     return arriving.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

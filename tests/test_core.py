@@ -131,7 +131,7 @@ def test_quotes_in_sources(spark):
 
 def test_quote_sources(spark):
     """Benchmark texts against every document, by brute force."""
-    squeezed = lambda t: "".join(c for c in t if not c.isspace() and c not in "\"'“”‘’«»")
+    squeezed = lambda t: "".join(c for c in t if not c.isspace() and c not in "\"'“”‘’·")
     rows = core.QUERIES["quote_sources"](spark, SF).collect()
     docs = [(r.doc_id, squeezed(r.text or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()

@@ -149,8 +149,10 @@ def test_extract(spark):
 
 
 def test_plan(spark):
-    settings = config.merged({"naming": {"markers": ["대"], "fragment_collision": "merge"}, "kinds": {"values": ["대예배"], "markers": {"대": "대예배"}, "folder_by_kind": {"대예배": "big"}}})
-    assert config.problems(settings) == [] and config.problems(config.merged({"safety": {"overwrite": True}})) == ["safety.overwrite must be false"]
+    settings = config.merged({"output": {"main_sermon_folder": "notes", "fragment_folder": "fragments"}, "naming": {"main_note_pattern": "{yymmdd}_{title}_{passage}.md", "target_markers": ["대"], "fragment_collision_policy": "merge"}, "sermon_kinds": {"values": ["대예배"], "marker_to_kind": {"대": "대예배"}, "folder_by_kind": {"대예배": "big"}}})
+    assert config.problems(settings) == [] and config.problems(config.merged({"safety": {"overwrite_existing": True}})) == ["safety.overwrite_existing must be false"]
+    bad = {"sermon_kinds": {"enabled": True, "folder_by_kind": {"x": "../y"}}, "bible": {"link_style": "[[{verse}{nope}]]"}}
+    assert len(config.problems(config.merged(bad))) == 5 and config.problems(config.merged({"naming": {"target_markers": "x"}})) == ["naming.target_markers must be a list of texts"]
     docs = spark.createDataFrame([("/x/260101_대_은혜.md", f"# H1\n요 3:16 {LONG}"), ("/y/260101_대_은혜.md", f"요 3:16 {LONG}"), ("/z/260102.md", None), ("/z/e.md", "tiny")], "path string, text string")
     meta = importing.metadata(docs, settings, ["요"])
     assert rows(meta.select("sermon_id").distinct()) == [("260101_은혜_요3_16",), ("undated_260102_no본문",), ("undated_e_no본문",)]
