@@ -41,8 +41,8 @@ def verses(text: Column, books: list[str], longest: int = LONGEST, aliases: dict
         return F.struct(key.alias("key"), F.struct(name.alias("normalized"), F.lit("ambiguous" if verse is None else "ok").alias("status"), ref["raw"].alias("raw"), note.alias("note")).alias("verse"))
 
     def of_item(ref: Column, item: Column) -> Column:
-        low = F.trim(F.split_part(item, F.lit("-"), F.lit(1))).try_cast("int")
-        high = F.coalesce(F.trim(F.nullif(F.split_part(item, F.lit("-"), F.lit(2)), F.lit(""))).try_cast("int"), low)
+        low = F.substring_index(item, "-", 1).try_cast("int")
+        high = F.substring_index(item, "-", -1).try_cast("int")
 
         def judged(b: Column) -> Column:
             wide = ~F.coalesce(b["high"] - b["low"] <= longest, F.lit(False))
@@ -51,10 +51,18 @@ def verses(text: Column, books: list[str], longest: int = LONGEST, aliases: dict
 
         return let(F.struct(low.alias("low"), high.alias("high")), judged)
 
-    every = F.flatten(F.flatten(F.transform(find(text, books), lambda ref: F.transform(F.split(ref["verses"], r"\s*,\s*"), lambda item: of_item(ref, item)))))
-    ranked = F.array_sort(F.transform(every, lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"), x["verse"].alias("verse"))))
-    firsts = let(ranked, lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["key"] != x["key"])))
-    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["verse"].alias("verse")))), lambda x: x["verse"])
+    every = F.flatten(F.flatten(F.transform(find(text, books), lambda ref: F.transform(F.split(F.regexp_replace(ref["verses"], r"\s+", ""), ","), lambda item: of_item(ref, item)))))
+
+    def distinct(all_: Column) -> Column:
+        ranked = F.array_sort(F.transform(all_, lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"), x["verse"].alias("verse"))))
+        firsts = let(ranked, lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["key"] != x["key"])))
+        return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["verse"].alias("verse")))), lambda x: x["verse"])
+
+    def kept(all_: Column) -> Column:
+        repeated = F.size(F.array_distinct(F.transform(all_, lambda x: x["key"]))) < F.size(all_)
+        return F.when(repeated, distinct(all_)).otherwise(F.transform(all_, lambda x: x["verse"]))
+
+    return let(every, kept)
 
 
 def expand(df: DataFrame, text_col: str, books: list[str], keep: list[str], longest: int = LONGEST, aliases: dict[str, str] | None = None) -> DataFrame:
