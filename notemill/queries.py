@@ -266,7 +266,7 @@ def claims_skipped(spark, d):
 @query(
     "quote_verify",
     """WITH q AS (SELECT conv_id, turn, text, left(text, 12) || '…' || right(text, 9) || CASE WHEN turn % 2 = 0 THEN '...zz·' || conv_id ELSE '' END AS quote FROM conversations),
-s AS (SELECT *, list_filter(list_transform(string_split_regex(quote, '…|[.]{3}'), lambda x: regexp_replace(x, '[\s"''“”‘’·]+', '', 'g')), lambda x: x != '') AS parts, regexp_replace(text, '[\s"''“”‘’·]+', '', 'g') AS whole FROM q)
+s AS (SELECT *, list_filter(list_transform(string_split_regex(quote, '…|[.]{3}'), lambda x: regexp_replace(x, '[\\s"''“”‘’·]+', '', 'g')), lambda x: x != '') AS parts, regexp_replace(text, '[\\s"''“”‘’·]+', '', 'g') AS whole FROM q)
 SELECT conv_id, turn, len(list_filter(parts, lambda x: NOT contains(whole, x))) = 0 AS ok FROM s""",
 )
 def quote_verify(spark, d):
