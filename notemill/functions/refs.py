@@ -17,11 +17,13 @@ def find(text: Column, books: list[str]) -> Column:
     """
     names = "|".join(sorted(books, key=lambda b: (-len(b), b)))
     verses = r"[0-9]+(?:\s*-\s*[0-9]+)?(?:\s*,\s*[0-9]+(?:\s*-\s*[0-9]+)?)*"
-    full = F.lit(rf"({names})\s*([0-9]+)\s*[:장편]\s*({verses})\s*절?")
-    whole = F.lit(rf"({names})\s*([0-9]+)\s*[장편](?!\s*[:장]?\s*[0-9])()")
+    full = rf"({names})\s*([0-9]+)\s*[:장편]\s*({verses})\s*절?"
+    whole = rf"({names})\s*([0-9]+)\s*[장편](?!\s*[:장]?\s*[0-9])()"
 
-    def all_of(pattern: Column) -> Column:
-        return F.arrays_zip(*[F.regexp_extract_all(text, pattern, F.lit(k)).alias(n) for k, n in enumerate(("raw", "book", "chapter", "verses"))])
+    def all_of(pattern: str) -> Column:
+        # the text is searched once; the groups come from the short matches, which match by themselves in the same way
+        raws = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.transform(raws, lambda raw: F.struct(raw.alias("raw"), *[F.regexp_extract(raw, pattern, k).alias(n) for k, n in enumerate(("book", "chapter", "verses"), 1)]))
 
     return F.concat(all_of(full), all_of(whole))
 
@@ -67,8 +69,9 @@ def verses(text: Column, books: list[str], longest: int = LONGEST, aliases: dict
 
 def expand(df: DataFrame, text_col: str, books: list[str], keep: list[str], longest: int = LONGEST, aliases: dict[str, str] | None = None) -> DataFrame:
     """Rows (keep..., pos, normalized, status, raw, note) of verses(); rows with equal `keep` stay apart."""
-    found = df.select(*keep, verses(F.col(text_col), books, longest, aliases).alias("_verses"))
-    return found.select(*keep, F.posexplode("_verses").alias("pos", "v")).select(*keep, "pos", "v.*")
+    # exploded in place: of an exploded column Catalyst infers a filter, which would work the expression out twice more
+    found = df.select(*keep, F.posexplode(verses(F.col(text_col), books, longest, aliases)).alias("pos", "v"))
+    return found.select(*keep, "pos", "v.*")
 
 
 def main_passages(refs: DataFrame, keep: list[str]) -> DataFrame:

@@ -173,8 +173,8 @@ def naming(files: DataFrame) -> DataFrame:
     def one(what: str, value: Column) -> Column:
         return F.struct(F.lit(what).alias("what"), F.coalesce(value, F.lit("")).alias("value"))
 
-    seen = files.select(stem.alias("stem")).select(F.array(one("date", shape), one("marker", marker), one("kind", names.kind_of(F.col("stem")))).alias("s"))
-    return seen.select(F.explode("s").alias("x")).select("x.*").where("value != ''").groupBy("what", "value").agg(F.count(F.lit(1)).alias("n"))
+    seen = files.select(stem.alias("stem"))
+    return seen.select(F.explode(F.array(one("date", shape), one("marker", marker), one("kind", names.kind_of(F.col("stem"))))).alias("x")).select("x.*").where("value != ''").groupBy("what", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dated_share(histogram: DataFrame) -> DataFrame:
