@@ -127,5 +127,5 @@ def in_domains(domain: Column, names: list[str]) -> Column:
 
 
 def validate_tags(tags: Column) -> Column:
-    """Sanitised, without spaces, distinct in order."""
-    return F.array_distinct(F.filter(F.transform(tags, lambda t: F.regexp_replace(F.trim(t), r"\s+", "")), lambda t: t != ""))
+    """Sanitised (forbidden characters go), without spaces, distinct in order; null and empty tags go."""
+    return F.array_distinct(F.filter(F.transform(tags, lambda t: F.replace(sanitize_title(t, ""), F.lit(" "), F.lit(""))), lambda t: t != ""))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notemill.functions.text import compare_key, jaccard, token_set
+from notemill.functions.text import compare_key, jaccard, nfc, token_set
 
 
 def allowed(values: DataFrame, allow: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -110,6 +110,22 @@ def match_titles(drafts: DataFrame, corpus: DataFrame, threshold: float = 0.55,
     return ranked.select("draft_id", "title", F.bround("score", 3).alias("similarity"), "rank")
 
 
+def load_drafts(inline: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """(draft_id, title) of titles given as rows (title, ord) and in JSON files (content, ord: `titles` of an object, or an array).
+
+    Titles are trimmed and normal, blank ones go, equal ones count once at their first place: given rows before files, those by
+    their ord. A file without a list is an error when it is read. draft_id is a text that sorts by place.
+    """
+    place = lambda *c: F.concat_ws("_", *[F.lpad(x.cast("string"), 12, "0") for x in c])
+    some = inline.select(F.col("title"), place(F.lit(0), F.col("ord"), F.lit(0)).alias("draft_id"))
+    if raw is not None:
+        listed = F.coalesce(F.from_json(F.get_json_object("content", "$.titles"), "array<string>"), F.from_json(F.when(F.ltrim("content").startswith("["), F.col("content")), "array<string>"))
+        checked = F.coalesce(listed, F.raise_error(F.lit('a file of drafts holds {"titles": [...]} or an array')).cast("array<string>"))
+        some = some.unionByName(raw.select("ord", F.posexplode(checked).alias("pos", "title")).select("title", place(F.lit(1), F.col("ord"), F.col("pos")).alias("draft_id")))
+    clean = some.select(F.regexp_replace(nfc(F.col("title")), r"(?U)^\s+|\s+$", "").alias("title"), "draft_id").where("title != ''")
+    return clean.groupBy("title").agg(F.min("draft_id").alias("draft_id")).select("draft_id", "title")
+
+
 def top(df: DataFrame, order: list, k: int) -> DataFrame:
     """The first k rows; a top-k that never sorts everything."""
     return df.orderBy(*order).limit(k)

@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from notemill.functions.text import jaccard, token_set
 
+# fixed values: words that mark the values which notes need, and the grades by rank
+SERMON = ["설교", "말씀", "주일", "예배", "기도회", "강해", "sermon", "목양", "사역"]
+FRAGMENT = ["조각", "영감", "메모", "묵상"]
+OUTCOME = ["설교"]
+DONE = ["완료", "완성", "마침", "종료", "done"]
+GRADES = ["확인됨", "개연", "논쟁중", "불확실", "사용금지"]
+
 
 def exempt(title: Column, marks: list[str]) -> Column:
     """A section whose title holds one of the marks."""
@@ -50,3 +57,44 @@ def section_issues(sections: DataFrame, quotas: DataFrame) -> DataFrame:
     counts = sections.groupBy("doc").agg(*[F.count_if(F.col("title") == t).alias(f"n{k}") for k, (t, _, _) in enumerate(wanted)])
     rows = F.array(*[F.struct(F.lit(t).alias("title"), F.col(f"n{k}").alias("n"), F.lit(lo).alias("least"), F.lit(hi).alias("most")) for k, (t, lo, hi) in enumerate(wanted)])
     return counts.select("doc", F.explode(rows).alias("r")).select("doc", "r.*").where(~F.col("n").between(F.col("least"), F.col("most")))
+
+
+def _holds(c: Column, words: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.lower(F.coalesce(c, F.lit(""))), w))
+
+
+def subset(taxonomy: DataFrame, keep: list[str], sermon: list[str] | None = None, fragment: list[str] | None = None) -> DataFrame:
+    """P10: rows (keep..., axis, value, role) that an import needs of a long taxonomy (keep..., axis, grp, value, ord).
+
+    world: values of groups, or with names, that hold a sermon word, each once, as `sermon`; its first value with a fragment word
+    is `fragment` and not `sermon`. outcome and route: their first value with a word is `recommended`. Doctrine is not narrowed.
+    Each axis needs one aggregate for its first value; the words are fixed lists unless given.
+    """
+    words = {"world": fragment or FRAGMENT, "outcome": OUTCOME, "route": DONE}
+    found = F.lit(False)
+    for axis, some in words.items():
+        found = F.when(F.col("axis") == axis, _holds(F.col("value"), some)).otherwise(found)
+    named = taxonomy.where(F.col("axis").isin(*words)).groupBy(*keep, "axis", "value").agg(
+        F.min("ord").alias("ord"), F.max(_holds(F.col("grp"), sermon or SERMON) | _holds(F.col("value"), sermon or SERMON)).alias("hit"), F.max(found).alias("found")
+    )
+    first = named.where("found").groupBy(*keep, "axis").agg(F.min_by("value", "ord").alias("chosen"))
+    both = named.join(first, [*keep, "axis"], "left")
+    chosen = F.coalesce(F.col("value") == F.col("chosen"), F.lit(False))
+    role = F.when(chosen, F.when(F.col("axis") == "world", "fragment").otherwise("recommended")).when((F.col("axis") == "world") & F.col("hit"), "sermon")
+    return both.select(*keep, "axis", "value", role.alias("role")).where(F.col("role").isNotNull())
+
+
+def grade_by_evidence(declared: Column, agreeing: Column, institutional: Column, refuted: Column, disputed: Column, searched: Column, specific: Column) -> Column:
+    """The grade that evidence allows. agreeing: independent domains that are no wikis, null as none; null flags are false.
+
+    A refuted claim is banned, a disputed one disputed. Two agreeing domains, one institutional, confirm; with less than that,
+    but something, a claim is probable. Nothing found leaves it uncertain, or banned if it names something specific. Without a
+    search the declared grade stays, at most as probable.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    n = F.coalesce(agreeing, F.lit(0))
+    capped = F.when(declared == GRADES[0], GRADES[1]).otherwise(declared)
+    return (
+        F.when(yes(refuted), GRADES[4]).when(yes(disputed), GRADES[2]).when((n >= 2) & yes(institutional), GRADES[0]).when(n > 0, GRADES[1])
+        .when(yes(searched), F.when(yes(specific), GRADES[4]).otherwise(GRADES[3])).otherwise(capped)
+    )

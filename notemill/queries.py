@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notemill.functions import markdown, names, refs, text
-from notemill.operators import audit, gates, relational
-from notemill.plans import config, importing, notes, render
+from notemill.operators import audit, gates, relational, rules
+from notemill.plans import config, importing, lab, notes, render
 from notemill.sources import discovery
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,7 +149,7 @@ def allowlist_reject(spark, d):
     return _allowed(spark, d)[1].select("p_partkey")
 
 
-@query("tag_validate", "SELECT p_partkey, list_sort(list_distinct([replace(p_name, ' ', ''), replace(p_brand, ' ', '')])) AS tags FROM part")
+@query("tag_validate", "SELECT p_partkey, list_sort(list_distinct([replace(p_name, ' ', ''), replace(translate(p_brand, '#', ' '), ' ', '')])) AS tags FROM part")
 def tag_validate(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.array_sort(text.validate_tags(F.array("p_name", "p_brand", F.lit(" "), "p_name"))).alias("tags"))
 
@@ -453,3 +453,52 @@ def note_plan(spark, d):
     meta = importing.metadata(docs.select(path.alias("path"), "text"), config.merged({}), BOOKS)
     vault = docs.where("doc_id % 3 = 0").select(F.concat("doc_id", F.lit(".md")).alias("path"), F.lit("x").alias("content"))
     return notes.summarize(importing.plan(meta, vault, config.merged({})).where("action != 'failed'"))
+
+
+_LAB = """x AS (SELECT p_partkey, p_size, p_name, '## 하나' || chr(10) || '요 ' || p_size || ':1-2, 1 그리고 시 2:9-3 ✅ ' || p_name || ' ⚠️' AS body FROM part)"""
+_LAB_NOTE = """'---' || chr(10) || 'created: "2026-01-02T03:04"' || chr(10) || 'modified: "2026-01-02T03:04"' || chr(10) || 'note_type: "연구노트"' || chr(10) || 'skill: "notemill"' || chr(10)
+|| 'title: "' || p_name || '"' || chr(10) || 'date: "2026-01-02"' || chr(10) || '검증상태: "미기재"' || chr(10) || '검증등급: "✅1 🟡0 ⚠️1 ❓0 🚫0"' || chr(10) || 'tags:' || chr(10) || '  - "' || replace(p_name, ' ', '') || '"' || chr(10)
+|| '성경구절:' || chr(10) || '  - "[[요' || p_size || '_1]]"' || chr(10) || '  - "[[요' || p_size || '_2]]"' || chr(10) || '---' || chr(10) || chr(10) || '# 연구: ' || p_name || chr(10) || chr(10) || body || chr(10) || chr(10)
+|| '## 확인 필요한 성경구절' || chr(10) || '- 시 2:9-3  — 역방향 범위' || chr(10) || chr(10) || '## 검증 요약' || chr(10) || chr(10) || '- ✅1 🟡0 ⚠️1 ❓0 🚫0 · 검색 ' || p_size || '회 사용' || chr(10)"""
+
+
+@query(
+    "lab_plan",
+    f"""WITH {_LAB} SELECT p_partkey, '연구/2026-01-02_연구_' || p_name || ' ' || p_partkey || '.md' AS path, CASE WHEN p_size % 5 = 0 THEN 'invalid' WHEN p_partkey % 3 = 0 THEN 'conflict' ELSE 'create' END AS action,
+CASE WHEN p_size % 5 = 0 THEN 'body_empty' ELSE '' END AS problems, CASE WHEN p_size % 5 = 0 THEN NULL ELSE {_LAB_NOTE} END AS content, CASE WHEN p_size % 5 = 0 THEN NULL ELSE 2 END AS links FROM x""",
+)
+def lab_plan(spark, d):
+    """M7, K3: parts as results of a study; every fifth size has no body, every third note exists."""
+    body = F.concat(F.lit("## 하나\n요 "), "p_size", F.lit(":1-2, 1 그리고 시 2:9-3 ✅ "), "p_name", F.lit(" ⚠️ \n"))
+    part = _t(spark, d, "part")
+    results = part.select("p_partkey", F.col("p_name").alias("title"), F.concat_ws(" ", "p_name", "p_partkey").alias("topic"), F.when(F.col("p_size") % 5 == 0, F.lit(" ")).otherwise(body).alias("body"), F.array("p_name").alias("tags"), F.col("p_size").alias("search_count"))
+    there = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("연구/2026-01-02_연구_"), "p_name", F.lit(" "), "p_partkey", F.lit(".md")).alias("path"))
+    planned = lab.plan(results, "research", there, "연구", BOOKS, now="2026-01-02T03:04")
+    return planned.select("p_partkey", "path", "action", F.array_join("problems", ",").alias("problems"), "content", F.size("bible_links").alias("links"))
+
+
+_SUBSET = "v AS (SELECT p_partkey // 20 AS note, 'world' AS axis, p_brand AS grp, p_name || ' ' || p_partkey AS value, (p_partkey % 20)::INTEGER AS ord FROM part)"
+
+
+@query(
+    "taxonomy_subset",
+    f"""WITH {_SUBSET}, c AS (SELECT *, contains(lower(value), 'bolt') AS piece, contains(lower(grp), '#1') OR contains(lower(value), 'cold') AS hit FROM v),
+f AS (SELECT note, min(ord) AS first FROM c WHERE piece GROUP BY note)
+SELECT note, axis, value, CASE WHEN ord = first THEN 'fragment' ELSE 'sermon' END AS role FROM c LEFT JOIN f USING (note) WHERE ord = first OR hit""",
+)
+def taxonomy_subset(spark, d):
+    """P10 with other words: values of a group, or with a name, that holds one; the first value for fragments."""
+    values = _t(spark, d, "part").select(F.expr("p_partkey div 20").alias("note"), F.lit("world").alias("axis"), F.col("p_brand").alias("grp"), F.concat_ws(" ", "p_name", "p_partkey").alias("value"), F.expr("cast(p_partkey % 20 as int)").alias("ord"))
+    return rules.subset(values, ["note"], sermon=["#1", "COLD"], fragment=["Bolt"])
+
+
+@query(
+    "grade_by_evidence",
+    """SELECT event_id, CASE WHEN value > 90 THEN '사용금지' WHEN event_id % 10 = 0 THEN '논쟁중' WHEN event_id % 4 >= 2 AND value > 40 THEN '확인됨' WHEN event_id % 4 > 0 THEN '개연'
+WHEN user_id % 2 = 0 THEN CASE WHEN event_type = 'click' THEN '사용금지' ELSE '불확실' END ELSE CASE WHEN event_id % 8 = 0 THEN '개연' ELSE '불확실' END END AS grade FROM events""",
+)
+def grade_by_evidence(spark, d):
+    """Events as claims; the id gives the agreeing domains, even users' claims are searched."""
+    declared = F.when(F.col("event_id") % 8 == 0, "확인됨").otherwise("불확실")
+    agreeing = F.col("event_id") % 4
+    return _t(spark, d, "events").select("event_id", rules.grade_by_evidence(declared, agreeing, F.col("value") > 40, F.col("value") > 90, F.col("event_id") % 10 == 0, (F.col("user_id") % 2 == 0) | (agreeing > 0), F.col("event_type") == "click").alias("grade"))

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from notemill.functions import markdown, names, refs
-from notemill.operators import audit, rules
-from notemill.plans import config, importing, notes
+from notemill.operators import audit, relational, rules
+from notemill.plans import config, importing, lab, notes
 from notemill.sources import decode, discovery
 from notemill.streaming import incremental
 
@@ -203,3 +203,58 @@ def test_rules(spark, tmp_path):
     assert each(spark, ['{"quotes":["a"," "]}', '["b"]', "raw"], decode.quotes_of) == [["a"], ["b"], []]
     config.save(config.merged({}), f"{tmp_path}/c/s.json")
     assert config.load(f"{tmp_path}/c/s.json") == config.DEFAULTS and config.read_json(f"{tmp_path}/none") == {}
+
+
+def test_diagnosis(spark, tmp_path):
+    """Every problem of a diagnosis is told; a sound one is written once and never over a note."""
+    scores = dict.fromkeys(lab.DIMENSIONS, 3)
+    data = [
+        ("은혜: 길", "## 한 줄\n요 3:16 ✅✅", scores | {"적용구체": 2}, ["적용구체"], " 적용구체 ", {"설교노트": "a.md"}, ["두 말", "#"], None),
+        ("x", "y", scores | {"적용구체": 6, "zz": 1}, ["q"], "w", None, None, None),
+        (None, "## 검증 요약", None, None, None, None, None, 3),
+    ]
+    results = spark.createDataFrame(data, "title string, body string, scores map<string,int>, weaknesses array<string>, focus string, links map<string,string>, tags array<string>, search_count int")
+    none = spark.createDataFrame([], "path string")
+    planned = lab.plan(results, "diagnose", none, str(tmp_path.name), ["요"], now="2026-01-02T03:04")
+    good, bad, worse = sorted(planned.collect(), key=lambda r: (r.action != "create", r.title is None))
+    assert good.path == f"{tmp_path.name}/2026-01-02_진단_은혜 길.md" and good.problems == [] and good.warnings == ["tag_joined:두 말"]
+    assert bad.problems == ["score:적용구체", "unknown_score:zz", "unknown_weakness:q", "unknown_focus"] and bad.content is None
+    assert worse.problems == ["summary_written", "title_empty", *[f"score:{d}" for d in lab.DIMENSIONS]]
+    lines = good.content.split("\n")
+    assert lines[:7] == ["---", 'created: "2026-01-02T03:04"', 'modified: "2026-01-02T03:04"', 'note_type: "진단노트"', 'skill: "notemill"', 'title: "은혜 길"', 'date: "2026-01-02"']
+    assert lines[7:13] == [f'점수_{d}: "{2 if d == "적용구체" else 3}"' for d in lab.DIMENSIONS]
+    assert lines[13:] == ["약점:", '  - "적용구체"', '집중점검: "적용구체"', '설교노트: "[[a]]"', '검증등급: "✅2 🟡0 ⚠️0 ❓0 🚫0"', "tags:", '  - "두말"', "성경구절:", '  - "[[요3_16]]"', "---", "", "# 진단: 은혜 길", "", "## 한 줄", "요 3:16 ✅✅", ""]
+    with pytest.raises(ValueError):
+        lab.commit(planned, "WRITE")
+    sound = planned.where("action = 'create'").withColumn("path", F.concat(F.lit(f"{tmp_path.parent}/"), "path"))
+    with pytest.raises(PermissionError):
+        lab.commit(sound)
+    assert [r.status for r in lab.commit(sound, "WRITE").collect()] == ["written"]
+    again = lab.plan(results.limit(1), "diagnose", planned.select("path"), str(tmp_path.name), ["요"], now="2026-01-02T03:04")
+    assert [r.action for r in again.collect()] == ["conflict"]
+    with pytest.raises(FileExistsError):
+        lab.commit(again, "WRITE")
+    assert lab.plan(results.limit(0), "enrich", none, "", ["요"]).collect() == []
+
+
+def test_drafts(spark):
+    inline = spark.createDataFrame([(" b ", 1), ("a", 2), ("", 3), (None, 4), ("b", 5)], "title string, ord int")
+    files = spark.createDataFrame([('{"titles": ["c", "a", " "]}', 1), ('["가", "c"]', 2)], "content string, ord int")
+    got = [r.title for r in relational.load_drafts(inline, files).orderBy("draft_id").collect()]
+    assert got == ["b", "a", "c", "가"]
+    assert [r.title for r in relational.load_drafts(inline).orderBy("draft_id").collect()] == ["b", "a"]
+    with pytest.raises(Exception, match="a file of drafts"):
+        relational.load_drafts(inline, spark.createDataFrame([("{}", 1)], "content string, ord int")).collect()
+
+
+def test_subset(spark):
+    data = [("world", "목양", "x", 0), ("world", "목양", "조각 1", 1), ("world", "etc", "메모", 2), ("world", "etc", "주일", 3), ("world", "etc", "none", 4), ("outcome", "o", "a", 0), ("outcome", "o", "설교 b", 1), ("route", "r", "DONE", 2), ("route", "r", "완료", 1), ("doctrine", "목양", "설교", 0)]
+    got = rows(rules.subset(spark.createDataFrame([(1, *r) for r in data], "id int, axis string, grp string, value string, ord int"), ["id"]))
+    assert got == [(1, "outcome", "설교 b", "recommended"), (1, "route", "완료", "recommended"), (1, "world", "x", "sermon"), (1, "world", "조각 1", "fragment"), (1, "world", "주일", "sermon")]
+    assert rules.subset(spark.createDataFrame([], "id int, axis string, grp string, value string, ord int"), ["id"]).collect() == []
+
+
+def test_few_types(spark):
+    files = spark.createDataFrame([("a", ".md", b"abc"), ("b", ".hwpx", b"x"), ("c", ".docx", b"broken")], "path string, suffix string, content binary")
+    got = {r.path: (r.text, r.error, r.chars) for r in decode.extract_few(files).collect()}
+    assert got["a"] == ("abc", None, 3) and got["b"] == (None, "unsupported", None) and got["c"][0] is None and got["c"][1]
