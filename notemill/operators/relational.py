@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notemill.functions.text import compare_key, jaccard, nfc, token_set
+from notemill.functions.text import compare_key, jaccard, let, nfc, token_set
 
 
 def allowed(values: DataFrame, allow: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -20,10 +20,54 @@ def allowed(values: DataFrame, allow: DataFrame, key: str) -> tuple[DataFrame, D
     return values.join(listed, key), values.join(listed, key, "left_anti")
 
 
-def unique_names(df: DataFrame, stem: str, order: str) -> Column:
-    """Stem for the first row, then stem_02, stem_03 ... in order."""
-    n = F.row_number().over(Window.partitionBy(stem).orderBy(order))
-    return F.when(n == 1, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit("_"), F.lpad(n.cast("string"), F.greatest(F.lit(2), F.length(n.cast("string"))), F.lit("0"))))
+#: What a number adds to a name: _02 to _99, then _100 and so on.
+NUMBER = "_(0[2-9]|[1-9][0-9]+)"
+
+
+def _claims(df: DataFrame, stem: str, order: str) -> DataFrame:
+    """(stem, moved, skipped) of stems that meet names with a number of their own, such as x where x_02 is a stem too.
+
+    A stem's own rows and the first rows of the stems made of it and a number meet in one window, for a count of the rows
+    before each; only stems concerned take part. moved is 1 if another stem took the bare name, skipped are the numbers that
+    others took in time. One task sees the distinct stems of a family, never their rows.
+    """
+    numbered = df.where(F.col(stem).rlike(f"(?s)^.+{NUMBER}$")).groupBy(F.col(stem).alias("child")).agg(F.min(order).alias("at"))
+    shaped = numbered.select("child", "at", F.regexp_extract("child", f"(?s)^(.+){NUMBER}$", 1).alias("stem"), F.regexp_extract("child", f"(?s)^(.+){NUMBER}$", 2).cast("long").alias("k"))
+    rows = df.select(F.col(stem).alias("stem"), F.col(order).alias("at"), F.lit(1).alias("own"), F.lit(None).cast("string").alias("child"), F.lit(None).cast("long").alias("k"))
+    own = rows.join(shaped.select("stem").distinct(), "stem", "left_semi")
+    met = own.unionByName(shaped.withColumn("own", F.lit(0)))
+    before = Window.partitionBy("stem").orderBy("at", F.desc("own")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = met.withColumn("c", F.sum("own").over(before)).withColumn("any", F.max("own").over(Window.partitionBy("stem")))
+    root = F.regexp_replace("stem", f"(?s)^(.+?)(?:{NUMBER})+$", "$1")
+    children = found.where("own = 0 AND any = 1").select(root.alias("root"), "stem", "child", "k", "c")
+
+    def settle(family: pd.DataFrame) -> pd.DataFrame:
+        moved, skipped = {}, {}
+        for parent, made in sorted(family.groupby("stem"), key=lambda x: len(x[0])):  # a parent is shorter than what it makes
+            gone = skipped[parent] = []
+            for k, c, child in sorted(zip(made["k"], made["c"], made["child"], strict=True)):
+                if c < k - len(gone) - moved.get(parent, 0):
+                    gone.append(k)
+                else:
+                    moved[child] = 1
+        stems = sorted(set(moved) | set(skipped))
+        return pd.DataFrame({"stem": stems, "moved": [moved.get(x, 0) for x in stems], "skipped": [skipped.get(x, []) for x in stems]})
+
+    return children.groupBy("root").applyInPandas(settle, "stem string, moved int, skipped array<long>")
+
+
+def unique_names(df: DataFrame, stem: str, order: str, name: str) -> DataFrame:
+    """Df with column `name`: stem for the first row in order, then stem_02, stem_03 ...; no name comes twice.
+
+    A number is passed over if a row before has it as its own stem; a stem that an earlier row got by number is numbered itself.
+    Rows of equal stem and order get their numbers in any order. An empty table gives no names.
+    """
+    settled = _claims(df, stem, order).withColumnsRenamed({"stem": "_stem", "moved": "_moved", "skipped": "_skipped"})
+    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(stem).orderBy(order)).cast("long"))
+    met = ranked.join(settled, F.col(stem) == F.col("_stem"), "left")
+    n = F.aggregate(F.coalesce("_skipped", F.array().cast("array<bigint>")), F.col("_n") + F.coalesce("_moved", F.lit(0)), lambda at, k: F.when(k <= at, at + 1).otherwise(at))
+    digits = let(n, lambda k: F.when(k == 1, F.lit("")).otherwise(F.concat(F.lit("_"), F.lpad(k.cast("string"), F.greatest(F.lit(2), F.length(k.cast("string"))), F.lit("0")))))
+    return met.select(*[F.col(c) for c in df.columns if c != name], F.concat(F.col(stem), digits).alias(name))
 
 
 def pending(sources: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -123,12 +123,12 @@ def plan(meta: DataFrame, existing: DataFrame, settings: dict, injected: DataFra
     fields = {"yymmdd": F.col("yymmdd"), "title": F.col("title"), "target": F.col("target"), "kind": F.col("kind"), "main_passage": F.col("main_passage"), "passage": F.col("main_passage"), "date": F.col("date"), "sermon_id": F.col("sermon_id")}
     base = F.regexp_replace(names.note_name(naming["main_note_pattern"], fields), r"\.md$", "")
     named = read.withColumn("stem", base)
-    named = named.withColumn("main", relational.unique_names(named, "stem", "path"))
+    named = relational.unique_names(named, "stem", "path", "main")
     folder = folder_for(F.col("kind"), settings["sermon_kinds"]["folder_by_kind"], out["main_sermon_folder"])
     parts = named.select(F.col("path").alias("source"), "main", *[c.alias(f"_{n}") for n, c in fields.items()], F.posexplode("parts").alias("pos", "f"))
     given_name = {n: F.col(f"_{n}") for n in fields} | {"title": F.col("f.title"), "index": F.lpad((F.col("pos") + 1).cast("string"), 2, "0")}
     parts = parts.withColumn("stem", F.regexp_replace(names.note_name(naming["fragment_note_pattern"], given_name), r"\.md$", "")).withColumn("order", F.struct("source", "pos"))
-    parts = parts.withColumn("basename", relational.unique_names(parts, "stem", "order"))
+    parts = relational.unique_names(parts, "stem", "order", "basename")
     sections = parts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("pos", "basename", F.col("f.bullets").alias("bullets")))).alias("shown"))  # at most 20 of its own a document
     none = F.array().cast("array<struct<pos:int,normalized:string,status:string,raw:string,note:string>>")
     unclear = F.filter(F.coalesce("refs", none), lambda r: r["status"] != "ok")

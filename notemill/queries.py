@@ -157,7 +157,7 @@ def tag_validate(spark, d):
 @query("unique_names", "SELECT o_orderkey, o_custkey || '' || CASE WHEN n = 1 THEN '' ELSE '_' || lpad(n::VARCHAR, greatest(2, length(n::VARCHAR))::INTEGER, '0') END AS name FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)")
 def unique_names(spark, d):
     named = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("stem"))
-    return named.select("o_orderkey", relational.unique_names(named, "stem", "o_orderkey").alias("name"))
+    return relational.unique_names(named, "stem", "o_orderkey", "name").select("o_orderkey", "name")
 
 
 @query("resume_anti", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -2,6 +2,7 @@
 
 import difflib
 import os
+import random
 
 import duckdb
 import numpy as np
@@ -111,6 +112,25 @@ def test_titles_count_once(spark):
     assert relational.match_titles(a, b).count() == 0  # 0.5496 is under 0.55, though shown as 0.55
 
 
+def test_unique_names(spark):
+    """Names against the plain walk in order, with stems that look like numbered names of others."""
+    rng = random.Random(5)
+    pool = ["x", "x_02", "x_03", "x_02_02", "x_04", "x_002", "x_2", "y_10", "y", "_02", "_02_02", "x\n_02"]
+    data = [(case, f"{case}/{rng.choice(pool[: 2 + case % 11])}", i) for case in range(60) for i in range(14)] + [(99, "z", i) for i in range(120)] + [(99, "z_100", 5)]
+    got = relational.unique_names(spark.createDataFrame(data, "case int, stem string, i int"), "stem", "i", "name")
+    assert got.columns == ["case", "stem", "i", "name"]
+    want, used = [], set()
+    for case, stem, i in sorted(data, key=lambda r: (r[0], r[2], r[1])):
+        name, k = stem, 1
+        while name in used:
+            k += 1
+            name = f"{stem}_{k:02d}"
+        used.add(name)
+        want.append((case, stem, i, name))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert relational.unique_names(spark.createDataFrame([], "stem string, i int"), "stem", "i", "name").collect() == []
+
+
 def test_ratio_bounds():
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("abcé 가😀"), rng.integers(0, n))) for n in [3, 12, 65, 66, 300] * 12] + ["a\0b", "\0"]
