@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from notemill.functions.text import let
 
 LONGEST = 50
+FIELDS = ["normalized", "status", "raw", "note"]
 
 
 def find(text: Column, books: list[str]) -> Column:
@@ -35,12 +36,15 @@ def verses(text: Column, books: list[str], longest: int = LONGEST, aliases: dict
     digits as written, verses are numbers. Of equal references (ambiguous: equal raw text and reason) the first stays. All of it
     is done within the row: equal ones meet by sorting, nothing shuffles.
     """
+    return F.transform(_keyed(text, books, longest, aliases), lambda v: F.struct(*[v[n].alias(n) for n in FIELDS]))
+
+
+def _keyed(text: Column, books: list[str], longest: int, aliases: dict[str, str] | None) -> Column:
+    """verses() with a further field `doubt`: what makes ambiguous entries equal, null for verses."""
     short = F.create_map(*[F.lit(x) for b in books for x in (b, (aliases or {}).get(b, b))])
 
-    def made(ref: Column, verse: Column | None, note: Column, item: Column) -> Column:
-        name = F.lit("") if verse is None else F.concat(F.element_at(short, ref["book"]), ref["chapter"], F.lit("_"), verse.cast("string"))
-        key = name if verse is not None else F.concat_ws("\0", F.lit(""), ref["raw"], note, F.when(note == "too_long", item))
-        return F.struct(key.alias("key"), F.struct(name.alias("normalized"), F.lit("ambiguous" if verse is None else "ok").alias("status"), ref["raw"].alias("raw"), note.alias("note")).alias("verse"))
+    def made(name: Column, status: str, ref: Column, note: Column, doubt: Column) -> Column:
+        return F.struct(name.alias("normalized"), F.lit(status).alias("status"), ref["raw"].alias("raw"), note.alias("note"), doubt.alias("doubt"))
 
     def of_item(ref: Column, item: Column) -> Column:
         low = F.substring_index(item, "-", 1).try_cast("int")
@@ -49,20 +53,28 @@ def verses(text: Column, books: list[str], longest: int = LONGEST, aliases: dict
         def judged(b: Column) -> Column:
             wide = ~F.coalesce(b["high"] - b["low"] <= longest, F.lit(False))
             note = F.when(ref["verses"] == "", "no_verse").when(b["high"] < b["low"], "reversed").when(wide, "too_long").otherwise("")
-            return F.when(note == "", F.transform(F.sequence(b["low"], F.when(note == "", b["high"]).otherwise(b["low"])), lambda v: made(ref, v, F.lit(""), item))).otherwise(F.array(made(ref, None, note, item)))
+            return F.struct(b["low"].alias("low"), b["high"].alias("high"), note.alias("note"))
 
-        return let(F.struct(low.alias("low"), high.alias("high")), judged)
+        def listed(b: Column) -> Column:
+            clear = let(F.concat(F.element_at(short, ref["book"]), ref["chapter"], F.lit("_")), lambda head: F.transform(F.sequence(b["low"], b["high"]), lambda v: made(F.concat(head, v.cast("string")), "ok", ref, F.lit(""), F.lit(None).cast("string"))))
+            doubt = F.concat_ws("\0", ref["raw"], b["note"], F.when(b["note"] == "too_long", item))
+            return F.when(b["note"] == "", clear).otherwise(F.array(made(F.lit(""), "ambiguous", ref, b["note"], doubt)))
+
+        return let(let(F.struct(low.alias("low"), high.alias("high")), judged), listed)
 
     every = F.flatten(F.flatten(F.transform(find(text, books), lambda ref: F.transform(F.split(F.regexp_replace(ref["verses"], r"\s+", ""), ","), lambda item: of_item(ref, item)))))
 
+    def key(v: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("\0"), v["doubt"]), v["normalized"])
+
     def distinct(all_: Column) -> Column:
-        ranked = F.array_sort(F.transform(all_, lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"), x["verse"].alias("verse"))))
+        ranked = F.array_sort(F.transform(all_, lambda v, i: F.struct(key(v).alias("key"), i.alias("i"), v.alias("verse"))))
         firsts = let(ranked, lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["key"] != x["key"])))
         return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["verse"].alias("verse")))), lambda x: x["verse"])
 
     def kept(all_: Column) -> Column:
-        repeated = F.size(F.array_distinct(F.transform(all_, lambda x: x["key"]))) < F.size(all_)
-        return F.when(repeated, distinct(all_)).otherwise(F.transform(all_, lambda x: x["verse"]))
+        repeated = (F.size(all_) > 1) & (F.size(F.array_distinct(F.transform(all_, key))) < F.size(all_))
+        return F.when(repeated, distinct(all_)).otherwise(all_)
 
     return let(every, kept)
 
@@ -70,8 +82,8 @@ def verses(text: Column, books: list[str], longest: int = LONGEST, aliases: dict
 def expand(df: DataFrame, text_col: str, books: list[str], keep: list[str], longest: int = LONGEST, aliases: dict[str, str] | None = None) -> DataFrame:
     """Rows (keep..., pos, normalized, status, raw, note) of verses(); rows with equal `keep` stay apart."""
     # exploded in place: of an exploded column Catalyst infers a filter, which would work the expression out twice more
-    found = df.select(*keep, F.posexplode(verses(F.col(text_col), books, longest, aliases)).alias("pos", "v"))
-    return found.select(*keep, "pos", "v.*")
+    found = df.select(*keep, F.posexplode(_keyed(F.col(text_col), books, longest, aliases)).alias("pos", "v"))
+    return found.select(*keep, "pos", *[f"v.{n}" for n in FIELDS])
 
 
 def main_passages(refs: DataFrame, keep: list[str]) -> DataFrame:
