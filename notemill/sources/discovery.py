@@ -188,3 +188,42 @@ def decide_markers(histogram: DataFrame, kinds: list[str]) -> DataFrame:
     """Markers of one letter, seen twice or more, or of a kind that a folder confirms; most frequent first."""
     marks = histogram.where("what = 'marker'").withColumn("kind", names.marker_kind(F.col("value")))
     return marks.where((F.length("value") == 1) | (F.col("n") >= 2) | F.col("kind").isin(*kinds)).select(F.col("value").alias("token"), "kind", "n").orderBy(F.desc("n"), "token")
+
+
+def suggest_naming(histogram: DataFrame, folder_kinds: dict[str, str]) -> DataFrame:
+    """A5: one row of settings that fit a histogram of naming() and the kinds of folders (folder to kind).
+
+    Columns main_note_pattern, fragment_note_pattern, target_markers (most frequent first), folder_to_target, date_from_filename,
+    target_from_folder, kinds (of folders, then of markers, then of names, most frequent first), marker_to_kind. The histogram
+    holds words of at most four characters and kinds, no row a file. An empty one suggests names without date and marker.
+    """
+    kind = F.nullif(names.marker_kind(F.col("value")), F.lit(""))
+    decided = (F.col("what") == "marker") & ((F.length("value") == 1) | (F.col("n") >= 2) | F.coalesce(kind.isin(*folder_kinds.values()), F.lit(False)))
+    seen = histogram.agg(
+        F.array_sort(F.collect_list(F.when(decided, F.struct((-F.col("n")).alias("n"), F.col("value").alias("token"), kind.alias("kind"))))).alias("m"),
+        F.array_sort(F.collect_list(F.when(F.col("what") == "kind", F.struct((-F.col("n")).alias("n"), "value")))).alias("k"),
+        F.coalesce(F.max((F.col("what") == "date") & (F.col("value") != "none")), F.lit(False)).alias("dated"),
+    )
+    # fixed values: the patterns on offer
+    pattern = F.when(F.col("dated") & (F.size("m") > 0), "{yymmdd}_{target}_{title}_{main_passage}.md").when(F.col("dated"), "{yymmdd}_{title}_{main_passage}.md").otherwise("{title}_{main_passage}.md")
+    known = F.filter("m", lambda x: x["kind"].isNotNull())
+    of_folders = F.array(*[F.lit(k) for k in folder_kinds.values()]).cast("array<string>")
+    kinds = F.array_distinct(F.concat(of_folders, known["kind"], F.col("k")["value"]))
+    folder_map = F.create_map(*[F.lit(x) for kv in folder_kinds.items() for x in kv]).cast("map<string,string>")
+    return seen.select(
+        pattern.alias("main_note_pattern"), F.lit("{title}.md").alias("fragment_note_pattern"), F.col("m")["token"].alias("target_markers"), folder_map.alias("folder_to_target"),
+        F.col("dated").alias("date_from_filename"), F.lit(bool(folder_kinds)).alias("target_from_folder"), kinds.alias("kinds"),
+        F.map_from_entries(F.transform(known, lambda x: F.struct(x["token"], x["kind"]))).alias("marker_to_kind"),
+    )
+
+
+def naming_samples(files: DataFrame, markers: list[str], limit: int = 6) -> DataFrame:
+    """A5: (name, dated, marker, title) of the first `limit` files by path, read with the markers that were decided; - for none."""
+    stem = names.unquoted(F.regexp_replace("name", r"\.[^.]*$", ""))
+    rest = F.coalesce(*[F.when(stem.rlike(p), F.regexp_extract(stem, p, r)) for p, _, r in names.DATED], stem)
+    shown = files.orderBy("path").limit(limit).select("path", "name", F.array_max(F.array(*[stem.rlike(p) for p, _, _ in names.DATED])).alias("dated"), stem.alias("stem"), rest.alias("rest"))
+    alternatives = "|".join(rf"\Q{m}\E" for m in sorted(markers, key=lambda m: (-len(m), m)))
+    pattern = rf"(?s)^[\s_\-]*({alternatives})(?=[\s_\-]|$)[\s_\-]*(.*)$"
+    found = F.regexp_extract("rest", pattern, 1) if markers else F.lit("")
+    title = F.ltrim(F.when(found != "", F.regexp_extract("rest", pattern, 2)).otherwise(F.col("rest")) if markers else F.col("rest"), F.lit(" _-"))
+    return shown.select("name", "dated", F.coalesce(F.nullif(found, F.lit("")), F.lit("-")).alias("marker"), F.coalesce(F.nullif(title, F.lit("")), F.col("stem")).alias("title")).orderBy("path")

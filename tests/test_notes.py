@@ -258,3 +258,16 @@ def test_few_types(spark):
     files = spark.createDataFrame([("a", ".md", b"abc"), ("b", ".hwpx", b"x"), ("c", ".docx", b"broken")], "path string, suffix string, content binary")
     got = {r.path: (r.text, r.error, r.chars) for r in decode.extract_few(files).collect()}
     assert got["a"] == ("abc", None, 3) and got["b"] == (None, "unsupported", None) and got["c"][0] is None and got["c"][1]
+
+
+def test_naming_suggestions(spark):
+    files = spark.createDataFrame([(f"{k}/{n}", n) for k, n in enumerate(["260719_새_은혜.docx", "260720_새_.md", "260721 긴말 하나.md", "제목 새벽.md"])], "path string, name string")
+    histogram = discovery.naming(files)
+    got = discovery.suggest_naming(histogram, {"1. 주일": "주일대예배"}).first()
+    assert got.main_note_pattern == "{yymmdd}_{target}_{title}_{main_passage}.md" and got.fragment_note_pattern == "{title}.md"
+    assert got.target_markers == ["새"] and got.marker_to_kind == {"새": "새벽기도회"} and got.kinds[:2] == ["주일대예배", "새벽기도회"]
+    assert got.date_from_filename and got.target_from_folder and got.folder_to_target == {"1. 주일": "주일대예배"}
+    bare = discovery.suggest_naming(histogram.limit(0), {}).first()
+    assert (bare.main_note_pattern, bare.target_markers, bare.kinds, bare.marker_to_kind, bare.folder_to_target, bare.date_from_filename) == ("{title}_{main_passage}.md", [], [], {}, {}, False)
+    assert [tuple(r) for r in discovery.naming_samples(files, ["새"]).collect()] == [("260719_새_은혜.docx", True, "새", "은혜"), ("260720_새_.md", True, "새", "260720_새_"), ("260721 긴말 하나.md", True, "-", "긴말 하나"), ("제목 새벽.md", False, "-", "제목 새벽")]
+    assert discovery.naming_samples(files, []).first().marker == "-"
