@@ -82,10 +82,11 @@ def uncovered_lines(df: DataFrame, keep: list[str], text_col: str, marks: list[s
     """
     parts = df.select(*keep, F.explode(md.sections(F.col(text_col), 2, preamble=True)).alias("s")).where(~F.exists(F.array(*map(F.lit, EXEMPT)), lambda m: F.contains(F.col("s.title"), m)))
     lines = parts.select(*keep, F.col("s.title").alias("section"), F.explode(F.split("s.body", r"\r\n|[\n\r]")).alias("line"))
-    stated = lines.withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", "")).where(F.col("line").rlike(FACT) & ~F.startswith("line", F.lit("#")))
+    # facts and marks neither start nor end with white space, so lines are judged as they are and only those shown are trimmed
+    stated = lines.where(F.col("line").rlike(FACT) & ~F.col("line").rlike(r"(?U)^\s*#"))
     graded = reduce(lambda a, m: a | F.contains("line", F.lit(m)), marks, F.lit(False))
     rule = F.when(F.contains("section", F.lit(OBSERVATION)), "observation").when(~graded, "ungraded")
-    return stated.withColumn("rule", rule).where("rule IS NOT NULL")
+    return stated.withColumn("rule", rule).where("rule IS NOT NULL").withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
 
 
 def forbidden(df: DataFrame, keep: list[str], text_col: str, rules: list[tuple[str, str]]) -> DataFrame:
