@@ -17,7 +17,8 @@ def find(text: Column, books: list[str]) -> Column:
     Longer names go first and nothing anchors a name. A whole chapter has empty verses.
     """
     names = "|".join(sorted(books, key=lambda b: (-len(b), b)))
-    verses = r"[0-9]+(?:\s*-\s*[0-9]+)?(?:\s*,\s*[0-9]+(?:\s*-\s*[0-9]+)?)*"
+    # possessive: a list of any length is matched by a loop, where giving back would need a stack frame for each verse
+    verses = r"[0-9]+(?:\s*-\s*[0-9]+)?(?:\s*,\s*[0-9]+(?:\s*-\s*[0-9]+)?)*+"
     full = rf"({names})\s*([0-9]+)\s*[:장편]\s*({verses})\s*절?"
     whole = rf"({names})\s*([0-9]+)\s*[장편](?!\s*[:장]?\s*[0-9])()"
 
