@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from notemill.shared import checkpoint, shared_folder  # noqa: F401  operators take them from here
+
 #: White space and case of the word rules: ASCII only.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,24 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset, a temporary folder of a local session, else an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="notemill-")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df once to the cluster's shared checkpoint folder and cut its lineage; see shared_folder()."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of any file system that Spark knows."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
