@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from notemill.llm import decontaminate, license_scan, line_dedup, mixing, packing, pii, quality, secret_scan, sharding, simhash_dedup, url_filter, whitening
+from notemill.llm import decontaminate, license_scan, line_dedup, mixing, packing, pii, prefix_trie, quality, secret_scan, sharding, simhash_dedup, url_filter, whitening
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_mixing": mixing.op11_mixing,
     "op12_whitening": whitening.op12_whitening,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_sharding": sharding.OP1_SQL, "op2_license_scan": license_scan.OP2_SQL, "op5_secret_scan": secret_scan.OP5_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
+ORACLES = {"op1_sharding": sharding.OP1_SQL, "op2_license_scan": license_scan.OP2_SQL, "op5_secret_scan": secret_scan.OP5_SQL, "op10_line_dedup": line_dedup.OP10_SQL, "op13_prefix_trie": prefix_trie.OP13_SQL}
