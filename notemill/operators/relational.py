@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notemill.functions.text import compare_key, jaccard, let, nfc, token_set
+from notemill.functions.text import let, nfc
+from notemill.operators.ranks import with_rank
 
 
 def allowed(values: DataFrame, allow: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -27,7 +25,7 @@ NUMBER = "_(0[2-9]|[1-9][0-9]+)"
 def _claims(df: DataFrame, stem: str, order: str) -> DataFrame:
     """(stem, moved, skipped) of stems that meet names with a number of their own, such as x where x_02 is a stem too.
 
-    A stem's own rows and the first rows of the stems made of it and a number meet in one window, for a count of the rows
+    A stem's own rows and the first rows of the stems made of it and a number are ranked together, for a count of the rows
     before each; only stems concerned take part. moved is 1 if another stem took the bare name, skipped are the numbers that
     others took in time. One task sees the distinct stems of a family, never their rows.
     """
@@ -35,11 +33,12 @@ def _claims(df: DataFrame, stem: str, order: str) -> DataFrame:
     shaped = numbered.select("child", "at", F.regexp_extract("child", f"(?s)^(.+){NUMBER}$", 1).alias("stem"), F.regexp_extract("child", f"(?s)^(.+){NUMBER}$", 2).cast("long").alias("k"))
     rows = df.select(F.col(stem).alias("stem"), F.col(order).alias("at"), F.lit(1).alias("own"), F.lit(None).cast("string").alias("child"), F.lit(None).cast("long").alias("k"))
     own = rows.join(shaped.select("stem").distinct(), "stem", "left_semi")
-    met = own.unionByName(shaped.withColumn("own", F.lit(0)))
-    before = Window.partitionBy("stem").orderBy("at", F.desc("own")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = met.withColumn("c", F.sum("own").over(before)).withColumn("any", F.max("own").over(Window.partitionBy("stem")))
-    root = F.regexp_replace("stem", f"(?s)^(.+?)(?:{NUMBER})+$", "$1")
-    children = found.where("own = 0 AND any = 1").select(root.alias("root"), "stem", "child", "k", "c")
+    met = own.unionByName(shaped.withColumn("own", F.lit(0))).withColumn("place", F.struct("at", (1 - F.col("own")).alias("after")))
+    nth = F.row_number().over(Window.partitionBy("stem").orderBy("r"))  # a stem's numbered ones alone, each a distinct name
+    found = with_rank(met, "stem", "place", "r").where("own = 0").withColumn("c", F.col("r") - nth)
+    found = found.join(own.select("stem").distinct(), "stem", "left_semi")
+    root = F.regexp_replace("stem", f"(?s)^(.+?)(?:{NUMBER})++$", "$1")
+    children = found.select(root.alias("root"), "stem", "child", "k", "c")
 
     def settle(family: pd.DataFrame) -> pd.DataFrame:
         moved, skipped = {}, {}
@@ -60,10 +59,11 @@ def unique_names(df: DataFrame, stem: str, order: str, name: str) -> DataFrame:
     """Df with column `name`: stem for the first row in order, then stem_02, stem_03 ...; no name comes twice.
 
     A number is passed over if a row before has it as its own stem; a stem that an earlier row got by number is numbered itself.
-    Rows of equal stem and order get their numbers in any order. An empty table gives no names.
+    Rows of equal stem and order get their numbers in any order. An empty table gives no names. Ranks come from ranges of
+    (stem, order), so the rows of a frequent stem spread over many tasks.
     """
     settled = _claims(df, stem, order).withColumnsRenamed({"stem": "_stem", "moved": "_moved", "skipped": "_skipped"})
-    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(stem).orderBy(order)).cast("long"))
+    ranked = with_rank(df, stem, order, "_n")
     met = ranked.join(settled, F.col(stem) == F.col("_stem"), "left")
     n = F.aggregate(F.coalesce("_skipped", F.array().cast("array<bigint>")), F.col("_n") + F.coalesce("_moved", F.lit(0)), lambda at, k: F.when(k <= at, at + 1).otherwise(at))
     digits = let(n, lambda k: F.when(k == 1, F.lit("")).otherwise(F.concat(F.lit("_"), F.lpad(k.cast("string"), F.greatest(F.lit(2), F.length(k.cast("string"))), F.lit("0")))))
@@ -91,69 +91,6 @@ def new_bullets(new: DataFrame, old: DataFrame, group: str, key: str, order: str
     return keep_first(new.join(old.select(group, key).distinct(), [group, key], "left_anti"), [group, key], order)
 
 
-def ratio_bounds(x: pd.Series, y: pd.Series) -> np.ndarray:
-    """At least the sequence ratio of each pair: matching blocks are a common subsequence, so the longest one bounds them.
-
-    Bit-parallel over all pairs, for x up to 64 and y up to 256 characters; others, and those with a NUL, have the bound 1.
-    """
-    out = np.ones(len(x))
-    fits = np.flatnonzero((x.str.len() <= 64) & (y.str.len() <= 256) & ~(x + y).str.contains("\0", regex=False))
-    if not len(fits):
-        return out
-    (i, p), (j, q) = pd.factorize(x.iloc[fits]), pd.factorize(y.iloc[fits])
-    p, q = (np.array(list(u), dtype=f"U{max(1, max(map(len, u)))}") for u in (p, q))
-    n, m = np.char.str_len(p), np.char.str_len(q)
-    p, q = p.view(np.uint32).reshape(len(p), -1), q.view(np.uint32).reshape(len(q), -1)
-    known = np.unique(p)
-    masks = np.zeros((len(p), len(known) + 1), dtype=np.uint64)
-    for k in range(p.shape[1]):  # a bit for each place of a character; padding has none
-        masks[np.arange(len(p)), np.searchsorted(known, p[:, k])] |= np.where(p[:, k] > 0, np.uint64(1 << k), np.uint64(0))
-    at = np.searchsorted(known, q)
-    at[known[np.minimum(at, len(known) - 1)] != q] = len(known)
-    rows, columns = masks.reshape(-1), np.ascontiguousarray(at.T)
-    s = np.full(len(fits), ~np.uint64(0))
-    for column in columns:
-        t = s & rows[i * masks.shape[1] + column[j]]
-        s = (s + t) | (s - t)
-    out[fits] = 2.0 * np.bitwise_count(~s) / np.maximum(n[i] + m[j], 1)
-    out[fits[n[i] + m[j] == 0]] = 1
-    return out
-
-
-def ratio(a: Column, b: Column, least: float = 0.0) -> Column:
-    """T19, sequence part: Ratcliff-Obershelp by difflib, in Arrow batches (there is no built-in function); 0 if under least."""
-
-    @F.pandas_udf("double")
-    def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = np.zeros(len(x))
-        for k in np.flatnonzero(ratio_bounds(x, y) >= least):
-            r = difflib.SequenceMatcher(None, x.iat[k], y.iat[k]).ratio()
-            out[k] = r if r >= least else 0
-        return pd.Series(out)
-
-    return ratios(a, b)
-
-
-def match_titles(drafts: DataFrame, corpus: DataFrame, threshold: float = 0.55, top: int = 5) -> DataFrame:
-    """For each draft (draft_id, title) the `top` distinct corpus titles (title, seq) at or over the threshold.
-
-    A title counts once, at its least seq. Similarity is the higher of token Jaccard and sequence ratio of the compared keys;
-    it is rounded only when shown. Titles whose length alone bounds the ratio below the threshold, and that share no token, are
-    discarded by plain expressions before Python sees a pair. Every draft is held against the whole corpus by definition; the
-    drafts are the small, stated side.
-    """
-    keyed = lambda df, *keep: df.select(*keep, F.regexp_replace(compare_key(F.col("title")), r"(?U)^\s+|\s+$", "").alias("key"))
-    a = keyed(drafts.where(r"title RLIKE '\\S'"), "draft_id").select("draft_id", F.col("key").alias("draft"), token_set(F.col("key")).alias("t"))
-    distinct = corpus.where("title IS NOT NULL").groupBy("title").agg(F.min("seq").alias("seq"))
-    b = keyed(distinct, "seq", "title").withColumn("u", token_set(F.col("key")))
-    bound = 2 * F.least(F.length("draft"), F.length("key")) / F.greatest(F.length("draft") + F.length("key"), F.lit(1))
-    pairs = b.join(F.broadcast(a), (bound >= threshold) | F.arrays_overlap("t", "u") | (F.length("draft") + F.length("key") == 0))
-    scored = pairs.withColumn("score", F.greatest(jaccard(F.col("t"), F.col("u")), ratio(F.col("draft"), F.col("key"), threshold))).where(F.col("score") >= threshold)
-    best = Window.partitionBy("draft_id").orderBy(F.desc("score"), "seq")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    return ranked.select("draft_id", "title", F.bround("score", 3).alias("similarity"), "rank")
-
-
 def load_drafts(inline: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """(draft_id, title) of titles given as rows (title, ord) and in JSON files (content, ord: `titles` of an object, or an array).
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notemill.functions import markdown, names, refs, text
-from notemill.operators import audit, gates, relational, rules
+from notemill.operators import audit, gates, matching, relational, rules
 from notemill.plans import config, importing, lab, notes, render
 from notemill.sources import discovery
 
@@ -178,9 +178,10 @@ def bullet_merge(spark, d):
 
 @query("title_match")
 def title_match(spark, d):
-    drafts = _t(spark, d, "benchmark").select(F.col("item_id").alias("draft_id"), F.substring("text", 1, 40).alias("title"))
-    corpus = _t(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.substring("text", 1, 40).alias("title"))
-    return relational.match_titles(drafts, corpus)
+    """The first lines of the benchmark's items against the titles of all pages."""
+    drafts = _t(spark, d, "benchmark").select(F.col("item_id").alias("draft_id"), names.first_line(F.col("text")).alias("title"))
+    corpus = _t(spark, d, "pages").select(F.col("page_id").alias("seq"), F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    return matching.match_titles(drafts, corpus)
 
 
 @query("dup_paths", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n > 1")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions import markdown as md
 from notemill.functions import names
+from notemill.operators.ranks import with_place
 from notemill.sources.listing import skip_reason
 
 
@@ -149,12 +150,14 @@ def by_priority(*found: DataFrame) -> DataFrame:
 
 
 def titles(files: DataFrame, limit: int, latest: bool = False) -> DataFrame:
-    """(title, path) of notes by name, or the latest first, with `truncated` if the limit cut some off."""
+    """(title, path) of notes by name, or the latest first, with `truncated` if the limit cut some off.
+
+    The cut comes from places over range partitions, so a limit of millions meets in no task.
+    """
     order = [F.desc("mtime"), "path"] if latest else ["name", "path"]
-    more = files.orderBy(*order).limit(limit + 1)
-    ranked = more.withColumn("k", F.row_number().over(Window.orderBy(*order)))  # at most limit + 1 rows
-    whole = Window.partitionBy(F.lit(1))
-    return ranked.withColumn("truncated", F.max("k").over(whole) > limit).where(F.col("k") <= limit).select(F.regexp_replace("name", r"\.[^.]*$", "").alias("title"), "path", "truncated")
+    ranked = with_place(files, order, "k")
+    cut = ranked.where(F.col("k") == limit).isEmpty()
+    return ranked.where(F.col("k") < limit).orderBy("k").select(F.regexp_replace("name", r"\.[^.]*$", "").alias("title"), "path", F.lit(not cut).alias("truncated"))
 
 
 def chunk_titles(chunks: DataFrame) -> DataFrame:

@@ -3,17 +3,19 @@
 import difflib
 import os
 import random
+import re
+import unicodedata
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import Row
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
 from notemill import queries as core
-from notemill.functions import refs, text
-from notemill.operators import gates, relational
+from notemill.functions import names, refs, text
+from notemill.operators import gates, matching, ranks, relational
 from notemill.plans import notes
 from notemill.sources import decode, listing
 
@@ -96,7 +98,7 @@ def test_gates_and_matching(spark):
     assert [r[0] for r in q.select(gates.quote_holds(F.col("q"), F.col("s"))).collect()] == [True, False]
     a = spark.createDataFrame([(1, "grace alone saves")], "draft_id int, title string")
     b = spark.createDataFrame([(1, "grace alone saves us"), (2, "zzz"), (3, "")], "seq int, title string")
-    assert [(r.title, r.rank) for r in relational.match_titles(a, b).collect()] == [("grace alone saves us", 1)]
+    assert [(r.title, r.rank) for r in matching.match_titles(a, b).collect()] == [("grace alone saves us", 1)]
     values = spark.createDataFrame([("a",)], "k string")
     assert relational.allowed(values, values.limit(0).withColumn("value", F.col("k")), "k")[0].first().value == "a"
 
@@ -105,11 +107,11 @@ def test_titles_count_once(spark):
     a = spark.createDataFrame([(1, "grace alone saves"), (2, "abcdefghijk")], "draft_id int, title string")
     copies = [(i, "grace alone saves") for i in range(10, 20)]
     b = spark.createDataFrame([*copies, (5, "grace alone saves us"), (4, "[[grace alone saves|x]]"), (3, "saves alone grace"), (6, "abcdefxyz"), (7, None)], "seq int, title string")
-    got = [(r.draft_id, r.title, r.similarity) for r in relational.match_titles(a, b, threshold=0.5996).orderBy("draft_id", "rank").collect()]
+    got = [(r.draft_id, r.title, r.similarity) for r in matching.match_titles(a, b, threshold=0.5996).orderBy("draft_id", "rank").collect()]
     assert got == [(1, "saves alone grace", 1.0), (1, "[[grace alone saves|x]]", 1.0), (1, "grace alone saves", 1.0), (1, "grace alone saves us", 0.919), (2, "abcdefxyz", 0.6)]
     a = spark.createDataFrame([(1, "a" * 72 + "b" * 59)], "draft_id int, title string")
     b = spark.createDataFrame([(1, "a" * 72 + "c" * 59)], "seq int, title string")
-    assert relational.match_titles(a, b).count() == 0  # 0.5496 is under 0.55, though shown as 0.55
+    assert matching.match_titles(a, b).count() == 0  # 0.5496 is under 0.55, though shown as 0.55
 
 
 def test_unique_names(spark):
@@ -136,10 +138,81 @@ def test_ratio_bounds():
     words = ["".join(rng.choice(list("abcé 가😀"), rng.integers(0, n))) for n in [3, 12, 65, 66, 300] * 12] + ["a\0b", "\0"]
     x, y = (pd.Series(v) for v in zip(*[(a, b) for a in words for b in words], strict=True))
     exact = np.array([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(x, y, strict=True)])
-    bounds = relational.ratio_bounds(x, y)
+    bounds = matching.ratio_bounds(x, y)
     assert (bounds >= exact).all() and (bounds < 1).sum() > 1000
 
 
+def test_ratios():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcé 가😀") for _ in range(rng.choice([0, 1, 3, 12, 30, 65, 199, 200, 230]))) for _ in range(40)] + ["a\0b", "\0"]
+    x, y = zip(*[(a, b) for a in words for b in words], strict=True)
+    exact = np.array([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(x, y, strict=True)])
+    for least in (0, 0.3, 0.55, 0.9):
+        assert (matching.ratios(list(x), list(y), least) == np.where(exact >= least, exact, 0)).all()
+
+
+def _matched(drafts, titles, threshold=0.55, top=5):
+    """The matches by holding every draft against every title."""
+    words = lambda t: set(re.findall("[0-9A-Za-z가-힣]{2,}", t))
+    first, out = {}, set()
+    for seq, title in sorted(titles):
+        first.setdefault(title, seq)
+    for d, draft in drafts:
+        scored = []
+        for title, seq in first.items():
+            both = words(draft) | words(title)
+            j = len(words(draft) & words(title)) / len(both) if both else 0.0
+            score = max(j, difflib.SequenceMatcher(None, draft, title).ratio())
+            if score >= threshold:
+                scored.append((-score, seq, title))
+        out |= {(d, title, round(-s, 3), k + 1, title == draft) for k, (s, _, title) in enumerate(sorted(scored)[:top])}
+    return out
+
+
+def _page_titles(spark, sf):
+    key = lambda t: unicodedata.normalize("NFC", t).strip()
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()
+    return [(r.page_id, key(re.search("(?is)<title[^>]*>(.*?)</title>", r.html).group(1))) for r in rows]
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_title_match_whole_table(spark, monkeypatch, block):
+    """Titles of pages as drafts against those of all pages, in one block and in several; the plan has no nested loop."""
+    monkeypatch.setattr(matching, "BLOCK", block)
+    monkeypatch.setattr(matching, "SLICE", 50)
+    titles = _page_titles(spark, "/root/testdata/sf0.01")
+    drafts = [(i, t) for i, t in titles if i % 20 == 0]
+    found = matching.match_titles(spark.createDataFrame(drafts, "draft_id long, title string"), spark.createDataFrame(titles, "seq long, title string"))
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {tuple(r) for r in found.select("draft_id", "title", "similarity", "rank", "exact").collect()}
+    assert got == _matched(drafts, titles) and sum(r[-1] for r in got) == len(drafts)
+
+
+def test_title_match(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", names.first_line(F.col("text"))).collect()
+    got = {tuple(r) for r in core.QUERIES["title_match"](spark, SF).select("draft_id", "title", "similarity", "rank", "exact").collect()}
+    assert got == _matched([tuple(r) for r in items], _page_titles(spark, SF))
+
+
+def test_match_titles_awkward(spark):
+    a = spark.createDataFrame([(1, "same words here"), (2, None), (3, " \t"), (4, "\ufe0f"), (1, "same words here")], "draft_id int, title string")
+    b = spark.createDataFrame([(5, "here words same"), (6, ""), (7, None), (8, "x" * 3000)], "seq int, title string")
+    extra = spark.createDataFrame([("Same words here", 1), ("here words same", 9)], "title string, seq int")
+    got = {tuple(r) for r in matching.match_titles(a, b, extra=extra).collect()}
+    assert got == {(1, "here words same", 1.0, 1, False), (1, "Same words here", 0.933, 2, False), (4, "", 1.0, 1, True)}
+    assert matching.match_titles(a.limit(0), b).count() == matching.match_titles(a, b.limit(0)).count() == 0
+
+
+def test_ranks(spark):
+    df = spark.range(4000).selectExpr("if(id % 3 < 2, 'hot', if(id % 7 = 0, null, cast(id % 50 as string))) g", "pmod(xxhash64(id), 100000) * 10000 + id o", "id `a.b`")
+    ranked = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("o")).cast("long"))
+    assert ranks.with_rank(df, "g", "o", "r").exceptAll(ranked).isEmpty()
+    placed = df.withColumn("p", F.row_number().over(Window.orderBy("o")).cast("long") - 1)
+    assert ranks.with_place(df, ["o"], "p").exceptAll(placed).isEmpty()
+    assert ranks.with_rank(df.limit(0), "g", "o", "r").count() == ranks.with_place(df.limit(0), ["o"], "p").count() == 0
+
+
 def test_quotes_in_sources(spark):
     q = [(1, "to be … not\nto be"), (2, "to be ... never "), (3, "« nowhere » … at all"), (4, "... …"), (5, "be or not"), (5, "be or not"), (6, None)]
     s = [(30, "To sleep. to be or\u00a0not"), (20, "x to be or\nnot to  'be'"), (10, "to be"), (None, None), (40, "")]
