@@ -24,8 +24,8 @@ SCALE = 256
 COMPONENTS = 4
 #: An eigenvalue under this part of the greatest is no direction of its own.
 FLAT = 1e-13
-#: Rows whose outer products are held at once, in doubles.
-BLOCK_DOUBLES = 1 << 20
+#: Sums that a task holds side by side, in doubles.
+BLOCK_DOUBLES = 1 << 19
 #: Grid values are held within this; larger ones stay at it.
 EDGE = 2.0**62
 _SPLIT = 134217729.0  # 2^27 + 1
@@ -46,12 +46,7 @@ def quick_two_sum(a, b):
 
 def two_product(a, b):
     """The rounded product and what rounding lost, exactly (within the range of doubles)."""
-    p = a * b
-    t = _SPLIT * a
-    ah = t - (t - a)
-    t = _SPLIT * b
-    bh = t - (t - b)
-    al, bl = a - ah, b - bh
+    p, (ah, al), (bh, bl) = a * b, _split(a), _split(b)
     return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
 
 
@@ -89,11 +84,35 @@ def centred(x: np.ndarray, mean: tuple[np.ndarray, np.ndarray]):
     return quick_two_sum(h, e - mean[1])
 
 
-def outer_sums(zh: np.ndarray, zl: np.ndarray, at: tuple[np.ndarray, np.ndarray]):
-    """Sums over the rows of z_i z_j, for the pairs (i, j) of at, as double-doubles."""
-    i, j = at
-    p, e = two_product(zh[:, i], zh[:, j])
-    return dd_sum(*quick_two_sum(p, e + (zh[:, i] * zl[:, j] + zl[:, i] * zh[:, j])))
+def _split(a):
+    """Halves of 26 bits each, whose products are exact."""
+    t = _SPLIT * a
+    high = t - (t - a)
+    return high, a - high
+
+
+class OuterSums:
+    """Running sums of z_i z_j for i <= j as double-doubles: for each i, `rows` sums side by side of the columns from i on."""
+
+    def __init__(self, dim: int):
+        self.rows = max(1, BLOCK_DOUBLES // max(1, dim * (dim + 1) // 2))
+        self.high = [np.zeros((self.rows, dim - i)) for i in range(dim)]
+        self.low = [np.zeros((self.rows, dim - i)) for i in range(dim)]
+
+    def add(self, zh: np.ndarray, zl: np.ndarray) -> None:
+        """At most `rows` rows; the product's rounding error, the low parts' products and the sum's error go to the low sums."""
+        n, (ah, al) = len(zh), _split(zh)
+        for i, (high, low) in enumerate(zip(self.high, self.low, strict=True)):
+            a, ahi, ali, b, ahb, alb = zh[:, i : i + 1], ah[:, i : i + 1], al[:, i : i + 1], zh[:, i:], ah[:, i:], al[:, i:]
+            p = a * b
+            error = ((ahi * ahb - p) + ahi * alb + ali * ahb) + ali * alb + (a * zl[:, i:] + zl[:, i : i + 1] * b)
+            total, lost = two_sum(high[:n], p)
+            high[:n] = total
+            low[:n] += lost + error
+
+    def totals(self):
+        """(high, low) of each i."""
+        return [dd_sum(*quick_two_sum(h, l)) for h, l in zip(self.high, self.low, strict=True)]
 
 
 def _matrix(batch, column: int, dim: int) -> np.ndarray:
@@ -102,23 +121,19 @@ def _matrix(batch, column: int, dim: int) -> np.ndarray:
 
 def _covariance_parts(dim: int, centre):
     """A task's sums of outer products, one row of the matrix a record."""
-    at = np.triu_indices(dim)
-    step = max(1, BLOCK_DOUBLES // len(at[0]))
 
     def build(batches):
         import pyspark
 
-        high, low = np.zeros(len(at[0])), np.zeros(len(at[0]))
-        some = False
+        sums, some = OuterSums(dim), False
         for batch in batches:
-            for k in range(0, batch.num_rows, step):
-                zh, zl = centre(batch.slice(k, step))
-                high, low = dd_add(high, low, *outer_sums(zh, zl, at))
+            for k in range(0, batch.num_rows, sums.rows):
+                sums.add(*centre(batch.slice(k, sums.rows)))
                 some = True
         if some:
-            own = [np.flatnonzero(at[0] == i) for i in range(dim)]
+            high, low = zip(*sums.totals(), strict=True)
             task = pyspark.TaskContext.get().partitionId()
-            columns = [np.arange(dim), np.full(dim, task), [high[o] for o in own], [low[o] for o in own]]
+            columns = [np.arange(dim), np.full(dim, task), high, low]
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["i", "task", "high", "low"])
 
