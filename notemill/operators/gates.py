@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions import markdown as md
 from notemill.functions.text import domain_of, in_domains
+from notemill.operators.phrases import contains_join
+from notemill.shared import checkpoint
 
 # fixed values: what a line states as a fact, the grades and their marks, where a claim comes from, kinds that name something
 FACT = r"(BC|AD|주전|주후)\s*[0-9]|[0-9]+\s*세기|[0-9]{3,4}\s*년|[0-9]+(\.[0-9]+)?\s*%|[“”]"
@@ -114,46 +115,23 @@ def quote_holds(quote: Column, source: Column) -> Column:
     return F.forall(quote_segments(quote), lambda s: F.contains(squeeze(source), s))
 
 
-def _holders(segments: list[str], quotes: list[list[int]]):
-    """Of each text, the quotes of which it holds a segment, with the numbers of those that it lacks."""
-    of = {}
-    for q, own in enumerate(quotes):
-        for s in own:
-            of.setdefault(s, []).append(q)
-
-    def held(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            rows, found, lacks = [], [], []
-            for k, text in enumerate(texts):
-                has = {s for s in of if segments[s] in text}
-                for q in sorted({q for s in has for q in of[s]}):
-                    rows.append(k)
-                    found.append(q)
-                    lacks.append([n for n, s in enumerate(quotes[q]) if s not in has])
-            columns = [pa.array(found, pa.int32()), ids.take(pa.array(rows, pa.int64())), pa.array(lacks, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["quote_no", "source", "lacks"])
-
-    return held
-
-
 def find_quotes(quotes: DataFrame, sources: DataFrame, quote_id: str, source_id: str, text_col: str = "text") -> DataFrame:
     """For each row of quotes whether one source holds all its segments.
 
     Columns: quote_id, ok, n_sources (that hold the whole quote), source_id (of the source that lacks the fewest segments, the
     least id of several; null if none holds any) and missing_segments (those it lacks, as written). A quote without segments
-    holds. Every quote is held against every whole source by definition; the quotes are the small, stated side and go to the
-    tasks as one list.
+    holds. Segments are sought in all whole sources by phrases.contains_join(); quotes and sources may both be many.
     """
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), r"…|\.\.\.")
     written = F.transform(F.filter(parts, lambda s: squeeze(s) != ""), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
-    rows = quotes.select(quote_id, written.alias("written"), quote_segments(F.coalesce(F.col(text_col), F.lit(""))).alias("segments")).collect()
-    number = {s: k for k, s in enumerate(dict.fromkeys(s for r in rows for s in r.segments))}
-    kind = sources.schema[source_id].dataType.simpleString()
-    texts = sources.where(F.col(text_col).isNotNull()).select(F.col(source_id).alias("source"), squeeze(F.col(text_col)).alias("text"))
-    hits = texts.mapInArrow(_holders(list(number), [[number[s] for s in r.segments] for r in rows]), f"quote_no int, source {kind}, lacks array<int>")
-    best = hits.groupBy("quote_no").agg(F.min(F.struct(F.size("lacks").alias("n"), "source", "lacks")).alias("best"), F.count_if(F.size("lacks") == 0).alias("n_sources"))
-    id_kind = quotes.schema[quote_id].dataType.simpleString()
-    asked = quotes.sparkSession.createDataFrame([(k, r[0], r.written) for k, r in enumerate(rows)], f"quote_no int, id {id_kind}, written array<string>")
+    rows = quotes.select(F.col(quote_id).alias("id"), written.alias("written"), quote_segments(F.coalesce(F.col(text_col), F.lit(""))).alias("segments"))
+    asked = checkpoint(rows).withColumn("quote", F.monotonically_increasing_id())  # numbers of written rows, so equal quotes stay apart
+    segments = asked.select("quote", F.posexplode("segments").alias("pos", "phrase"))
+    texts = sources.select(F.col(source_id).alias("source"), squeeze(F.col(text_col)).alias("text"))
+    held = contains_join(texts, segments).join(segments, "phrase").groupBy("quote", "row").agg(F.first("source").alias("source"), F.collect_set("pos").alias("has"))
+    sizes = asked.select("quote", F.size("segments").alias("n"))
+    lacks = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: ~F.array_contains("has", k))
+    hits = held.join(sizes, "quote").select("quote", "source", lacks.alias("lacks"))
+    best = hits.groupBy("quote").agg(F.min(F.struct(F.size("lacks").alias("n"), "source", "lacks")).alias("best"), F.count_if(F.size("lacks") == 0).alias("n_sources"))
     missing = F.when(F.col("best").isNull(), F.col("written")).otherwise(F.transform("best.lacks", lambda n: F.get("written", n)))
-    return asked.join(best, "quote_no", "left").select(F.col("id").alias(quote_id), (F.size(missing) == 0).alias("ok"), F.coalesce("n_sources", F.lit(0).cast("long")).alias("n_sources"), F.col("best.source").alias(source_id), missing.alias("missing_segments"))
+    return asked.join(best, "quote", "left").select(F.col("id").alias(quote_id), (F.size(missing) == 0).alias("ok"), F.coalesce("n_sources", F.lit(0).cast("long")).alias("n_sources"), F.col("best.source").alias(source_id), missing.alias("missing_segments"))

@@ -277,9 +277,24 @@ def quote_verify(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", gates.quote_holds(quote, F.col("text")).alias("ok"))
 
 
-@query("quote_sources")
+_SQUEEZED = r"""regexp_replace(%s, '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"''“”‘’·]+', '', 'g')"""
+
+
+@query("quote_sources", f"""
+WITH parts AS (
+  SELECT item_id, list_filter(string_split_regex(text, '…|\\.\\.\\.'), lambda s: {_SQUEEZED % "s"} != '') AS written FROM benchmark
+), segments AS (SELECT item_id, pos, {_SQUEEZED % "written[pos]"} AS s FROM (SELECT *, unnest(range(1, len(written) + 1)) AS pos FROM parts)),
+texts AS (SELECT doc_id, {_SQUEEZED % "text"} AS t FROM documents WHERE text IS NOT NULL),
+held AS (SELECT item_id, doc_id, list(pos) AS has FROM segments JOIN texts ON contains(t, s) GROUP BY ALL),
+lacks AS (SELECT item_id, doc_id, list_filter(range(1, len(written) + 1), lambda k: NOT list_contains(has, k)) AS l FROM held JOIN parts USING (item_id)),
+best AS (SELECT item_id, arg_min(doc_id, (len(l), doc_id)) AS doc_id, arg_min(l, (len(l), doc_id)) AS l, count(*) FILTER (len(l) = 0) AS n FROM lacks GROUP BY item_id)
+SELECT item_id, len(coalesce(l, range(1, len(written) + 1))) = 0 AS ok, coalesce(n, 0) AS n_sources, doc_id,
+       array_to_string(list_transform(coalesce(l, range(1, len(written) + 1)), lambda k: trim(written[k], chr(10) || ' ')), chr(10)) AS missing
+FROM parts LEFT JOIN best USING (item_id)
+""")
 def quote_sources(spark, d):
-    return gates.find_quotes(_t(spark, d, "benchmark").select("item_id", "text"), _t(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id")
+    found = gates.find_quotes(_t(spark, d, "benchmark").select("item_id", "text"), _t(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id")
+    return found.withColumn("missing", F.array_join("missing_segments", "\n")).drop("missing_segments")
 
 
 _HOST = "regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www[.]', '')"

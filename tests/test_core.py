@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from notemill import queries as core
 from notemill.functions import names, refs, text
-from notemill.operators import gates, matching, ranks, relational
+from notemill.operators import gates, matching, phrases, ranks, relational
 from notemill.plans import notes
 from notemill.sources import decode, listing
 
@@ -222,6 +222,22 @@ def test_quotes_in_sources(spark):
     assert sorted((r.q, r.ok, r.missing_segments) for r in found.collect() if not r.s) == [(3, False, ["« nowhere »", "at all"]), (4, True, []), (6, True, [])]
 
 
+@pytest.mark.parametrize("window", [1 << 20, 7])
+def test_contains_join(spark, monkeypatch, window):
+    """Phrases of every length against texts, held against `in`; a small window cuts texts at each place."""
+    monkeypatch.setattr(phrases, "WINDOW", window)
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("abé😀 ") for _ in range(n))
+    texts = [(k, make(rng.choice([0, 1, 5, 40, 200]))) for k in range(60)] + [(7, None), (8, "a" * 500), (8, "a" * 500)]
+    sought = [make(n) for n in [1, 2, 3, 4, 5, 8, 15] for _ in range(8)] + ["a" * n for n in (31, 32, 33, 64, 501)] + [None, ""]
+    sought += [t[i : i + n] for _, t in texts[:40] if t for i, n in ((0, 33), (3, 100), (1, 20))]
+    got = phrases.contains_join(spark.createDataFrame(texts, "id int, text string").repartition(3), spark.createDataFrame([(s,) for s in sought], "phrase string"))
+    want = sorted((i, p) for i, t in texts if t for p in {s for s in sought if s} if p in t)
+    assert sorted((r.id, r.phrase) for r in got.collect()) == want and len(want) > 300
+    empty = spark.createDataFrame([], "id int, text string")
+    assert phrases.contains_join(empty, got.select("phrase")).count() == 0
+
+
 def test_quote_sources(spark):
     """Benchmark texts against every document, by brute force."""
     squeezed = lambda t: "".join(c for c in t if not c.isspace() and c not in "\"'“”‘’·")
