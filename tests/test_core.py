@@ -81,18 +81,6 @@ def test_decode(spark):
     assert got == {1: ("가", "cp949"), 2: ("가", "utf-8"), 3: (None, None)}
 
 
-def test_commit_never_overwrites(spark, tmp_path):
-    plan = spark.createDataFrame([Row(path=f"{tmp_path}/a.md", content="new", action="create", kind="main")])
-    with pytest.raises(PermissionError):
-        notes.commit(plan)
-    assert notes.commit(plan, approve="WRITE").first().status == "written"
-    (tmp_path / "a.md").write_text("old")
-    assert notes.commit(plan, approve="WRITE").first().status == "exists"
-    assert (tmp_path / "a.md").read_text() == "old"
-    with pytest.raises(FileExistsError):
-        notes.commit(plan.withColumn("action", F.lit("conflict")), approve="WRITE")
-
-
 def test_gates_and_matching(spark):
     q = spark.createDataFrame([("to be … not to be", "to be or\nnot to  be"), ("to be ... never", "to be")], "q string, s string")
     assert [r[0] for r in q.select(gates.quote_holds(F.col("q"), F.col("s"))).collect()] == [True, False]
