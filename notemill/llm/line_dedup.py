@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.common import checkpoint, split_join, table
+from notemill.llm.common import checkpoint, columns, split_join, table
 
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
 #: Bits of a chunk.
@@ -123,12 +123,12 @@ def drop_repeated_lines(docs: DataFrame, least: int = MIN_CHARS, max_bits: int =
     Lines whose key has `least` code points or more and is in at least two documents (ids) go from all of them but that
     with the smallest id, where all stay. Rows of one id count as one document, each loses the same lines. Rows with a null id
     are no documents: they lose nothing and count for nothing. A null text stays null and counts as one empty line. Other
-    columns pass through; one named `line_dedup` is replaced.
+    columns pass through; one named `line_dedup`, in any case, is replaced.
     """
     spark = docs.sparkSession
     lines = docs.agg(F.sum(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     bits = min(max_bits, max(MIN_BITS, 1 << int(lines * BITS_A_LINE).bit_length()))
-    known = docs.where(F.col(id_col).isNotNull())
+    known = docs.where(F.col(f"`{id_col}`").isNotNull())
     seen = spark.sparkContext.broadcast(twice_seen(known, text_col, bits, least))
 
     def suspects(batches):
@@ -144,7 +144,7 @@ def drop_repeated_lines(docs: DataFrame, least: int = MIN_CHARS, max_bits: int =
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, batch.schema.field(0).type), "key": pa.array(keys, pa.binary())})
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    found = checkpoint(known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(suspects, f"id {id_type}, key binary"))
+    found = checkpoint(known.select(F.col(f"`{id_col}`").alias("id"), F.col(text_col).alias("text")).mapInArrow(suspects, f"id {id_type}, key binary"))
     first = checkpoint(found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last"))
     held = split_join(found, first, "key", "n")
     lost = held.where("id != first").groupBy("id").agg(F.collect_set("key").alias("lost"))  # at most a document's own lines
@@ -162,13 +162,15 @@ def drop_repeated_lines(docs: DataFrame, least: int = MIN_CHARS, max_bits: int =
             out.append((b"\n".join(kept).decode(), len(every), len(every) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    own = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    met = docs.select(own).join(lost, F.col(f"row.{id_col}") == F.col("id"), "left").withColumn("cut", cut(F.col(f"row.{text_col}"), "lost"))
-    kept = [F.col("cut.text").alias(c) if c == text_col else F.col(f"row.{c}") for c in docs.columns if c != "line_dedup"]
+    row = F.col("row")
+    own = F.struct(*columns(docs)).alias("row")
+    met = docs.select(own).join(lost, row.getField(id_col) == F.col("id"), "left").withColumn("cut", cut(row.getField(text_col), "lost"))
+    kept = [(F.col("cut.text") if c == text_col else row.getField(c)).alias(c) for c in docs.columns if c.lower() != "line_dedup"]
     return met.select(*kept, F.struct("cut.n_lines", "cut.n_dropped").alias("line_dedup"))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents with their lines, the lines dropped, and the digest of what is kept."""
     docs = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notemill.llm.common import checkpoint, split_join
+from notemill.llm.common import checkpoint, columns, split_join
 from notemill.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -188,12 +188,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts of equal shingles are similar, wordless and null ones too. A null id is never the smallest; a component of null ids
     alone has a null component_id. Rows with equal ids are rows like others. Extra columns pass through; one named
-    `component_id` is replaced.
+    `component_id`, in any case, is replaced.
     """
     _, texts = _components(docs, id_col, text_col, group)
-    own = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    own = F.struct(*columns(docs)).alias("row")
     found = split_join(docs.select(own, _text_key(text_col).alias("text_key")), texts, "text_key", "n")
-    return found.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns if c != "component_id"], "component_id")
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "component_id"], "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
@@ -204,7 +204,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     """
     ids, texts = _components(docs, id_col, text_col, group)
     kept = split_join(ids, texts, "text_key", "n").where(F.col("id") == F.col("component_id")).groupBy("id", "root").agg(F.min("text_key").alias("text_key")).drop("root")
-    own = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    own = F.struct(*columns(docs)).alias("row")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _text_key(text_col).alias("text_key"), own)
     met = rows.join(kept, ["id", "text_key"])  # a text is in one component, so these are distinct
     nth = F.row_number().over(Window.partitionBy("id", "text_key").orderBy(F.xxhash64("row")))
