@@ -37,17 +37,24 @@ def verses(text: Column, books: list[str], longest: int = LONGEST, aliases: dict
     digits as written, verses are numbers. Of equal references (ambiguous: equal raw text and reason) the first stays. All of it
     is done within the row: equal ones meet by sorting, nothing shuffles.
     """
-    return F.transform(_keyed(text, books, longest, aliases), lambda v: F.struct(*[v[n].alias(n) for n in FIELDS]))
+    return let(_keyed(text, books, longest, aliases), lambda f: F.transform(f["verses"], lambda v: F.struct(*[c.alias(n) for n, c in _fields(f, v).items()])))
+
+
+def _fields(found: Column, v: Column) -> dict[str, Column]:
+    return {"normalized": v["normalized"], "status": v["status"], "raw": F.get(found["raws"], v["ref"]), "note": v["note"]}
 
 
 def _keyed(text: Column, books: list[str], longest: int, aliases: dict[str, str] | None) -> Column:
-    """verses() with a further field `doubt`: what makes ambiguous entries equal, null for verses."""
+    """Struct of raws, the references as written, and verses: verses() with the place in raws and a field `doubt`.
+
+    doubt is what makes ambiguous entries equal, null for verses. A long list of verses is one raw text, held once.
+    """
     short = F.create_map(*[F.lit(x) for b in books for x in (b, (aliases or {}).get(b, b))])
 
-    def made(name: Column, status: str, ref: Column, note: Column, doubt: Column) -> Column:
-        return F.struct(name.alias("normalized"), F.lit(status).alias("status"), ref["raw"].alias("raw"), note.alias("note"), doubt.alias("doubt"))
+    def made(name: Column, status: str, i: Column, note: Column, doubt: Column) -> Column:
+        return F.struct(name.alias("normalized"), F.lit(status).alias("status"), i.alias("ref"), note.alias("note"), doubt.alias("doubt"))
 
-    def of_item(ref: Column, item: Column) -> Column:
+    def of_item(ref: Column, i: Column, mark: Column, item: Column) -> Column:
         low = F.substring_index(item, "-", 1).try_cast("int")
         high = F.substring_index(item, "-", -1).try_cast("int")
 
@@ -57,13 +64,17 @@ def _keyed(text: Column, books: list[str], longest: int, aliases: dict[str, str]
             return F.struct(b["low"].alias("low"), b["high"].alias("high"), note.alias("note"))
 
         def listed(b: Column) -> Column:
-            clear = let(F.concat(F.element_at(short, ref["book"]), ref["chapter"], F.lit("_")), lambda head: F.transform(F.sequence(b["low"], b["high"]), lambda v: made(F.concat(head, v.cast("string")), "ok", ref, F.lit(""), F.lit(None).cast("string"))))
-            doubt = F.concat_ws("\0", ref["raw"], b["note"], F.when(b["note"] == "too_long", item))
-            return F.when(b["note"] == "", clear).otherwise(F.array(made(F.lit(""), "ambiguous", ref, b["note"], doubt)))
+            clear = let(F.concat(F.element_at(short, ref["book"]), ref["chapter"], F.lit("_")), lambda head: F.transform(F.sequence(b["low"], b["high"]), lambda v: made(F.concat(head, v.cast("string")), "ok", i, F.lit(""), F.lit(None).cast("string"))))
+            doubt = F.concat_ws("\0", mark, b["note"], F.when(b["note"] == "too_long", item))
+            return F.when(b["note"] == "", clear).otherwise(F.array(made(F.lit(""), "ambiguous", i, b["note"], doubt)))
 
         return let(let(F.struct(low.alias("low"), high.alias("high")), judged), listed)
 
-    every = F.flatten(F.flatten(F.transform(find(text, books), lambda ref: F.transform(F.split(F.regexp_replace(ref["verses"], r"\s+", ""), ","), lambda item: of_item(ref, item)))))
+    def of_ref(ref: Column, i: Column) -> Column:
+        items = F.array_distinct(F.split(F.regexp_replace(ref["verses"], r"\s+", ""), ","))
+        # raws of up to 64 characters stand for themselves, longer ones by their length and digest
+        mark = F.when(F.length(ref["raw"]) <= 64, ref["raw"]).otherwise(F.concat(F.length(ref["raw"]).cast("string"), F.lit("\0"), F.md5(ref["raw"])))
+        return let(mark, lambda m: F.transform(items, lambda item: of_item(ref, i, m, item)))
 
     def key(v: Column) -> Column:
         return F.coalesce(F.concat(F.lit("\0"), v["doubt"]), v["normalized"])
@@ -77,14 +88,19 @@ def _keyed(text: Column, books: list[str], longest: int, aliases: dict[str, str]
         repeated = (F.size(all_) > 1) & (F.size(F.array_distinct(F.transform(all_, key))) < F.size(all_))
         return F.when(repeated, distinct(all_)).otherwise(all_)
 
-    return let(every, kept)
+    def whole(found: Column) -> Column:
+        every = F.flatten(F.flatten(F.transform(found, of_ref)))
+        return F.struct(F.transform(found, lambda r: r["raw"]).alias("raws"), let(every, kept).alias("verses"))
+
+    return let(find(text, books), whole)
 
 
 def expand(df: DataFrame, text_col: str, books: list[str], keep: list[str], longest: int = LONGEST, aliases: dict[str, str] | None = None) -> DataFrame:
     """Rows (keep..., pos, normalized, status, raw, note) of verses(); rows with equal `keep` stay apart."""
-    # exploded in place: of an exploded column Catalyst infers a filter, which would work the expression out twice more
-    found = df.select(*keep, F.posexplode(_keyed(F.col(text_col), books, longest, aliases)).alias("pos", "v"))
-    return found.select(*keep, "pos", *[f"v.{n}" for n in FIELDS])
+    # of an exploded column Catalyst infers a filter, which would work the expression out again; of an expression it does not
+    found = df.select(*keep, _keyed(F.col(text_col), books, longest, aliases).alias("_f"))
+    each = found.select(*keep, "_f", F.posexplode(F.flatten(F.array(F.col("_f")["verses"]))).alias("pos", "v"))
+    return each.select(*keep, "pos", *[c.alias(n) for n, c in _fields(F.col("_f"), F.col("v")).items()])
 
 
 def main_passages(refs: DataFrame, keep: list[str]) -> DataFrame:

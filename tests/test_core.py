@@ -264,3 +264,12 @@ def test_query_against_duckdb(spark, name):
     assert columns == sorted(expected.columns)
     at = [expected.columns.index(c) for c in columns]
     assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in expected.fetchall())
+
+
+def test_long_verse_lists(spark):
+    """A hundred thousand verses in one list are read as any other list."""
+    n = 100000
+    df = spark.createDataFrame([(1, "요 3:1" + ", 2" * n), (2, "요 3:1" + ", 2-3" * 3000 + " 절"), (3, "요 3:1-" + " " * n + "2"), (4, "요 3:1" + "".join(f", {k}" for k in range(2, 20000))), (5, "요 3:9-1" + ", 9-1" * n)], "id int, text string")
+    rows = refs.expand(df, "text", ["요"], ["id"]).groupBy("id").agg(F.count("*").alias("n"), F.max_by("normalized", "pos").alias("last"), F.max(F.length("raw")).alias("raw"))
+    got = {r.id: (r.n, r.last) for r in rows.collect()}
+    assert got == {1: (2, "요3_2"), 2: (3, "요3_3"), 3: (2, "요3_2"), 4: (19999, "요3_19999"), 5: (1, "")}
