@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notemill.shared import checkpoint
+
 TEXT = (".md", ".txt")
 ENCODINGS = ("utf-8", "utf-8-sig", "cp949", "euc-kr")
 
@@ -92,25 +94,77 @@ def read_office(content: Column, suffix: Column) -> Column:
     return texts(content, suffix)
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """files (path, suffix, content) with text, method, error and warnings. Equal contents of a type are read once.
+#: Leading digits of a content's hash by which kept texts are foldered.
+FOLDERS = 2
+
+
+def _read_once(once: DataFrame) -> DataFrame:
+    """(key, suffix, text, method, error) of distinct contents (key, suffix, content)."""
+    office = once.where(F.col("suffix").isin(*READERS)).withColumn("r", read_office(F.col("content"), F.col("suffix"))).select("key", "suffix", "r.text", F.lit("xml").alias("method"), "r.error")
+    plain = once.where(F.col("suffix").isin(*TEXT)).withColumn("r", decode(F.col("content"))).select("key", "suffix", "r.text", F.col("r.encoding").alias("method"), "r.error")
+    return office.unionByName(plain)
+
+
+def _kept(spark, cache: str) -> DataFrame | None:
+    """Texts kept by earlier runs, one for each content; None if there are none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(f"key string, suffix string, text string, method string, {HEAD} string").parquet(cache)
 
-    Text is read by its encoding, DOCX and HWPX by their XML; other types (PDF and HWP need programs that are not part of
-    this) have the error `unsupported`. Contents shuffle by hash only.
+
+HEAD = "head"
+
+
+def extract(files: DataFrame, cache: str | None = None) -> DataFrame:
+    """files (path, suffix, content) with text, method, error, pages, warnings and cached. Equal contents of a type are read once.
+
+    Text is read by its encoding, DOCX and HWPX by their XML. PDF and HWP need programs that are not part of this: what they made of
+    a file may come in a column `converted`, else such files have the error `unsupported`. A PDF's pages are counted by the form
+    feeds of its text, else by its objects. Contents shuffle by hash only.
+
+    With cache, a folder of the shared storage, texts are kept across runs by the hash of their content: what is there is not
+    read again, wherever the file lies now and whatever it is called, and what is new is added. Failures are not kept. Only
+    the folders of hash heads that occur are scanned. Runs at the same time may keep a text twice, which does no harm.
     """
     keyed = files.withColumn("key", F.coalesce(F.sha2("content", 256), F.lit("")))
     once = keyed.groupBy("key", "suffix").agg(F.min_by("content", "path").alias("content"))
-    office = once.where(F.col("suffix").isin(*READERS)).withColumn("r", read_office(F.col("content"), F.col("suffix"))).select("key", "suffix", "r.text", F.lit("xml").alias("method"), "r.error")
-    plain = once.where(F.col("suffix").isin(*TEXT)).withColumn("r", decode(F.col("content"))).select("key", "suffix", "r.text", F.col("r.encoding").alias("method"), "r.error")
-    read = keyed.drop("content").join(office.unionByName(plain), ["key", "suffix"], "left")
-    known = read.withColumn("error", F.when(~F.col("suffix").isin(*READERS, *TEXT), "unsupported").otherwise(F.col("error")))
-    return known.drop("key").withColumn("warnings", warnings(F.col("suffix"), F.col("text"), F.lit(0)))
+    if cache is None:
+        found = _read_once(once).withColumn("cached", F.lit(False))
+    else:
+        spark = files.sparkSession
+        once = once.withColumn(HEAD, F.substring("key", 1, FOLDERS))
+        kept = _kept(spark, cache)
+        hits = None
+        if kept is not None:
+            heads = [r[0] for r in once.select(HEAD).distinct().collect()]  # at most 16 ** FOLDERS
+            pruned = kept.where(F.col(HEAD).isin(*heads)) if heads else kept.limit(0)
+            asked = once.select("key", "suffix")
+            hits = checkpoint(pruned.join(asked, ["key", "suffix"], "left_semi").groupBy("key", "suffix").agg(F.min(F.struct("text", "method")).alias("r")).select("key", "suffix", "r.text", "r.method"))
+            once = once.join(hits.select("key", "suffix"), ["key", "suffix"], "left_anti")
+        new = checkpoint(_read_once(once))
+        good = new.where("error IS NULL AND text IS NOT NULL").drop("error").withColumn(HEAD, F.substring("key", 1, FOLDERS))
+        good.repartition(HEAD).write.mode("append").partitionBy(HEAD).parquet(cache)
+        found = new.withColumn("cached", F.lit(False))
+        if hits is not None:
+            found = found.unionByName(hits.withColumns({"error": F.lit(None).cast("string"), "cached": F.lit(True)}))
+    given = F.col("converted") if "converted" in files.columns else F.lit(None).cast("string")
+    objects = F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit(r"/Type\s*/Page\b"))
+    pages = F.when(F.col("suffix") == ".pdf", F.greatest(F.lit(1), F.when(F.contains(given, F.lit("\f")), pdf_pages(given)).otherwise(F.coalesce(objects, F.lit(1)))))
+    read = keyed.withColumns({"pages": pages, "_given": given}).drop("content", "converted").join(found, ["key", "suffix"], "left")
+    outside = ~F.col("suffix").isin(*READERS, *TEXT)
+    known = read.withColumns({
+        "error": F.when(outside & F.col("_given").isNull(), "unsupported").when(~outside, F.col("error")),
+        "text": F.when(outside, F.replace("_given", F.lit("\f"), F.lit("\n"))).otherwise(F.col("text")),
+        "method": F.when(outside & F.col("_given").isNotNull(), "given").when(~outside, F.col("method")),
+    }).drop("_given")
+    return known.drop("key").withColumn("cached", F.coalesce("cached", F.lit(False))).withColumn("warnings", warnings(F.col("suffix"), F.col("text"), F.coalesce("pages", F.lit(0))))
 
 
 def extract_few(files: DataFrame) -> DataFrame:
     """F8: extract() for DOCX, Markdown and text files only, with `chars` instead of warnings; other types are `unsupported`."""
     fine = F.col("suffix").isin(".docx", ".md", ".txt")
-    read = extract(files.withColumn("content", F.when(fine, F.col("content")))).drop("warnings")
+    read = extract(files.withColumn("content", F.when(fine, F.col("content")))).drop("warnings", "pages", "cached")
     kept = [F.when(fine, F.col(c)).alias(c) for c in ("text", "method")]
     return read.select(*[c for c in read.columns if c not in ("text", "method", "error")], *kept, F.when(fine, F.col("error")).otherwise("unsupported").alias("error"), F.when(fine, F.length("text")).alias("chars"))
 
