@@ -36,10 +36,19 @@ def scalar(c: Column) -> Column:
     return F.when(needs_quote(c), F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(c)
 
 
-def frontmatter(fields: dict[str, Column], lists: set[str]) -> Column:
-    """The block of all fields in order; those in `lists` are arrays, null scalars are written as null."""
+def frontmatter(fields: dict[str, Column], lists: set[str], optional: set[str] = frozenset()) -> Column:
+    """The block of all fields in order; those in `lists` are arrays, null scalars are written as null.
+
+    Fields in `optional` are left out where they are null or empty.
+    """
 
     def one(name: str, value: Column) -> Column:
+        if name in optional:
+            some = F.coalesce(F.size(value) > 0, F.lit(False)) if name in lists else F.coalesce(value.cast("string") != "", F.lit(False))
+            return F.when(some, written(name, value))
+        return written(name, value)
+
+    def written(name: str, value: Column) -> Column:
         if name not in lists:
             return F.concat(F.lit(f"{name}: "), F.coalesce(scalar(value.cast("string")), F.lit("null")))
         items = F.coalesce(value, F.array().cast("array<string>"))

@@ -95,6 +95,15 @@ def _keyed(text: Column, books: list[str], longest: int, aliases: dict[str, str]
     return let(find(text, books), whole)
 
 
+def link(style: str, normalized: Column) -> Column:
+    """A verse as a link in the style of the settings."""
+    out = F.lit(style)
+    shape = r"^(.*?)([0-9]+)_([0-9]+)$"
+    for name, value in {"book": F.regexp_extract(normalized, shape, 1), "chapter": F.regexp_extract(normalized, shape, 2), "verse": F.regexp_extract(normalized, shape, 3), "normalized": normalized}.items():
+        out = F.replace(out, F.lit(f"{{{name}}}"), value) if f"{{{name}}}" in style else out
+    return out
+
+
 def expand(df: DataFrame, text_col: str, books: list[str], keep: list[str], longest: int = LONGEST, aliases: dict[str, str] | None = None) -> DataFrame:
     """Rows (keep..., pos, normalized, status, raw, note) of verses(); rows with equal `keep` stay apart."""
     # of an exploded column Catalyst infers a filter, which would work the expression out again; of an expression it does not

@@ -61,6 +61,38 @@ def claim_issues(grade: Column, origin: Column, kind: Column, load_bearing: Colu
     return F.when(unknown.isNotNull(), F.array(unknown)).otherwise(F.array_compact(F.array(*rules)))
 
 
+def domain_kinds(hosts: DataFrame, host: str, table: DataFrame) -> DataFrame:
+    """(host, kinds) of the distinct hosts, kinds being those of the table (kind, pattern, below) that hold for it, sorted.
+
+    A pattern holds for its own domain, unless `below` is set, and for those under it. Each host is expanded to its ends at a
+    dot, and these join the table, so neither grows the plan; hosts are distinct first, however often they come.
+    """
+    distinct = hosts.select(F.col(host).alias("host")).where("host IS NOT NULL").distinct()
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    met = distinct.select("host", F.explode(ends).alias("pattern")).join(table, "pattern").where(~F.col("below") | (F.col("pattern") != F.col("host")))
+    found = met.groupBy("host").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))  # at most the kinds there are
+    return distinct.join(found, "host", "left").select(F.col("host").alias(host), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
+
+
+def confirmed_by(claims: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """(key, domains, institutional) of claims with agreeing evidence (EVIDENCE): distinct domains that are no wikis, and whether one is an institution's.
+
+    For tables of any size; claim_issues() takes short lists in the plan.
+    """
+    each = claims.select(key, F.explode(F.filter("evidence", lambda e: F.coalesce(e["agrees"], F.lit(False)))).alias("e"))
+    named = each.select(key, evidence_domain(F.col("e")).alias("domain")).where("domain != ''").distinct()
+    kinds = domain_kinds(named, "domain", table)
+    known = named.join(kinds, "domain").where(~F.array_contains("kinds", "wiki"))
+    return known.groupBy(key).agg(F.count(F.lit(1)).alias("domains"), F.max(F.array_contains("kinds", "institutional")).alias("institutional"))
+
+
+def over_budget(runs: DataFrame, budgets: dict[str, int]) -> DataFrame:
+    """V7: rows of runs (mode, searches_used, ...) that searched more than their mode may, with the `budget`. Other modes have none."""
+    budget = F.coalesce(*[F.when(F.col("mode") == m, F.lit(n)) for m, n in budgets.items()], F.lit(None).cast("int"))
+    return runs.withColumn("budget", budget).where("searches_used > budget")
+
+
 def repeated_ids(claims: DataFrame, key: str) -> DataFrame:
     """V7: (key, n) of ids that several claims have; counted before they shuffle."""
     return claims.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

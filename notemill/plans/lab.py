@@ -70,15 +70,6 @@ def problems(mode: str) -> Column:
     return F.concat(codes, *more)
 
 
-def _link(style: str, normalized: Column) -> Column:
-    """A verse as a link in the style of the settings."""
-    out = F.lit(style)
-    shape = r"^(.*?)([0-9]+)_([0-9]+)$"
-    for name, value in {"book": F.regexp_extract(normalized, shape, 1), "chapter": F.regexp_extract(normalized, shape, 2), "verse": F.regexp_extract(normalized, shape, 3), "normalized": normalized}.items():
-        out = F.replace(out, F.lit(f"{{{name}}}"), value) if f"{{{name}}}" in style else out
-    return out
-
-
 def plan(results: DataFrame, mode: str, existing: DataFrame, folder: str, books: list[str], settings: dict | None = None, now: str | None = None, skill: str = "notemill") -> DataFrame:
     """M7: results (columns of RESULT, further ones stay) with path, action, problems, content, warnings, grades, bible_links, unclear.
 
@@ -97,7 +88,7 @@ def plan(results: DataFrame, mode: str, existing: DataFrame, folder: str, books:
     read = full.withColumns({"problems": problems(mode), "_body": body, "_date": date, "_title": title})
     read = read.withColumn("_refs", F.when(F.size("problems") == 0, refs.verses(F.col("_body"), books, bible["max_range_expand"], bible["book_aliases"])))
     read = read.withColumns({
-        "bible_links": F.array_distinct(F.transform(F.filter("_refs", lambda r: r["status"] == "ok"), lambda r: _link(bible["link_style"], r["normalized"]))),
+        "bible_links": F.array_distinct(F.transform(F.filter("_refs", lambda r: r["status"] == "ok"), lambda r: refs.link(bible["link_style"], r["normalized"]))),
         "unclear": F.filter("_refs", lambda r: r["status"] != "ok"),
         "grades": md.grade_counts(F.col("_body")),
         "_joined": F.filter(F.transform(F.coalesce("tags", none), lambda t: sanitize_title(t, "")), lambda t: F.contains(t, F.lit(" "))),

@@ -17,18 +17,18 @@ def backlink(name: Column) -> Column:
     return F.concat(F.lit("원본 설교: "), md.wikilink(name))
 
 
-def main_note(fields: dict[str, Column], lists: set[str], title: Column, fragments: Column, unclear: Column, original: Column) -> Column:
+def main_note(fields: dict[str, Column], lists: set[str], title: Column, fragments: Column, unclear: Column, original: Column, optional: set[str] = frozenset()) -> Column:
     """M4: frontmatter, a section for each fragment (basename, bullets), unclear references (raw, note), the original as it was."""
     parts = F.transform(fragments, lambda f: F.concat(F.lit("## "), md.wikilink(f["basename"]), F.lit("\n"), _bullets(f["bullets"]), F.lit("\n\n")))
     listed = F.array_join(F.transform(unclear, lambda r: F.concat(F.lit("- "), r["raw"], F.lit(" — "), r["note"])), "\n")
     doubt = F.when(F.size(unclear) > 0, F.concat(F.lit("## 확인 필요한 성경구절\n"), listed, F.lit("\n\n"))).otherwise("")
     end = F.concat(F.lit("---\n\n# 원본 설교문\n\n"), F.regexp_replace(F.coalesce(original, F.lit("")), r"(?U)\s+\z", ""), F.lit("\n"))
-    return F.concat(md.frontmatter(fields, lists), F.lit("\n# "), title, F.lit("\n\n"), F.array_join(parts, ""), doubt, end)
+    return F.concat(md.frontmatter(fields, lists, optional), F.lit("\n# "), title, F.lit("\n\n"), F.array_join(parts, ""), doubt, end)
 
 
-def fragment_note(fields: dict[str, Column], lists: set[str], bullets: Column, main: Column) -> Column:
+def fragment_note(fields: dict[str, Column], lists: set[str], bullets: Column, main: Column, optional: set[str] = frozenset()) -> Column:
     """M5: frontmatter, bullets and the link back to the main note."""
-    return F.concat(md.frontmatter(fields, lists), F.lit("\n"), _bullets(bullets), F.lit("\n\n"), backlink(main), F.lit("\n"))
+    return F.concat(md.frontmatter(fields, lists, optional), F.lit("\n"), _bullets(bullets), F.lit("\n\n"), backlink(main), F.lit("\n"))
 
 
 def added(existing: Column, new: Column) -> Column:

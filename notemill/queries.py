@@ -254,6 +254,28 @@ def claims_gate(spark, d):
     return c.select("kind", F.explode(issues).alias("issue")).groupBy("issue", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+_OFFLINE = f"""WITH {_CLAIM_ROWS}, i AS (SELECT kind FROM c WHERE grade = '확인됨' AND origin NOT IN ('script', 'rumour') AND {_CLAIM} AND n_evidence = 0) SELECT kind, count(*) AS n FROM i GROUP BY kind"""
+
+
+@query("claims_offline", _OFFLINE)
+def claims_offline(spark, d):
+    """V7 without the web: claims that may not be confirmed."""
+    claims = _claims(spark, d)
+    issues = gates.claim_issues(F.col("grade"), F.col("source"), F.col("kind"), F.col("load_bearing"), F.col("both_sides"), F.col("evidence"), {"institutional": [], "suffixes": [], "wiki": []}, web=False)
+    return claims.where(F.array_contains(issues, "offline_confirmed")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("claims_repeated", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
+def claims_repeated(spark, d):
+    return gates.repeated_ids(_t(spark, d, "events"), "user_id")
+
+
+@query("search_budget", "SELECT conv_id, mode, searches_used, budget FROM (SELECT conv_id, ['research', 'enrich', 'diagnose', 'other'][conv_id % 4 + 1] AS mode, count(*) AS searches_used, [12, 5, 3, NULL][conv_id % 4 + 1] AS budget FROM conversations GROUP BY conv_id) WHERE searches_used > budget")
+def search_budget(spark, d):
+    mode = F.element_at(F.array(*map(F.lit, [*config.SEARCHES, "other"])), (F.col("conv_id") % 4 + 1).cast("int"))
+    return gates.over_budget(_t(spark, d, "conversations").groupBy("conv_id", mode.alias("mode")).agg(F.count(F.lit(1)).alias("searches_used")), config.SEARCHES)
+
+
 @query("claims_plan", f"WITH {_CLAIM_ROWS} SELECT event_id, kind, bearing AS load_bearing FROM c WHERE {_CLAIM} AND n_evidence = 0 ORDER BY bearing DESC, event_id::VARCHAR LIMIT 12")
 def claims_plan(spark, d):
     return gates.search_plan(_claims(spark, d), config.SEARCHES["research"], "event_id")[0].select("event_id", "kind", "load_bearing")
@@ -306,6 +328,23 @@ def domain_class(spark, d):
     return _t(spark, d, "pages").groupBy(domain.alias("domain")).agg(F.count(F.lit(1)).alias("n")).withColumn("known", text.in_domains(F.col("domain"), DONE))
 
 
+@query("domain_kinds", f"SELECT DISTINCT {_HOST} AS domain, concat_ws(',', CASE WHEN {_HOST} LIKE '%_.org' OR {_HOST} = 'example.net' OR {_HOST} LIKE '%.example.net' THEN 'institutional' END, CASE WHEN {_HOST} = 'example.com' OR {_HOST} LIKE '%.example.com' THEN 'wiki' END) AS kinds FROM pages WHERE url IS NOT NULL")
+def domain_kinds(spark, d):
+    """Hosts of all pages against a table of domains."""
+    table = spark.createDataFrame([("institutional", "org", True), ("institutional", "example.net", False), ("wiki", "example.com", False)], "kind string, pattern string, below boolean")
+    found = gates.domain_kinds(_t(spark, d, "pages").where("url IS NOT NULL").select(text.domain_of(F.col("url")).alias("domain")), "domain", table)
+    return found.select("domain", F.array_join("kinds", ",").alias("kinds"))
+
+
+_FOLDERS = ["2. 대 예배", "새벽", "misc"]
+
+
+@query("folder_kinds", "SELECT DISTINCT * FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN '대 예배' WHEN 1 THEN '새벽' END AS name, CASE o_orderkey % 3 WHEN 0 THEN '주일대예배' WHEN 1 THEN '새벽기도회' END AS kind FROM orders) WHERE kind IS NOT NULL")
+def folder_kinds(spark, d):
+    folder = F.element_at(F.array(*map(F.lit, _FOLDERS)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return discovery.folder_kinds(_t(spark, d, "orders").select(F.concat_ws("/", F.lit("/v"), folder, "o_orderstatus", F.concat(F.col("o_orderkey").cast("string"), F.lit(".md"))).alias("path")))
+
+
 @query("plan_summary", "SELECT lang AS kind, CASE WHEN l.doc_id IS NULL THEN 'create' WHEN quality = 1 THEN 'skip' WHEN toxic = 0 THEN 'merge' ELSE 'conflict' END AS action, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ALL")
 def plan_summary(spark, d):
     met = _t(spark, d, "documents").select("doc_id", F.col("lang").alias("kind")).join(_t(spark, d, "labels"), "doc_id", "left")

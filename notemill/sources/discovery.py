@@ -180,6 +180,15 @@ def naming(files: DataFrame) -> DataFrame:
     return seen.select(F.explode(F.array(one("date", shape), one("marker", marker), one("kind", names.kind_of(F.col("stem"))))).alias("x")).select("x.*").where("value != ''").groupBy("what", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def folder_kinds(files: DataFrame) -> DataFrame:
+    """A3: (name, kind) of the folders that name a kind: of each file the nearest of three parents that does, without its number."""
+    parents = F.slice(F.reverse(F.split("path", "/")), 2, 3)
+    named = F.transform(parents, lambda p: F.regexp_replace(p, r"^[0-9]+[.\-]?\s*", ""))
+    first = F.get(F.filter(F.transform(named, lambda n: F.struct(n.alias("name"), names.kind_of(n).alias("kind"))), lambda x: x["kind"] != ""), F.lit(0))
+    # folders are distinct before their names are judged
+    return files.select(folder_of(F.col("path")).alias("folder")).distinct().select(F.concat("folder", F.lit("/x")).alias("path")).select(first.alias("f")).where("f IS NOT NULL").select("f.*").distinct()
+
+
 def dated_share(histogram: DataFrame) -> DataFrame:
     """The commonest date shape (the first listed of equals) and its share of all names, to two digits."""
     dates = histogram.where("what = 'date'")

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from notemill.functions import markdown, names, refs
-from notemill.operators import audit, relational, rules
+from notemill.operators import audit, gates, relational, rules
 from notemill.plans import config, importing, lab, notes
-from notemill.sources import decode, discovery
+from notemill.sources import decode, discovery, tables
 from notemill.streaming import incremental
 
 NOTE = '---\ncreated: 2026-01-01T10:00\nworld:\n  - "[[🌎 x]]"\n  - b\ntags: []\nroute: "[[done]]"\n  - ignored\ntitle:\n---\n- one\n* two\n\n원본: [[m]]\n'
@@ -271,3 +271,55 @@ def test_naming_suggestions(spark):
     assert (bare.main_note_pattern, bare.target_markers, bare.kinds, bare.marker_to_kind, bare.folder_to_target, bare.date_from_filename) == ("{title}_{main_passage}.md", [], [], {}, {}, False)
     assert [tuple(r) for r in discovery.naming_samples(files, ["새"]).collect()] == [("260719_새_은혜.docx", True, "새", "은혜"), ("260720_새_.md", True, "새", "260720_새_"), ("260721 긴말 하나.md", True, "-", "긴말 하나"), ("제목 새벽.md", False, "-", "제목 새벽")]
     assert discovery.naming_samples(files, []).first().marker == "-"
+
+
+def test_classified_plan(spark):
+    """Axes by their lists in the main note, world, doctrine and tags in the fragments, rejected values told."""
+    settings = config.merged({
+        "output": {"main_sermon_folder": "n", "fragment_folder": "f"}, "naming": {"main_note_pattern": "{title}.md"},
+        "classification": {"use_word": True, "world_values": ["🏷 a", "b"], "outcome_values": ["o"], "route_values": ["r1", "r2"], "doctrine_values": ["d"], "allow_unknown_doctrine": True, "route_scalar": True, "wrap_values_in_wikilink": True, "fragment_world": "조각"},
+        "sermon_kinds": {"values": ["k"], "marker_to_kind": {}, "world_by_kind": {"k": "b"}},
+    })
+    docs = spark.createDataFrame([("/k/one.md", "요 3:16 text"), ("/x/two.md", "plain")], "path string, text string")
+    meta = importing.metadata(docs, settings, ["요"])
+    chunks = spark.createDataFrame([("1", '{"one.md":[{"title":"t","bullets":["x"],"doctrine":["d","new"],"tags":["a b","#"]}]}')], "name string, content string")
+    words = spark.createDataFrame([("one.md", (["zz"], ["o", "no"], ["r2", "r1"], ["own"], ["tag 1"]))], f"source string, word {importing.WORD}")
+    plan = importing.plan(meta, spark.createDataFrame([], "path string, content string"), settings, importing.prepared(chunks)[0], words, now="2026-01-02T03:04")
+    got = {r.path: r.content for r in plan.collect()}
+    one = got["n/one.md"].split("\n---\n")[0]
+    assert md_fields(one) == {
+        "created": "2026-01-02T03:04", "modified": "2026-01-02T03:04", "world": ["[[b]]"], "outcome": ["[[o]]"], "route": "[[r2]]", "doctrine": ["[[own]]"], "tags": ["tag1"],
+        "설교구분": "k", "성경구절": ["[[요3_16]]"], "sermon_id": "undated_one_요3_16", "title": "one", "date": "", "main_passage": "요3_16"}
+    two = md_fields(got["n/two.md"].split("\n---\n")[0])
+    assert two["world"] == [] and two["route"] == "" and "tags" not in two and "설교구분" not in two
+    assert md_fields(got["f/t.md"].split("\n---\n")[0]) == {"created": "2026-01-02T03:04", "modified": "2026-01-02T03:04", "world": ["[[조각]]"], "doctrine": ["[[d]]", "[[new]]"], "tags": ["ab"]}
+    assert {r.sermon_id for r in plan.collect()} == {"undated_one_요3_16", "undated_two_no본문"}
+    read = meta.where("path LIKE '%one.md'").crossJoin(words.select("word")).select(importing.classified(F.col("word"), F.col("kind"), settings)["rejected"].alias("r")).first().r
+    assert [tuple(r) for r in read] == [("world", "zz"), ("outcome", "no")]
+
+
+def md_fields(block):
+    out, key = {}, None
+    for line in block.split("\n")[1:]:
+        if line.startswith("  - "):
+            out[key].append(line[4:].strip('"'))
+        elif line.strip() == "[]":
+            continue
+        else:
+            key, _, value = line.partition(":")
+            out[key] = value.strip().strip('"') if value.strip() else []
+    return out
+
+
+def test_tables_from_files(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{"comment": "x", "chapters": {"요": 21, "유": 1}}')
+    (tmp_path / "p.json").write_text('{"patterns": [{"pattern": "a+", "reason": "r"}]}')
+    (tmp_path / "d.json").write_text('{"suffixes": [".ac.uk", ".edu"], "domains": ["jstor.org"], "wiki_domains": ["wikipedia.org"]}')
+    assert rows(tables.book_bounds(spark, f"{tmp_path}/b.json")) == [("요", 21), ("유", 1)]
+    assert rows(tables.phrase_rules(spark, f"{tmp_path}/p.json")) == [(0, "a+", "r")]
+    table = tables.domain_table(spark, f"{tmp_path}/d.json")
+    hosts = spark.createDataFrame([(h,) for h in ["edu", "mit.edu", "a.b.ac.uk", "ac.uk", "xac.uk", "jstor.org", "www2.jstor.org", "myjstor.org", "ko.wikipedia.org", "", None, "mit.edu"]], "h string")
+    kinds = {r.h: r.kinds for r in gates.domain_kinds(hosts, "h", table).collect()}
+    assert {h for h, k in kinds.items() if k == ["institutional"]} == {"mit.edu", "a.b.ac.uk", "jstor.org", "www2.jstor.org"} and kinds["ko.wikipedia.org"] == ["wiki"] and len(kinds) == 10
+    claims = spark.createDataFrame([(1, [("jstor.org", None, True), ("", "https://www.jstor.org/x", True), ("ko.wikipedia.org", None, True)]), (2, [("x.com", None, True), ("mit.edu", None, False)]), (3, None)], f"id int, evidence {gates.EVIDENCE}")
+    assert rows(gates.confirmed_by(claims, "id", table)) == [(1, 1, True), (2, 1, False)]
