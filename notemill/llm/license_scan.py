@@ -189,17 +189,29 @@ def op2_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """The same definition for DuckDB: RE2 looks neither ahead nor behind, so marks get a character 2 on both sides to be taken as bounds."""
+    bound = r"\x02"
+    line, colon = f"{bound}N{bound}", f"{bound}C{bound}"
+    gap, stop = f"(?: (?:{line})? ?|{line} ?)", f"(?:(?: |{colon}){{1,3}}(?:{line} ?)?|{line} ?)"
+    sentences = []
+    for name, sentence in [*VARIANTS, *SENTENCES.items()]:
+        words = sentence.split(" ")
+        sentences.append("".join(w + (stop if w in STOPS.get(name, ()) else gap) for w in words[:-1]) + words[-1])
     # rules of one identifier in SQL take each sentence alone; longer runs are replaced first, in the same order
     steps = []
     for k, (name, ids) in enumerate(RULES):
         run = "," + ",,".join(ids) + ","
         steps.append(f"s{k + 1} AS (SELECT doc_id, ids, CASE WHEN contains(rest, '{run}') THEN list_append(got, '{name}') ELSE got END AS got, replace(rest, '{run}', '|') AS rest FROM s{k})")
     known = ", ".join(f"('{v}', '{k}')" for k, v in [*VARIANTS, *SENTENCES.items()])
+    marked = "lower(coalesce(text, ''))"
+    for there, mark in ((APACHE_URL, "E"), (r"[.!?]([\x20\x09-\x0D])", r"E\1"), (r"[;:]([\x20\x09-\x0D])", r"C\1"), (r"\n", "N"), ("[^a-z0-9ENC]+", " ")):
+        marked = f"regexp_replace({marked}, '{there}', '{mark}', 'g')"
+    marked = f"chr(2) || regexp_replace({marked}, '([ENC])', chr(2) || '\\1' || chr(2), 'g') || chr(2)"
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
-cut AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\\x20\\x09-\\x0D]+', '\\1' || chr(10), 'g'), chr(10))) AS x,
-               generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\\x20\\x09-\\x0D]+', '\\1' || chr(10), 'g'), chr(10)), 1) AS i FROM documents),
-hits AS (SELECT doc_id, i, id FROM cut JOIN known ON sentence = trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))),
+found AS (SELECT doc_id, regexp_extract_all({marked}, '{bound} ?({"|".join(sentences)}) ?{bound}', 1) AS xs FROM documents),
+cut AS (SELECT doc_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM found),
+hits AS (SELECT doc_id, i, id FROM cut JOIN known ON sentence = regexp_replace(x, '[\\x02 NC]+', ' ', 'g')),
 s0 AS (SELECT doc_id, coalesce(list(id ORDER BY i) FILTER (id IS NOT NULL), []) AS ids, []::VARCHAR[] AS got,
               ',' || coalesce(string_agg(id, ',,' ORDER BY i), '') || ',' AS rest FROM documents LEFT JOIN hits USING (doc_id) GROUP BY doc_id),
 {", ".join(steps)}

@@ -159,6 +159,21 @@ def test_more_license_texts(spark):
         assert (r.license.licenses, r.license.unmatched) == (r.want, []), r.text
 
 
+def test_license_sql_sees_what_the_code_sees(spark):
+    """The registered SQL over notices wrapped and written in many ways, mixed into prose, against the operator."""
+    import duckdb
+    import pandas as pd
+
+    ways = [lambda t: t, lambda t: "# " + t.replace("\n", "\n# "), lambda t: t.replace("\n", "\r\n"), lambda t: " ".join(t.split()), lambda t: f"Some words. {t}\n\nMore words; all rights reserved.", lambda t: t.replace("\n", "\n\n"), lambda t: t[: len(t) // 2]]
+    texts = [way(t) for t in [MIT, BSD, GPL, APACHE, *[n for _, n in MORE_NOTICES]] for way in ways] + [None, "", "All rights\nreserved"]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = {r[0]: r[2] for r in con.sql(license_scan.OP2_SQL).fetchall()}
+    got = {r.doc_id: ",".join(r.license.sentence_ids) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert got == want and sum(bool(v) for v in got.values()) > 60
+
+
 def test_license_tables_are_reachable(spark):
     """Every sentence is recognised alone, and every rule is the first that fits its own identifiers."""
     every = [*license_scan.SENTENCES.items(), *license_scan.VARIANTS]
@@ -416,7 +431,7 @@ def test_pii_columns_equal_training_features(spark):
     """features_of and margin_column (Java expressions) against example_features and margin (Python)."""
     from pyspark.sql import functions as F
 
-    rows = [("number", "(201) 555-0123", "call me at "), ("number", "078-05-1120", "SSN: "), ("number", "2024-01-02", "page "), ("account", "DE89 3704 0044 0532 0130 00", "IBAN "), ("account", "GB12ABCDEFGHIJKL", "part no "), ("at_mail", "jö.doe [at] site (dot) org", "write to "), ("at_mail", "meet at x.y", ""), ("number", "1 2 34 567 89", "é ISBN ")]
+    rows = [("number", "(201) 555-0123", "call me at "), ("number", "078-05-1120", "SSN: "), ("number", "2024-01-02", "page "), ("account", "DE89 3704 0044 0532 0130 00", "IBAN "), ("account", "GB12ABCDEFGHIJKL", "part no "), ("account", "GB82 WEST 1234 5698 7654 32", "to "), ("number", "219 09 9999", "x "), ("number", "978-3-16-148410-0", "isbn "), ("at_mail", "jö.doe [at] site (dot) org", "write to "), ("at_mail", "meet at x.y", ""), ("number", "1 2 34 567 89", "é ISBN ")]
     forest, thresholds = pii.model()
     df = spark.createDataFrame(rows, "kind string, match string, context string")
     rank = F.when(F.col("kind") == "at_mail", pii.KINDS.index("at_mail")).when(F.col("kind") == "number", pii.KINDS.index("number")).otherwise(pii.KINDS.index("account"))
@@ -428,23 +443,31 @@ def test_pii_columns_equal_training_features(spark):
     assert thresholds["number"] > 0 and thresholds["account"] > 0
 
 
-def test_pii_on_unseen_words():
+@pytest.mark.parametrize(("side", "seed"), [(1, 77), (2, 77), (2, 78)])
+def test_pii_on_unseen_words_and_shapes(side, seed):
+    """Side 1 has words, side 2 words and shapes that the trees were not fitted on; side 2's shapes were not calibrated on either."""
     forest, thresholds = pii.model()
-    x, y = pii.examples(1, seed=77)
+    x, y = pii.examples(side, seed=seed)
     for kind in pii.MORE:
         own = x[:, 0] == pii.KINDS.index(kind)
         picked = forest.margin(x[own]) >= thresholds[kind]
-        assert y[own][picked].mean() >= 0.98 and picked[y[own] == 1].mean() > 0.3
+        assert y[own][picked].mean() >= 0.98 and picked[y[own] == 1].mean() >= 0.9
+
+
+def test_account_checks():
+    right = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NL91 ABNA 0417 1643 00"]
+    assert all(map(pii.account_checks, right)) and not pii.account_checks("GB83 WEST 1234 5698 7654 32")
 
 
 def test_pii(spark):
-    t = ["a@b.c+d@e.f x..y@z.w é q@é.de", "1.2.3.4.5.6.7.8 256.1.1.1 0000255.1.1.1", "4111 1111 1111 1111", "+1 (269) 555-3296 x +12 3", "mail joe.doe [at] site [dot] com", None, "", "x" * 100000 + "@", "1 " * 50000, "order no 1234567890"]
+    t = ["a@b.c+d@e.f x..y@z.w é q@é.de", "1.2.3.4.5.6.7.8 256.1.1.1 0000255.1.1.1", "4111 1111 1111 1111", "+1 (269) 555-3296 x +12 3", "mail joe.doe [at] site [dot] com", None, "", "x" * 100000 + "@", "1 " * 50000, "order no 1234567890", "reach 219 09 9999 or (212)555-0123, DE89 3704 0044 0532 0130 00; not 2024-01-02"]
     df = spark.createDataFrame(list(enumerate(t)), "doc_id int, text string")
     for r in pii.detect(df).collect():
         assert [(k, s.start, s.end) for k in pii.BASE for s in r.pii[k]] == brute_pii(t[r.doc_id])
         more = [s.match for k in pii.MORE for s in r.pii[k]]
         assert r.doc_id != 4 or more == ["joe.doe [at] site [dot] com"]
         assert r.doc_id != 9 or not more
+        assert r.doc_id != 10 or more == ["219 09 9999", "(212)555-0123", "DE89 3704 0044 0532 0130 00"]
     assert pii.redact("to a@b.c now", [("email", 3, 8)]) == "to <email> now"
 
 
