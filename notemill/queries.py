@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from notemill.functions import markdown, names, refs, text
 from notemill.operators import audit, gates, matching, relational, rules
 from notemill.plans import config, importing, lab, notes, render
-from notemill.sources import discovery
+from notemill.sources import decode, discovery, listing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -557,3 +557,225 @@ def grade_by_evidence(spark, d):
     declared = F.when(F.col("event_id") % 8 == 0, "확인됨").otherwise("불확실")
     agreeing = F.col("event_id") % 4
     return _t(spark, d, "events").select("event_id", rules.grade_by_evidence(declared, agreeing, F.col("value") > 40, F.col("value") > 90, F.col("event_id") % 10 == 0, (F.col("user_id") % 2 == 0) | (agreeing > 0), F.col("event_type") == "click").alias("grade"))
+
+
+def _files(spark, d):
+    """Files made of orders: three folders deep, with names of every sort."""
+    k = F.col("o_orderkey")
+    name = F.concat(F.element_at(F.array(*map(F.lit, ["~$", "._", ".", "a", "b", "c"])), (k % 6 + 1).cast("int")), k.cast("string"))
+    suffix = F.element_at(F.array(*map(F.lit, [".md", ".pdf", ".gdoc", ".xyz"])), (k % 4 + 1).cast("int"))
+    path = F.concat_ws("/", F.lit("/v"), "o_orderpriority", F.element_at(F.array(*map(F.lit, ["docs", ".git", "~tmp", "venv", "notes"])), (k % 5 + 1).cast("int")), F.concat(name, suffix))
+    return _t(spark, d, "orders").select("o_orderkey", path.alias("path"), F.concat(name, suffix).alias("name"), suffix.alias("suffix"), F.when(k % 11 > 0, k % 10).alias("size"), F.col("o_orderdate").cast("timestamp").alias("mtime"))
+
+
+_NAMED = "['~$', '._', '.', 'a', 'b', 'c'][o_orderkey % 6 + 1] || o_orderkey || ['.md', '.pdf', '.gdoc', '.xyz'][o_orderkey % 4 + 1]"
+_FILES = f"""files AS (SELECT *, '/v/' || o_orderpriority || '/' || leaf || '/' || name AS path FROM (SELECT o_orderkey, o_orderpriority, o_orderdate AS mtime, {_NAMED} AS name, ['.md', '.pdf', '.gdoc', '.xyz'][o_orderkey % 4 + 1] AS suffix,
+  ['docs', '.git', '~tmp', 'venv', 'notes'][o_orderkey % 5 + 1] AS leaf, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 10 END AS size FROM orders))"""
+_REASON = """CASE WHEN name LIKE '~$%' THEN 'lock_file' WHEN name LIKE '.\\_%' ESCAPE '\\' THEN 'mac_metadata' WHEN name LIKE '.%' THEN 'hidden' WHEN suffix = '.gdoc' THEN 'google_stub'
+  WHEN size = 0 THEN 'empty_or_cloud_placeholder' WHEN size IS NULL THEN 'unreadable' END"""
+
+
+@query("skip_reasons", f"WITH {_FILES} SELECT o_orderkey, coalesce({_REASON}, CASE WHEN suffix NOT IN ('.md', '.pdf') THEN 'unsupported' END) AS reason FROM files")
+def skip_reasons(spark, d):
+    """S2, S4, S5."""
+    return listing.scan(_files(spark, d), [".md", ".pdf"]).select("o_orderkey", "reason")
+
+
+@query("first_files", f"WITH {_FILES} SELECT path FROM files WHERE suffix = '.md' AND {_REASON} IS NULL ORDER BY path LIMIT 50")
+def first_files(spark, d):
+    """S1, S6."""
+    return discovery.sample(_files(spark, d), [".md"], 50).select("path")
+
+
+@query("undeclared_types", f"WITH {_FILES} SELECT suffix, count(*) AS n FROM files WHERE suffix != '.md' GROUP BY suffix")
+def undeclared_types(spark, d):
+    """S3, A2."""
+    return discovery.undeclared(_files(spark, d), discovery.suffixes(["MD"]))
+
+
+@query("visible_files", f"WITH {_FILES} SELECT o_orderkey FROM files WHERE leaf IN ('docs', 'notes')")
+def visible_files(spark, d):
+    """S8."""
+    return _files(spark, d).where(discovery.visible(F.col("path"), ["venv"])).select("o_orderkey")
+
+
+@query(
+    "folder_candidates",
+    f"""WITH {_FILES}, f AS (SELECT folder, count(*) FILTER (suffix = '.md') AS notes FROM (SELECT suffix, unnest([o_orderpriority || '/' || leaf]) AS folder FROM files WHERE leaf NOT IN ('.git', '~tmp')) GROUP BY folder),
+s AS (SELECT *, split_part(folder, '/', 2) AS leaf, 3 * (contains(lower(folder), 'urgent')::INTEGER + contains(lower(folder), 'notes')::INTEGER) AS s1 FROM f)
+SELECT folder, notes, (s1 + 2 * contains(leaf, 'notes')::INTEGER - 4 * contains(leaf, 'venv')::INTEGER)::INTEGER AS score FROM s WHERE s1 + 2 * contains(leaf, 'notes')::INTEGER > 0 ORDER BY score DESC, notes DESC, folder LIMIT 6""",
+)
+def folder_candidates(spark, d):
+    """S15, S16, S17."""
+    return discovery.candidates(discovery.note_folders(_files(spark, d), "/v", []), ["urgent", "notes"], 6, ["venv"])
+
+
+@query("capped_notes", f"WITH {_FILES} SELECT path FROM (SELECT path, row_number() OVER (PARTITION BY o_orderpriority, leaf ORDER BY path) AS n FROM files) WHERE n <= 20")
+def capped_notes(spark, d):
+    """S20."""
+    return discovery.capped(_files(spark, d), 20).select("path")
+
+
+@query("note_titles", f"WITH {_FILES} SELECT regexp_replace(name, '[.][^.]*$', '') AS title, path, (SELECT count(*) FROM files) > 200 AS truncated FROM files ORDER BY name, path LIMIT 200")
+def note_titles(spark, d):
+    """S24, W7."""
+    return discovery.titles(_files(spark, d), 200)
+
+
+@query("by_priority", "SELECT path, min(p)::INTEGER AS priority FROM (SELECT doc_id AS path, 0 AS p FROM labels WHERE quality = 0 UNION ALL SELECT doc_id, 1 FROM labels UNION ALL SELECT doc_id, 2 FROM documents) GROUP BY path")
+def by_priority(spark, d):
+    """S23."""
+    labels = _t(spark, d, "labels").select(F.col("doc_id").alias("path"), "quality")
+    return discovery.by_priority(labels.where("quality = 0"), labels, _t(spark, d, "documents").select(F.col("doc_id").alias("path"), F.lit(None).cast("int").alias("quality"))).select("path", "priority")
+
+
+@query("chunk_titles", "SELECT DISTINCT role || ' ' || turn % 5 AS title FROM conversations")
+def chunk_titles(spark, d):
+    """S25."""
+    title = F.concat(F.lit(" "), "role", F.lit(" "), (F.col("turn") % 5).cast("string"))
+    fragment = F.struct(title.alias("title"), F.array(F.col("text")).alias("bullets"))
+    return discovery.chunk_titles(_t(spark, d, "conversations").select(F.to_json(F.create_map(F.col("conv_id").cast("string"), F.array(fragment))).alias("content")))
+
+
+@query("draft_list", "SELECT '000000000000_' || lpad(min(p_partkey)::VARCHAR, 12, '0') || '_000000000000' AS draft_id, p_name AS title FROM part GROUP BY p_name")
+def draft_list(spark, d):
+    """S26."""
+    return relational.load_drafts(_t(spark, d, "part").select(F.concat(F.lit(" "), "p_name", F.lit("\n")).alias("title"), F.col("p_partkey").alias("ord")))
+
+
+@query("done_before", "SELECT DISTINCT o_custkey::VARCHAR AS path FROM orders WHERE o_orderkey % 3 != 0")
+def done_before(spark, d):
+    """S28, J3."""
+    action = F.when(F.col("o_orderkey") % 3 == 0, "skip_conflict").otherwise("create")
+    return importing.done_before(_t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("source"), F.lit("").alias("sermon_id"), action.alias("action")))[0]
+
+
+@query("axis_links", "SELECT conv_id, turn, (conv_id % 3)::INTEGER AS a, (turn % 2)::INTEGER AS b FROM conversations WHERE conv_id % 3 > 0 AND turn % 2 > 0")
+def axis_links(spark, d):
+    """A10, S21."""
+    note = F.concat(F.coalesce("text", F.lit("")), F.repeat(F.lit(" [[🏷 a x]]"), (F.col("conv_id") % 3).cast("int")), F.repeat(F.lit("\n- [[b: y|z]]"), (F.col("turn") % 2).cast("int")))
+    notes_ = _t(spark, d, "conversations").select("conv_id", "turn", note.alias("content"), F.lit(1).alias("size"))
+    return discovery.taxonomy_notes(notes_, {"a": "🏷️ a", "b": "b:"}).select("conv_id", "turn", "axes.a", "axes.b")
+
+
+@query("folder_targets", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'x' WHEN o_orderpriority = '5-LOW' THEN 'y' ELSE '' END AS target FROM orders")
+def folder_targets(spark, d):
+    """T10, T34."""
+    folders = F.array(F.concat(F.lit("3. "), "o_orderstatus"), "o_orderpriority", F.lit("F"))
+    return _t(spark, d, "orders").select("o_orderkey", names.folder_target(folders, {"F": "x", "5-LOW": "y"}).alias("target"))
+
+
+@query("declared_kinds", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '대예배' WHEN o_orderstatus = 'F' THEN '새벽' WHEN o_orderpriority = '5-LOW' THEN '대예배' ELSE '' END AS kind FROM orders")
+def declared_kinds(spark, d):
+    """By marker, by folder, within the stem."""
+    target = F.when(F.col("o_orderkey") % 5 == 0, "대").otherwise("")
+    folders = F.array(F.lit("x"), F.when(F.col("o_orderstatus") == "F", "12. 새벽").otherwise("y"))
+    stem = F.concat(F.lit("a "), F.when(F.col("o_orderpriority") == "5-LOW", "대예배").otherwise("b"))
+    return _t(spark, d, "orders").select("o_orderkey", names.declared_kind(target, folders, stem, ["새벽", "대예배"], {"대": "대예배"}).alias("kind"))
+
+
+@query("first_lines", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'untitled' ELSE p_name END AS title FROM part")
+def first_lines(spark, d):
+    """T12."""
+    text_ = F.when(F.col("p_partkey") % 4 == 0, "\nnot this").otherwise(F.concat(F.lit("##  "), "p_name", F.lit(" .\r\nmore")))
+    return _t(spark, d, "part").select("p_partkey", names.first_line(text_).alias("title"))
+
+
+@query("link_values", "SELECT p_partkey, 'a ' || p_name || ';a z' AS of_axis, '[[' || p_name || ']]' AS wrapped, p_name || ';t' AS items FROM part")
+def link_values(spark, d):
+    """T28, T33, X6."""
+    note = F.concat(F.lit("[[a "), "p_name", F.lit("]] [[b q]] [[a z|shown]] [[a "), "p_name", F.lit("]]"))
+    listed = F.concat(F.lit("- "), "p_name", F.lit(" \n  * [[t|u]]\n1. no"))
+    return _t(spark, d, "part").select("p_partkey", F.array_join(F.concat(md_prefixed(note), F.array(F.lit("a z"))), ";").alias("of_axis"), F.element_at(markdown.decorate(F.array("p_name", F.lit(" ")), True), 1).alias("wrapped"), F.array_join(markdown.list_items(listed), ";").alias("items"))
+
+
+def md_prefixed(note):
+    return markdown.prefixed_values(note, "a ")
+
+
+@query(
+    "injection_lookup",
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 6 != 0 THEN 'by path' WHEN doc_id % 2 = 0 THEN 'by name' END AS found FROM documents",
+)
+def injection_lookup(spark, d):
+    """By path, an empty list counting as none, then by name."""
+    docs = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("/x/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    by_path = docs.where("doc_id % 3 = 0").select(F.col("path").alias("source"), F.when(F.col("doc_id") % 6 != 0, F.array(F.lit("by path"))).otherwise(F.array().cast("array<string>")).alias("value"))
+    by_name = docs.where("doc_id % 2 = 0").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), F.array(F.lit("by name")).alias("value"))
+    return importing.looked_up(docs, by_path.unionByName(by_name), "value").select("doc_id", F.get("value", F.lit(0)).alias("found"))
+
+
+@query("axis_values", "SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'de' END AS kept, concat_ws(';', CASE WHEN lang NOT IN ('en', 'de') THEN lang END, source) AS rejected FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def axis_values(spark, d):
+    """P7, J1 on arrays, with a value for those that have none."""
+    kept, rejected = importing.axis_values(F.array(F.concat(F.lit("[["), "lang", F.lit("]]")), "source", F.lit(" ")), ["en", "de"], F.lit("de"))
+    return _t(spark, d, "documents").where("lang IS NOT NULL AND source IS NOT NULL").select("doc_id", F.array_join(kept, ";").alias("kept"), F.array_join(rejected, ";").alias("rejected"))
+
+
+@query("kind_folders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' ELSE 'all' END AS folder FROM orders")
+def kind_folders(spark, d):
+    """P9, T16."""
+    return _t(spark, d, "orders").select("o_orderkey", importing.folder_for(F.col("o_orderstatus"), {"F": "done", "P": ""}, "all").alias("folder"))
+
+
+@query("plan_by_kind", "SELECT coalesce(nullif(CASE WHEN doc_id % 4 > 0 THEN lang ELSE ' ' END, ' '), '(구분 없음)') AS kind, count(*) AS n FROM documents GROUP BY 1")
+def plan_by_kind(spark, d):
+    """A7."""
+    return rules.by_kind(_t(spark, d, "documents").select(F.when(F.col("doc_id") % 4 > 0, F.col("lang")).otherwise(" ").alias("kind")), "kind")
+
+
+@query("list_issues", "SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 5 NOT BETWEEN 1 AND 3 THEN 'doctrine_count' END, CASE WHEN o_orderkey % 10 NOT BETWEEN 3 AND 8 THEN 'tag_count' END, CASE WHEN o_orderkey % 10 > 6 THEN 'general_tag' END) AS issues FROM orders")
+def list_issues(spark, d):
+    """R3."""
+    upto = lambda n: F.transform(F.slice(F.sequence(F.lit(1), F.lit(10)), 1, (F.col("o_orderkey") % n).cast("int")), lambda k: F.concat(F.lit("t"), k.cast("string")))
+    return _t(spark, d, "orders").select("o_orderkey", F.array_join(rules.list_issues(upto(5), upto(10), ["t7"]), ",").alias("issues"))
+
+
+@query("section_quotas", "SELECT o_custkey AS doc, t.title, count(*) FILTER (o_orderstatus = t.title) AS n FROM orders, (VALUES ('F', 2, 6), ('P', 0, 1)) t(title, least, most) GROUP BY o_custkey, t.title, least, most HAVING count(*) FILTER (o_orderstatus = t.title) NOT BETWEEN least AND most")
+def section_quotas(spark, d):
+    """R7."""
+    quotas = spark.createDataFrame([("F", 2, 6), ("P", 0, 1)], "title string, least int, most int")
+    return rules.section_issues(_t(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderstatus").alias("title")), quotas).select("doc", "title", "n")
+
+
+@query("field_lengths", "SELECT p_partkey, concat_ws(',', CASE WHEN length(p_name) NOT BETWEEN 9 AND 10 THEN 'p_name' END, CASE WHEN length(p_type) NOT BETWEEN 6 AND 7 THEN 'p_type' END) AS issues FROM part")
+def field_lengths(spark, d):
+    """Q2, R8."""
+    return _t(spark, d, "part").select("p_partkey", F.array_join(audit.length_issues({"p_name": (9, 10), "p_type": (6, 7)}), ",").alias("issues"))
+
+
+@query("bullet_issues", "SELECT p_partkey, concat_ws(',', CASE WHEN n NOT BETWEEN 3 AND 6 THEN 'count' END, CASE WHEN n > 0 AND length(p_name) + 4 < 15 THEN 'length' END, CASE WHEN n NOT BETWEEN 1 AND 3 THEN 'bold' END) AS issues FROM (SELECT *, p_partkey % 8 AS n FROM part)")
+def bullet_issues(spark, d):
+    """R2."""
+    bullets = F.slice(F.array_repeat(F.concat(F.lit("**"), "p_name", F.lit("**")), 8), 1, (F.col("p_partkey") % 8).cast("int"))
+    return _t(spark, d, "part").select("p_partkey", F.array_join(audit.bullet_issues(bullets), ",").alias("issues"))
+
+
+@query("score_issues", "SELECT event_id, concat_ws(',', CASE WHEN value NOT BETWEEN 1 AND 5 THEN 'a' END, 'b', CASE WHEN event_type != 'a' THEN event_type END) AS issues FROM (SELECT event_id, event_type, floor(value) AS value FROM events)")
+def score_issues(spark, d):
+    """A13."""
+    scores = F.create_map(F.lit("a"), F.floor("value").cast("int"), F.col("event_type"), F.lit(3))
+    return _t(spark, d, "events").select("event_id", F.array_join(audit.score_issues(scores, ["a", "b"]), ",").alias("issues"))
+
+
+@query("pdf_pages", "SELECT p_partkey, (p_partkey % 4 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END)::INTEGER AS pages FROM part")
+def pdf_pages(spark, d):
+    """F3."""
+    text_ = F.concat(F.repeat(F.concat("p_name", F.lit("\f")), (F.col("p_partkey") % 4).cast("int")), F.when(F.col("p_partkey") % 3 == 0, "tail").otherwise(" \n"))
+    return _t(spark, d, "part").select("p_partkey", decode.pdf_pages(text_).alias("pages"))
+
+
+@query("json_sources", "SELECT p_partkey, p_name AS text, CASE WHEN p_partkey % 3 = 1 THEN '' ELSE p_name END AS quotes FROM part")
+def json_sources(spark, d):
+    """an object with text and quotations, plain text, an array."""
+    k = F.col("p_partkey") % 3
+    both = F.to_json(F.struct(F.col("p_name").alias("text"), F.array("p_name", F.lit(" ")).alias("quotes")))
+    quotes = F.when(k == 2, F.to_json(F.array("p_name", F.lit("")))).otherwise(F.when(k == 0, both).otherwise(F.col("p_name")))
+    return _t(spark, d, "part").select("p_partkey", decode.text_or_json(F.when(k == 0, both).otherwise(F.col("p_name"))).alias("text"), F.array_join(decode.quotes_of(quotes), ";").alias("quotes"))
+
+
+@query("main_passage", f"WITH x AS (SELECT {_LINE} FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, '요' || l_linenumber || '_' || q AS main_passage FROM x")
+def main_passage(spark, d):
+    """W1."""
+    keep = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return refs.main_passages(refs.expand(_ref_lines(spark, d), "t", BOOKS, keep), keep)

@@ -171,7 +171,7 @@ def extract_few(files: DataFrame) -> DataFrame:
 
 def pdf_pages(text: Column) -> Column:
     """pages of a PDF's text: its form feeds, and one more if text follows the last."""
-    return F.size(F.split(text, "\f")) - 1 + F.when(F.trim(F.element_at(F.split(text, "\f"), -1)) != "", 1).otherwise(0)
+    return F.size(F.split(text, "\f")) - 1 + F.when(F.element_at(F.split(text, "\f"), -1).rlike(r"(?U)\S"), 1).otherwise(0)
 
 
 def text_or_json(raw: Column) -> Column:
