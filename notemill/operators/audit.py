@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notemill.functions import markdown as md
@@ -140,6 +140,23 @@ def score_issues(scores: Column, names: list[str]) -> Column:
     return F.concat(lacking, F.array_except(F.map_keys(scores), known))
 
 
+def weaknesses(scores: DataFrame, subject: str, at: str, name: str, score: str, limit: float) -> DataFrame:
+    """Rows of scores (subject, at, name, score) that are weak: at or under the limit, else the lowest of a diagnosis, by name of equals.
+
+    `nth` numbers a subject's diagnoses by time. A diagnosis has a handful of scores.
+    """
+    one = Window.partitionBy(subject, at)
+    lowest = (F.min(score).over(one) > limit) & (F.row_number().over(one.orderBy(score, name)) == 1)
+    nth = F.dense_rank().over(Window.partitionBy(subject).orderBy(at))
+    return scores.select("*", ((F.col(score) <= limit) | lowest).alias("_weak"), nth.alias("nth")).where("_weak").drop("_weak")
+
+
+def recurring(weak: DataFrame, subject: str, name: str, back: int = 3) -> DataFrame:
+    """weaknesses() with `repeated`: whether any of the subject's last `back` diagnoses had the same one."""
+    last = F.lag("nth").over(Window.partitionBy(subject, name).orderBy("nth"))
+    return weak.withColumn("repeated", F.coalesce(F.col("nth") - last <= back, F.lit(False)))
+
+
 def routed(issues: DataFrame) -> DataFrame:
     """V6: with a severity; what is wrong in a merged note was there before, so it is a warning."""
     return issues.withColumn("severity", F.when(F.col("action") == "merge", "warning").otherwise("issue"))

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions.text import jaccard, token_set
+from notemill.operators.gates import GRADES
 
-# fixed values: words that mark the values which notes need, and the grades by rank
+# fixed values: words that mark the values which notes need
 SERMON = ["설교", "말씀", "주일", "예배", "기도회", "강해", "sermon", "목양", "사역"]
 FRAGMENT = ["조각", "영감", "메모", "묵상"]
 OUTCOME = ["설교"]
 DONE = ["완료", "완성", "마침", "종료", "done"]
-GRADES = ["확인됨", "개연", "논쟁중", "불확실", "사용금지"]
 
 
 def exempt(title: Column, marks: list[str]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from notemill.functions import markdown as md
 from notemill.functions import names, refs
 from notemill.functions.text import sanitize_title, validate_tags
+from notemill.operators.audit import DIMENSIONS
 from notemill.plans import config, notes
 
 #: Columns of a result; from_json with it reads one from JSON. Absent columns count as null.
@@ -19,7 +20,6 @@ RESULT = (
 )
 # fixed values: types and file names of the notes, the dimensions of a diagnosis, headings, field names and reasons
 MODES = {"research": ("연구노트", "연구", "topic"), "diagnose": ("진단노트", "진단", "title"), "enrich": ("보강노트", "보강", "title")}
-DIMENSIONS = ["본문충실", "중심명제", "구조명료", "적용구체", "예화적절", "회중공감"]
 SUMMARY = "## 검증 요약"
 UNCLEAR = "## 확인 필요한 성경구절"
 LINKED = ["설교노트", "관련연구"]

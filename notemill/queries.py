@@ -127,7 +127,7 @@ def token_jaccard(spark, d):
 @query("suffix_hist", "SELECT CASE WHEN regexp_matches(url, '[.]html?([?#]|$)') THEN '.html' ELSE '' END AS suffix, count(*) AS n FROM pages GROUP BY 1")
 def suffix_hist(spark, d):
     suffix = F.when(F.col("url").rlike("[.]html?([?#]|$)"), ".html").otherwise("")
-    return _t(spark, d, "pages").groupBy(suffix.alias("suffix")).agg(F.count(F.lit(1)).alias("n"))
+    return discovery.undeclared(_t(spark, d, "pages").select(suffix.alias("suffix")), [])
 
 
 _ALLOW = "allow AS (SELECT DISTINCT p_brand AS value FROM part WHERE p_partkey % 50 = 0)"
@@ -379,12 +379,8 @@ SELECT user_id, dim, strftime(day, '%Y-%m-%d') AS day, EXISTS (SELECT 1 FROM w b
 def weakness_rules(spark, d):
     """The weak dimensions of each user-day, and whether any of the user's last three days had the same one."""
     scores = _t(spark, d, "events").groupBy("user_id", F.col("event_type").alias("dim"), F.date_trunc("day", "ts").alias("day")).agg(F.min("value").alias("score"))
-    of_day = Window.partitionBy("user_id", "day")
-    lowest = (F.min("score").over(of_day) > 40) & (F.row_number().over(of_day.orderBy("score", "dim")) == 1)
-    nth = F.dense_rank().over(Window.partitionBy("user_id").orderBy("day"))
-    weak = scores.select("user_id", "dim", "day", ((F.col("score") <= 40) | lowest).alias("weak"), nth.alias("nth")).where("weak")
-    last = F.lag("nth").over(Window.partitionBy("user_id", "dim").orderBy("nth"))
-    return weak.select("user_id", "dim", F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce(F.col("nth") - last <= 3, F.lit(False)).alias("repeated"))
+    found = audit.recurring(audit.weaknesses(scores, "user_id", "day", "dim", "score", 40), "user_id", "dim")
+    return found.select("user_id", "dim", F.date_format("day", "yyyy-MM-dd").alias("day"), "repeated")
 
 
 _STEM = "strftime(o_orderdate, '%y%m%d') || CASE WHEN o_orderkey % 2 = 0 THEN '_대_' ELSE '_' END || o_orderpriority"
@@ -779,3 +775,15 @@ def main_passage(spark, d):
     """W1."""
     keep = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     return refs.main_passages(refs.expand(_ref_lines(spark, d), "t", BOOKS, keep), keep)
+
+
+@query(
+    "best_folders",
+    """SELECT folder, documents, (CASE WHEN contains(folder, 'src1') THEN 6 ELSE 0 END + 2 * (CASE WHEN last LIKE '%7%' THEN 1 ELSE 0 END) + least(documents, 20) // 4)::BIGINT AS score
+FROM (SELECT '/x/' || source AS folder, count(*) AS documents, max(doc_id)::VARCHAR AS last FROM documents WHERE source IS NOT NULL GROUP BY source) WHERE documents >= 5 ORDER BY score DESC, documents DESC, folder LIMIT 10""",
+)
+def best_folders(spark, d):
+    """S11, S12."""
+    found = _t(spark, d, "documents").where("source IS NOT NULL").groupBy(F.concat(F.lit("/x/"), "source").alias("folder")).agg(F.count(F.lit(1)).alias("documents"), F.array(F.max("doc_id").cast("string")).alias("samples"))
+    hit = F.transform("samples", lambda s: F.when(F.contains(s, F.lit("7")), "src1").otherwise("none"))
+    return discovery.best_folders(found.withColumn("samples", hit), ["src1"], 10)[0].select("folder", "documents", F.col("score").cast("long").alias("score"))
