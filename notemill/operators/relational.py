@@ -62,8 +62,8 @@ def unique_names(df: DataFrame, stem: str, order: str, name: str) -> DataFrame:
     Rows of equal stem and order get their numbers in any order. An empty table gives no names. Ranks come from ranges of
     (stem, order), so the rows of a frequent stem spread over many tasks.
     """
-    settled = _claims(df, stem, order).withColumnsRenamed({"stem": "_stem", "moved": "_moved", "skipped": "_skipped"})
-    ranked = with_rank(df, stem, order, "_n")
+    ranked = with_rank(df, stem, order, "_n")  # written once; df is not worked out again below
+    settled = _claims(ranked, stem, order).withColumnsRenamed({"stem": "_stem", "moved": "_moved", "skipped": "_skipped"})
     met = ranked.join(settled, F.col(stem) == F.col("_stem"), "left")
     n = F.aggregate(F.coalesce("_skipped", F.array().cast("array<bigint>")), F.col("_n") + F.coalesce("_moved", F.lit(0)), lambda at, k: F.when(k <= at, at + 1).otherwise(at))
     digits = let(n, lambda k: F.when(k == 1, F.lit("")).otherwise(F.concat(F.lit("_"), F.lpad(k.cast("string"), F.greatest(F.lit(2), F.length(k.cast("string"))), F.lit("0")))))

@@ -11,6 +11,7 @@ from notemill.functions.names import first_line
 from notemill.functions.text import compact_date, sanitize_title, sermon_id, validate_tags
 from notemill.operators import relational
 from notemill.plans import notes, render
+from notemill.shared import checkpoint
 
 FRAGMENTS = "map<string, array<struct<title: string, kind: string, bullets: array<string>, doctrine: array<string>, tags: array<string>>>>"
 
@@ -187,19 +188,21 @@ def plan(meta: DataFrame, existing: DataFrame, settings: dict, injected: DataFra
     read = known.where(F.col("text").isNotNull()).withColumn("parts", F.when(F.size(given) > 0, given).otherwise(own) if injected is not None else own)
     fields = {"yymmdd": F.col("yymmdd"), "title": F.col("title"), "target": F.col("target"), "kind": F.col("kind"), "main_passage": F.col("main_passage"), "passage": F.col("main_passage"), "date": F.col("date"), "sermon_id": F.col("sermon_id")}
     base = F.regexp_replace(names.note_name(naming["main_note_pattern"], fields), r"\.md$", "")
-    named = read.withColumn("stem", base)
-    named = relational.unique_names(named, "stem", "path", "main")
+    # documents are read and parsed once; names are given to narrow rows, numbered by the written ones
+    read = checkpoint(read.withColumn("stem", base)).withColumn("_id", F.monotonically_increasing_id())
+    named = read.join(relational.unique_names(read.select("_id", "path", "stem"), "stem", "path", "main").select("_id", "main"), "_id")
     folder = folder_for(F.col("kind"), settings["sermon_kinds"]["folder_by_kind"], out["main_sermon_folder"])
-    parts = named.select(F.col("path").alias("source"), "main", F.col("sermon_id"), *[c.alias(f"_{n}") for n, c in fields.items()], F.posexplode("parts").alias("pos", "f"))
+    parts = named.select("_id", F.col("path").alias("source"), "main", F.col("sermon_id"), *[c.alias(f"_{n}") for n, c in fields.items()], F.posexplode("parts").alias("pos", "f"))
     given_name = {n: F.col(f"_{n}") for n in fields} | {"title": F.col("f.title"), "index": F.lpad((F.col("pos") + 1).cast("string"), 2, "0")}
-    parts = parts.withColumn("stem", F.regexp_replace(names.note_name(naming["fragment_note_pattern"], given_name), r"\.md$", "")).withColumn("order", F.struct("source", "pos"))
-    parts = relational.unique_names(parts, "stem", "order", "basename")
-    sections = parts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("pos", "basename", F.col("f.bullets").alias("bullets")))).alias("shown"))  # at most 20 of its own a document
+    parts = parts.withColumn("stem", F.regexp_replace(names.note_name(naming["fragment_note_pattern"], given_name), r"\.md$", ""))
+    narrow = checkpoint(parts.select("_id", "pos", "stem", F.struct("source", "pos").alias("order")))
+    parts = parts.join(relational.unique_names(narrow, "stem", "order", "basename").select("_id", "pos", "basename"), ["_id", "pos"])
+    sections = parts.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("pos", "basename", F.col("f.bullets").alias("bullets")))).alias("shown"))  # at most 20 of its own a document
     none = F.array().cast("array<struct<pos:int,normalized:string,status:string,raw:string,note:string>>")
     unclear = F.filter(F.coalesce("refs", none), lambda r: r["status"] != "ok")
     head, lists, optional = _main_fields(F.col("word"), settings, now)
     content = render.main_note(head, lists, F.col("title"), F.coalesce("shown", F.array().cast("array<struct<pos:int,basename:string,bullets:array<string>>>")), unclear, F.col("text"), optional)
-    whole = named.join(sections.withColumnRenamed("source", "path"), "path", "left")
+    whole = named.join(sections, "_id", "left")
     mains = whole.select(F.col("path").alias("source"), F.lit("main").alias("kind"), F.concat(F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(""), "main", F.lit(".md")).alias("path"), content.alias("content"), bare.alias("bullets"), "main", "sermon_id")
     fragment = F.concat(F.lit(names.relative_folder(out["fragment_folder"]) + "/" if out["fragment_folder"] else ""), "basename", F.lit(".md"))
     fields, lists, optional = _fragment_fields(F.col("f.doctrine"), F.col("f.tags"), settings, now)
