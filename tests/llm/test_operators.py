@@ -41,6 +41,16 @@ def test_sharding(spark, awkward):
     assert sharding.interleave(awkward.limit(0), 5).count() == 0
 
 
+def test_write_shards(spark, awkward, tmp_path):
+    """All columns of all rows, a folder a shard, as interleave() deals them."""
+    sharding.write_shards(awkward, str(tmp_path / "shards"), 3)
+    back = spark.read.parquet(str(tmp_path / "shards")).select("shard", "slot", "payload.*")
+    assert back.columns == ["shard", "slot", *awkward.columns]
+    assert back.drop("shard", "slot").exceptAll(awkward).isEmpty() and back.count() == awkward.count()
+    dealt = sharding.interleave(awkward, 3).select("shard", "slot", "doc_id")
+    assert back.select("shard", "slot", "doc_id").exceptAll(dealt).isEmpty()
+
+
 def test_license(spark):
     t = spark.createDataFrame([(1, "x\nReleased under the MIT License. All rights reserved."), (2, None), (3, "Licensed under the Apache License, Version 2.0.")], "doc_id long, text string")
     got = {r.doc_id: (r.license.licenses, r.license.sentence_ids) for r in license_scan.scan(t).collect()}
