@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notemill.functions.text import compare_key, is_noise, let, pack_bullets, sanitize_title, split_sentences, strip_vs
+from notemill.functions.text import compare_key, let, pack_bullets, sanitize_title, split_sentences, strip_vs, stripped, stripped_noise
 
 FRONTMATTER = r"(?s)\A(---\n.*?\n---\n)"
 # fixed values: the marks of the five grades; the third holds a variation selector
@@ -176,34 +176,45 @@ def fragments(text: Column, key: Column, most: int = 20) -> Column:
     Sections by heading or rule; without a usable one the first eight paragraphs; without those one fragment of the whole
     text; for blank text none. All stay within one row, so a document never shuffles.
     """
-    whole = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n"))
-    parts = F.split(whole, r"\n(?=#{1,3}\s)|\n\s*---\s*\n")
     head = r"\A#{1,3}\s+"
 
-    def section(part: Column) -> Column:
-        rows = F.filter(F.transform(F.split(part, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-        first = F.coalesce(F.get(rows, F.lit(0)), F.lit(""))
-        titled = first.rlike(head)
-        body = F.array_join(F.when(titled, F.slice(rows, F.lit(2), F.size(rows))).otherwise(rows), "\n")
-        heading = F.when(titled, F.trim(F.regexp_replace(first, head, "")))
-        usable = ~is_noise(body) & ((F.length(body) >= 80) | (F.size(parts) == 1))
-        return F.when(usable, made(heading, body))
-
     def made(heading: Column, body: Column) -> Column:
         def titled(said: Column) -> Column:
             return sanitize_title(F.nullif(F.coalesce(heading, F.substring(F.get(said, F.lit(0)), 1, 30)), F.lit("")))
 
         return let(split_sentences(body), lambda said: _fragment(titled(said), F.when(heading.isNotNull(), "section").otherwise("paragraph"), pack_bullets(said)))
 
+    def noisy(body: Column) -> Column:
+        return let(stripped(body), stripped_noise)
+
+    # let() wherever a value is named more than once: within a lambda nothing else keeps it from being worked out again
+    def section(part: Column, alone: Column) -> Column:
+        def parted(rows: Column) -> Column:
+            first = F.coalesce(F.get(rows, F.lit(0)), F.lit(""))
+            titled = first.rlike(head)
+            body = F.array_join(F.when(titled, F.slice(rows, F.lit(2), F.size(rows))).otherwise(rows), "\n")
+            return F.struct(F.when(titled, F.trim(F.regexp_replace(first, head, ""))).alias("heading"), body.alias("body"))
+
+        def judged(s: Column) -> Column:
+            usable = ((F.length(s["body"]) >= 80) | alone) & ~noisy(s["body"])
+            return F.when(usable, made(s["heading"], s["body"]))
+
+        rows = F.filter(F.transform(F.split(part, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+        return let(let(rows, parted), judged)
+
     def paragraph(p: Column) -> Column:
-        return F.when(~is_noise(p), made(F.lit(None).cast("string"), p))
-
-    cut = F.array_compact(F.transform(parts, section))
-    blocks = F.slice(F.filter(F.transform(F.split(whole, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != ""), 1, 8)
-    loose = F.array_compact(F.transform(blocks, paragraph))
-    rest = _fragment(sanitize_title(F.concat(key, F.lit(" 핵심 요약"))), "fallback", pack_bullets(split_sentences(whole), most=5))
-    only = F.when(whole != "", F.array(rest))
-    return F.when(F.size(cut) > 0, F.slice(cut, 1, most)).when(F.size(loose) > 0, F.slice(loose, 1, most)).otherwise(F.coalesce(only, F.slice(F.array(rest), 1, 0)))
+        return F.when(~noisy(p), made(F.lit(None).cast("string"), p))
+
+    def of(whole: Column) -> Column:
+        cut = let(F.split(whole, r"\n(?=#{1,3}\s)|\n\s*---\s*\n"), lambda parts: F.array_compact(F.transform(parts, lambda part: section(part, F.size(parts) == 1))))
+        blocks = F.slice(F.filter(F.transform(F.split(whole, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != ""), 1, 8)
+        loose = F.array_compact(F.transform(blocks, paragraph))
+        rest = F.array(_fragment(sanitize_title(F.concat(key, F.lit(" 핵심 요약"))), "fallback", pack_bullets(split_sentences(whole), most=5)))
+        fallback = F.when(whole != "", rest).otherwise(F.slice(rest, 1, 0))
+        unmarked = let(loose, lambda found: F.when(F.size(found) > 0, F.slice(found, 1, most)).otherwise(fallback))
+        return let(cut, lambda found: F.when(F.size(found) > 0, F.slice(found, 1, most)).otherwise(unmarked))
+
+    return let(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n")), of)
 
 
 def list_items(c: Column) -> Column:

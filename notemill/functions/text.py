@@ -100,7 +100,15 @@ def split_sentences(c: Column) -> Column:
 
 def is_noise(c: Column, least: int = 40) -> Column:
     """Empty, a rule line, a date header, a reading cue, or shorter than `least`."""
-    t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return stripped_noise(stripped(c), least)
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def stripped_noise(t: Column, least: int = 40) -> Column:
+    """is_noise() of a text without white space at its ends."""
     return (F.length(t) < least) | t.rlike(r"^[-*_\s]+$") | t.rlike(r"^[0-9]{6,8}\s+.{1,40}$") | t.rlike(r"^[가-힣A-Za-z0-9 .:_-]{1,30}\s*[을를]?\s*읽습니다\. ?$")
 
 
