@@ -6,6 +6,10 @@ before a group's part in it, comes from tables of counts with at most one row fo
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +53,30 @@ def with_rank(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
     joined = rows.join(F.broadcast(carried), (F.col("_part") == F.col("_p")) & (F.col("_row") < F.col("_here")), "left")
     nth = F.row_number().over(Window.partitionBy("_part", group).orderBy("_row"))
     return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != name], (nth + F.coalesce("_before", F.lit(0))).cast("long").alias(name))
+
+
+def at_places(df: DataFrame, order: list[str], value: str, places: Iterable[int]) -> dict[int, float]:
+    """The numbers in column `value`, one of order's, at the given places (from 0) of df in that order; exact.
+
+    Rows equal in order are counted first, so that no task meets all copies of one. The driver gets one row a partition and
+    one a place.
+    """
+    wanted = np.unique(np.fromiter(places, np.int64))
+    rows = ordered(df.groupBy(*order).agg(F.count(F.lit(1)).alias("_count")), order, "_part", "_row")
+    before = {r["_part"]: r["_before"] for r in before_parts(rows, "_part", F.sum("_count"), "_before").collect()}
+
+    def pick(batches):
+        start = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            start = before[int(batch["_part"].iloc[0])] if start is None else start
+            ends = start + batch["_count"].to_numpy().cumsum()
+            first, last = np.searchsorted(wanted, np.append(start, ends[:-1])), np.searchsorted(wanted, ends)
+            start = int(ends[-1])
+            met = np.flatnonzero(first < last)
+            at = [wanted[i] for m in met for i in range(first[m], last[m])]
+            yield pd.DataFrame({"place": np.array(at, np.int64), "v": np.repeat(batch["v"].to_numpy(float)[met], (last - first)[met])})
+
+    picked = rows.select("_part", "_count", F.col(value).cast("double").alias("v")).mapInPandas(pick, "place long, v double")
+    return {r["place"]: r["v"] for r in picked.collect()}

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from notemill.llm import components, decontaminate, gbt, license_scan, line_dedup, near_copies, packing, pii, quality, secret_scan, sharding, simhash_dedup, url_filter
 
@@ -617,6 +618,32 @@ def test_quality(spark, awkward):
     assert quality.judge(awkward, labels(spark).limit(0)).where("quality.kept").count() > 0
 
 
+def test_quality_is_fitted_on_all_labels(spark):
+    """6000 labelled documents, one of them in two rows: the trees and threshold of train() on all, however rows are dealt."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["alpha", "Beta,", "#g", "d4", "e!", "longer-word."], rng.integers(5, 60))) + "\n" * (k % 5) + " x" * int(rng.integers(0, 9)) for k in range(6000)]
+    good = [int(t.count("#") / len(t) + 0.02 * rng.random() < 0.05) for t in texts]
+    marks = spark.createDataFrame([*enumerate(good), (7, None), (9000, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([*enumerate(texts), (3, "# " * 900), (8000, "no label"), (None, "no id")], "doc_id long, text string")
+    forest, threshold = quality.fit(docs.repartition(3), marks)
+    x, y = np.array([quality.statistics(t)[1] for t in texts]), np.array(good, float)
+    expected = gbt.train(x, y, monotone=list(quality.FEATURES.values())).probability(x)
+    assert np.allclose(forest.probability(x), expected, rtol=0, atol=1e-6)
+    assert threshold == min(0.5, np.quantile(forest.probability(x)[y == 1], 0.005))
+    again, same = quality.fit(docs.orderBy(F.desc("text")).repartition(7), marks.repartition(2))
+    assert same == threshold and all(np.array_equal(getattr(again, f), getattr(forest, f)) for f in ("feature", "threshold", "left", "right", "value", "roots"))
+
+
+def test_quantiles_over_a_table(spark):
+    """numpy's quantiles, in groups with many equal values, in one with none, and of one row."""
+    rng = np.random.default_rng(9)
+    x = np.stack([np.zeros(501), rng.normal(size=501), np.floor(rng.normal(size=501) * 2)])
+    rows = spark.createDataFrame([(j, float(v)) for j, group in enumerate(x) for v in group], "j int, v double").repartition(5)
+    shares = np.linspace(0, 1, 33)
+    assert np.array_equal(gbt.quantiles(rows, 501, 3, shares), np.quantile(x, shares, axis=1).T)
+    assert gbt.quantiles(rows.where("j = 1").limit(1).withColumn("j", F.lit(0)), 1, 1, shares).std() == 0
+
+
 def test_trees_are_monotone():
     rng = np.random.default_rng(4)
     x = rng.random((2000, 2))
